@@ -111,10 +111,10 @@ WITH RECURSIVE shards AS (
 ), wishes AS (
   SELECT k, list((pos + j * skip) % {TABLE_SIZE} ORDER BY j) AS wish FROM seeds, range({TABLE_SIZE}) t(j) GROUP BY k
 ), turns(turn, taken, slot) AS (
-  SELECT 0, list_transform(range({TABLE_SIZE}), x -> false), NULL::BIGINT
+  SELECT 0, list_transform(range({TABLE_SIZE}), lambda x: false), NULL::BIGINT
   UNION ALL
-  SELECT turn + 1, list_transform(range({TABLE_SIZE}), x -> taken[x + 1] OR x = next), next
-  FROM (SELECT turn, taken, list_filter(wish, s -> NOT taken[s + 1])[1] AS next FROM turns JOIN wishes ON wishes.k = turn % {len(SHARDS)} WHERE turn < {TABLE_SIZE})
+  SELECT turn + 1, list_transform(range({TABLE_SIZE}), lambda x: taken[x + 1] OR x = next), next
+  FROM (SELECT turn, taken, list_filter(wish, lambda s: NOT taken[s + 1])[1] AS next FROM turns JOIN wishes ON wishes.k = turn % {len(SHARDS)} WHERE turn < {TABLE_SIZE})
 ), filled AS (
   SELECT slot, shard FROM turns JOIN shards ON shards.k = (turn - 1) % {len(SHARDS)} WHERE slot IS NOT NULL
 )
