@@ -100,14 +100,17 @@ class EliasFano:
         end = self._select(h, True) - h
         start = np.where(h > 0, self._select(np.maximum(h - 1, 0), True) - h + 1, 0)
         low = x[ask].astype(_U) & _U((1 << self.low_bits) - 1)
-        live = np.flatnonzero(start < end)
-        p = start[live]
+        stop = end.copy()
+        live = np.flatnonzero(start < stop)  # halve the run of equal high bits: a frequent context's run is long
         while len(live):
-            v = self.lows(p)
-            hit = v == low[live]
-            found[ask[live[hit]]] = p[hit]
-            on = (v < low[live]) & (p + 1 < end[live])
-            live, p = live[on], p[on] + 1
+            mid = (start[live] + stop[live]) >> 1
+            less = self.lows(mid) < low[live]
+            start[live] = np.where(less, mid + 1, start[live])
+            stop[live] = np.where(less, stop[live], mid)
+            live = live[start[live] < stop[live]]
+        inside = np.flatnonzero(start < end)
+        hit = inside[self.lows(start[inside]) == low[inside]]
+        found[ask[hit]] = start[hit]
         return found
 
     def arrays(self) -> dict[str, np.ndarray]:
