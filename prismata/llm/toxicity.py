@@ -128,7 +128,7 @@ class Index:
         cut = np.searchsorted(term, np.arange(len(self.terms) + 1))
         for a, b in zip(cut[:-1], cut[1:], strict=True):
             block, first = np.unique(example[a:b] // BLOCK, return_index=True)
-            ends = np.append(first[1:], b - a)
+            ends = np.append(first[1:], b - a)[: len(first)]  # a chosen term may have no example
             self.most.append((block, np.maximum.reduceat(weight[a:b], first) if b > a else np.zeros(0)))
             self.postings.append({int(k): (example[a + x : a + y] - int(k) * BLOCK, weight[a + x : a + y]) for k, x, y in zip(block, first, ends, strict=True)})
 
