@@ -64,8 +64,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([int(b)], pa.int32()), *[pa.array([pack(x)], pa.binary()) for x in (u[m], n[m].astype(np.uint32), pos[m].astype(np.uint32))]], names=["block", "u", "n", "pos"])
 
 
-def _choose(rows: int, toxic: int, least: int, chi: float):
-    """Terms in ``least`` texts or more whose chi-square with the label reaches ``chi``."""
+def _choose(rows: int, toxic: int, least: int, chi: float, odds: float):
+    """Terms in ``least`` texts or more whose chi-square with the label reaches ``chi`` and whose odds ratio is ``odds`` or its inverse or beyond.
+
+    Chi-square grows with the number of rows; the odds ratio keeps weak company out at every size.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         u, n, pos = (np.concatenate([unpack(x) for x in pdf[c]]) for c in ("u", "n", "pos"))
@@ -75,7 +78,9 @@ def _choose(rows: int, toxic: int, least: int, chi: float):
         gap = (pos - n * p) ** 2 / (n * p) + (n - pos - n * (1 - p)) ** 2 / (n * (1 - p))
         rest = rows - n
         gap += np.where(rest > 0, (toxic - pos - rest * p) ** 2 / np.maximum(rest * p, 1e-9) + ((rows - toxic - (n - pos)) - rest * (1 - p)) ** 2 / np.maximum(rest * (1 - p), 1e-9), 0)
-        ok = (n >= least) & (gap >= chi)
+        neg = n - pos
+        ratio = np.log((pos + 0.5) * (rows - toxic - neg + 0.5) / ((neg + 0.5) * (toxic - pos + 0.5)))
+        ok = (n >= least) & (gap >= chi) & (np.abs(ratio) >= np.log(odds))
         return pd.DataFrame({"term": u[ok].view(np.int64), "n": n[ok].astype(np.int64), "chi": gap[ok]})
 
     return run
@@ -197,7 +202,7 @@ class Index:
         return float(self.levels[np.searchsorted(self.cuts, got[0], "right")]), [int(x) for x in self.ids[got[1]]]
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", drawn: int = 40_000, examples: int = 6_000, terms: int = 4_096, least: int = 5, chi: float = 30.0, near: int = NEAR) -> Index:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", drawn: int = 40_000, examples: int = 6_000, terms: int = 4_096, least: int = 8, chi: float = 60.0, odds: float = 5.0, near: int = NEAR) -> Index:
     """Fit on about ``drawn`` labelled rows, taken by a hash of the id; about ``examples`` of them make the index.
 
     Both numbers, and ``terms``, are the documented bounds of what is fitted on and of what is broadcast.
@@ -219,7 +224,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         index = Index(np.zeros(0, np.uint64), np.zeros(0))
         index.blank = float(toxic > 0)
         return index
-    counted = single.select("text", "toxic").mapInArrow(_count, "block int, u binary, n binary, pos binary").groupBy("block").applyInPandas(_choose(rows, toxic, least, chi), "term long, n long, chi double")
+    counted = single.select("text", "toxic").mapInArrow(_count, "block int, u binary, n binary, pos binary").groupBy("block").applyInPandas(_choose(rows, toxic, least, chi, odds), "term long, n long, chi double")
     chosen = counted.orderBy(F.desc("chi"), "term").limit(terms).collect()
     index = Index(np.array([r["term"] for r in chosen], np.int64).view(np.uint64), np.array([np.log((1 + rows) / (1 + r["n"])) + 0.1 for r in chosen]))
     shared = spark.sparkContext.broadcast(index)
