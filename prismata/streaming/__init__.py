@@ -1,0 +1 @@
+"""The reference has no streaming operators; nothing is registered here."""
