@@ -289,7 +289,7 @@ def _switch(a: list[Val]) -> Val:
             same = num(test).eqNullSafe(num(match))
         else:
             same = test.col.eqNullSafe(match.col) if "blank" not in (test.kind, match.kind) else (test.col.isNull() if match.kind == "blank" else match.col.isNull())
-        out = out.when(same, pick(match := a[k + 1])) if out is not None else F.when(same, pick(a[k + 1]))
+        out = out.when(same, pick(a[k + 1])) if out is not None else F.when(same, pick(a[k + 1]))
     return Val(out.otherwise(pick(a[-1])) if len(a) % 2 == 0 else out, kind)
 
 

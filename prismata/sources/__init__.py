@@ -1,0 +1,39 @@
+"""Readers of model tables."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from prismata.model import TYPES, Model, ModelError, Table
+
+
+def physical(table: str, column: str) -> str:
+    """The name of a model column inside plans: no brackets, unique across tables."""
+    return re.sub(r"\W", "_", table).lower() + "__" + re.sub(r"\W", "_", column).lower()
+
+
+def read_table(spark: SparkSession, folder: str, table: Table) -> DataFrame:
+    """The declared columns of a table's Parquet file, cast to their model types and renamed.
+
+    A folder is any URI that Spark reads. A declared column that the file lacks is an error; columns
+    that are not declared are not read. Projection and filters reach the scan.
+    """
+    df = spark.read.parquet(f"{folder}/{table.source}")
+    have = {c.lower(): c for c in df.columns}
+    missing = [c.name for c in table.columns if (c.source or c.name).lower() not in have]
+    if missing:
+        raise ModelError(f"table {table.name} lacks the columns {', '.join(missing)}")
+    kinds = dict(df.dtypes)
+    cols = []
+    for c in table.columns:
+        name, want = have[(c.source or c.name).lower()], TYPES[c.data_type]
+        col = F.col(f"`{name}`")
+        cols.append((col if kinds[name] == want else col.cast(want)).alias(physical(table.name, c.name)))
+    return df.select(*cols)
+
+
+def read_model(spark: SparkSession, path: str) -> Model:
+    """A model from a JSON file at any URI that Spark reads."""
+    return Model.from_json("\n".join(r.value for r in spark.read.text(path, wholetext=True).collect()))
