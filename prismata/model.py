@@ -190,7 +190,7 @@ class Model:
         for t in self.tables.values():
             tables.append({
                 "name": t.name, "isHidden": t.hidden, "description": t.description, "partitions": [{"name": t.name, "source": {"type": "parquet", "path": t.source}}],
-                "columns": [{"name": c.name, "dataType": c.data_type, "sourceColumn": c.source or c.name, "isHidden": c.hidden, "formatString": c.format, "displayFolder": c.folder, "dataCategory": c.category, "sortByColumn": c.sort_by, "summarizeBy": c.summarize_by, "isKey": c.key} for c in t.columns],
+                "columns": [{"name": c.name, "dataType": c.data_type, "sourceColumn": c.source, "isHidden": c.hidden, "formatString": c.format, "displayFolder": c.folder, "dataCategory": c.category, "sortByColumn": c.sort_by, "summarizeBy": c.summarize_by, "isKey": c.key} for c in t.columns],
                 "measures": [{"name": m.name, "expression": m.expression, "isHidden": m.hidden, "formatString": m.format, "displayFolder": m.folder, "description": m.description} for m in self.measures.values() if m.table == t.name],
             })
         rels = [{"name": r["name"], "fromTable": r["from_table"], "fromColumn": r["from_column"], "toTable": r["to_table"], "toColumn": r["to_column"], "isActive": r["active"], "crossFilteringBehavior": "bothDirections" if r["both"] else "oneDirection"} for r in map(of, self.relationships)]
