@@ -138,7 +138,7 @@ class Model:
 
     @staticmethod
     def _union(tables: list[tuple[np.ndarray, np.ndarray]], other: float) -> tuple[np.ndarray, np.ndarray]:
-        keys = np.unique(np.concatenate([t[0] for t in tables]))
+        keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *[t[0] for t in tables]]))
         values = np.full((len(keys), len(tables)), other, np.float32)
         for j, (k, v) in enumerate(tables):
             values[np.searchsorted(keys, k), j] = v
