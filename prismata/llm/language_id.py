@@ -148,7 +148,7 @@ class Model:
         """(bits a symbol of each text under each language, symbols of each text)."""
         runs, n = Runs(data, offsets), len(offsets) - 1
         at, grams = runs.grams(self.order)
-        if not len(at):
+        if not len(at) or not self.langs:
             return np.zeros((n, len(self.langs))), np.zeros(n, np.int64)
         longest = np.minimum(runs.into[at] + 1, self.order) - 1
         keys = np.choose(longest, grams)
