@@ -22,7 +22,7 @@ from prismata.llm.components import connected_components
 from prismata.llm.kernels import local_components, mix, pack, ragged, shingle_sets, text_slices, unpack
 from prismata.llm.scratch import Scratch
 
-CHUNK = 2_000_000  # sampled shingles that a task holds before it sends them out
+CHUNK = 1_000_000  # sampled shingles that a task holds before it sends them out
 CELL = 4_000_000  # shingles of one row block
 FEW = 0.2  # share of a row's columns that a linked row may miss, at a similarity of 0.8
 
