@@ -202,7 +202,7 @@ class Index:
         return float(self.levels[np.searchsorted(self.cuts, got[0], "right")]), [int(x) for x in self.ids[got[1]]]
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", drawn: int = 40_000, examples: int = 6_000, terms: int = 4_096, least: int = 8, chi: float = 60.0, odds: float = 5.0, near: int = NEAR) -> Index:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", drawn: int = 40_000, examples: int = 6_000, terms: int = 4_096, least: int = 8, chi: float = 40.0, odds: float = 5.0, near: int = NEAR) -> Index:
     """Fit on about ``drawn`` labelled rows, taken by a hash of the id; about ``examples`` of them make the index.
 
     Both numbers, and ``terms``, are the documented bounds of what is fitted on and of what is broadcast.
