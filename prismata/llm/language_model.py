@@ -1,10 +1,13 @@
 """N-gram language model in an Elias-Fano trie, trained and stored in shards, queried by memory map.
 
 Level one is the vocabulary: sorted 64-bit word hashes (a word's id is its place) with exact counts.
-Level two has, for every context word, its successors: child pointers and successor ids are monotone
-sequences in Elias-Fano form, ids relative to where their context's range starts, and each child has
-an 8-bit code of its smoothed log probability, each context an 8-bit code of its back-off weight.
-Probabilities are Witten-Bell interpolated with add-one unigrams. A shard holds a range of contexts.
+Level two has, for every context word, its successors; level three has those of every pair of words.
+Child pointers and children are monotone sequences in Elias-Fano form, children relative to where their
+context's range starts. A child of level two is a word id; a child of level three is the place of its
+word among the successors of the word before it, a small number. Each child has an 8-bit code of its
+smoothed log probability, each context an 8-bit code of its back-off weight. Probabilities are
+Witten-Bell interpolated with the level below, the lowest being add-one unigrams. A shard holds a range
+of contexts.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from prismata.llm.shared_files import map_arrays, write_arrays
 END = mix(np.array([0x454E44], np.uint64))[0]  # the hash of the end of a text
 HELD = 3_000_000  # tokens that a task counts before it sends the counts out
 SLICE = 8 << 20
+THIRD = 4  # shards of level three for each of level two
 
 
 def token_stream(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,6 +149,32 @@ class Vocabulary:
         return out
 
 
+class _CountedTriples(_Counted):
+    """The same for (pair id, place of the word) of level three; keys are local to the shard, so that they fit 64 bits."""
+
+    def __init__(self, edges: np.ndarray, size: int):
+        super().__init__()
+        self.edges, self.size, self.places = edges, size, []
+
+    def add_triples(self, pairs: np.ndarray, places: np.ndarray) -> None:
+        self.add(pairs)
+        self.places.append(places)
+
+    def flush_triples(self) -> Iterator[pa.RecordBatch]:
+        if self.n:
+            x, place = np.concatenate(self.held), np.concatenate(self.places)
+            self.held, self.places, self.n = [], [], 0
+            order = np.argsort(x, kind="stable")
+            x, place = x[order], place[order]
+            cut = np.searchsorted(x, self.edges)
+            out = []
+            for s, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+                if b > a:
+                    k, c = np.unique((x[a:b] - self.edges[s]) * (self.size + 1) + place[a:b], return_counts=True)
+                    out.append((s, pack(k.astype(np.uint64), delta=True), pack(c.astype(np.uint32))))
+            yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["block", "k", "c"])
+
+
 def pair_keys(ids: np.ndarray, stop: np.ndarray, size: int) -> np.ndarray:
     """context * (size + 1) + word for each token; a text's first context is the id ``size``; -1 where either is unknown."""
     context = np.empty_like(ids)
@@ -175,93 +205,193 @@ def _count_pairs(words: Vocabulary, shards: int):
     return run
 
 
-def build_shard(keys: np.ndarray, counts: np.ndarray, low: int, high: int, words: Vocabulary, n_tokens: int) -> dict[str, np.ndarray]:
-    """The arrays of level two for the contexts from ``low`` to ``high`` (exclusive)."""
-    v = words.size
-    context, word = keys // (v + 1) - low, keys % (v + 1)
+def build_level(context: np.ndarray, child: np.ndarray, counts: np.ndarray, lower: np.ndarray, low: int, high: int) -> dict[str, np.ndarray]:
+    """The arrays of a shard for the contexts from ``low`` to ``high`` (exclusive).
+
+    ``context`` (from 0) and ``child`` are sorted; ``lower`` has each child's probability by the level below.
+    """
     first = np.searchsorted(context, np.arange(high - low + 1))
     kinds = np.diff(first)
     sums = np.bincount(context, counts, high - low)
     weight = np.where(kinds > 0, kinds / np.maximum(sums + kinds, 1), 1.0)
-    unigram = (words.counts(word) + 1) / (n_tokens + v + 1)
-    p = (counts + kinds[context] * unigram) / (sums + kinds)[context]
+    p = (counts + kinds[context] * lower) / (sums + kinds)[context]
     code, book = quantise(np.log10(p))
     back, back_book = quantise(np.log10(weight))
     has = np.flatnonzero(kinds > 0)
     span = np.zeros(high - low, np.int64)
-    span[has] = word[first[has + 1] - 1] + 1  # a range's ids count from where the range before it ends
+    span[has] = child[first[has + 1] - 1] + 1  # a range's children count from where the range before it ends
     base = np.cumsum(span) - span
     out = {"range": np.array([low, high], np.int64), "code": code, "book": book, "back": back, "back_book": back_book}
-    for name, ef in (("pointer", EliasFano.build(first)), ("child", EliasFano.build(base[context] + word))):
+    for name, ef in (("pointer", EliasFano.build(first)), ("child", EliasFano.build(base[context] + child))):
         out |= {f"{name}.{k}": a for k, a in ef.arrays().items()}
     return out
 
 
-def query_shard(a: dict[str, np.ndarray], context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """For sorted contexts: log10 p(word | context) where stored; else NaN plus, at the same places, see ``backoff``."""
-    pointer, child = EliasFano.of(a, "pointer"), EliasFano.of(a, "child")
+def build_shard(keys: np.ndarray, counts: np.ndarray, low: int, high: int, words: Vocabulary, n_tokens: int) -> dict[str, np.ndarray]:
+    """A shard of level two from its pair keys."""
+    v = words.size
+    word = keys % (v + 1)
+    return build_level(keys // (v + 1) - low, word, counts, (words.counts(word) + 1) / (n_tokens + v + 1), low, high)
+
+
+def find_children(a: dict[str, np.ndarray], context: np.ndarray, child: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in the shard, place among the context's children) of each child, -1 where it isn't stored."""
+    pointer, children = EliasFano.of(a, "pointer"), EliasFano.of(a, "child")
     u, inverse = np.unique(context - a["range"][0], return_inverse=True)
     start, end = pointer.access(u), pointer.access(u + 1)
     base = np.zeros(len(u), np.int64)
     later = np.flatnonzero((start > 0) & (end > start))
-    base[later] = child.access(start[later] - 1) + 1
-    at = child.find(base[inverse] + word)
+    base[later] = children.access(start[later] - 1) + 1
+    at = children.find(base[inverse] + child)
     ok = (at >= start[inverse]) & (at < end[inverse])
-    out = np.full(len(word), np.nan)
-    out[ok] = a["book"][a["code"][at[ok]]]
-    return out
+    return np.where(ok, at, -1), np.where(ok, at - start[inverse], -1)
+
+
+def last_words(a: dict[str, np.ndarray], at: np.ndarray) -> np.ndarray:
+    """The children at these places of a shard, each relative to its range: on level two, word ids."""
+    pointer, children = EliasFano.of(a, "pointer"), EliasFano.of(a, "child")
+    first = pointer.access(np.arange(int(a["range"][1] - a["range"][0]) + 1))
+    start = first[np.searchsorted(first, at, "right") - 1]
+    u, inverse = np.unique(start, return_inverse=True)
+    base = np.zeros(len(u), np.int64)
+    base[u > 0] = children.access(u[u > 0] - 1) + 1
+    return children.access(at) - base[inverse]
+
+
+def child_probs(a: dict[str, np.ndarray], at: np.ndarray) -> np.ndarray:
+    return a["book"][a["code"][at]].astype(float)
 
 
 def backoff(a: dict[str, np.ndarray], context: np.ndarray) -> np.ndarray:
     return a["back_book"][a["back"][context - a["range"][0]]].astype(float)
 
 
+def _pieces(values: np.ndarray, edges: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """(shard, slice) of the sorted values that lie in each shard."""
+    cut = [*np.searchsorted(values, edges[:-1]), len(values)]
+    yield from ((s, slice(x, y)) for s, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x)
+
+
 class TrieModel:
-    """A trained model: where its files are and the sums that smoothing needs."""
+    """A trained model: where its files are, how many pairs each shard holds, and the sums that smoothing needs."""
 
-    def __init__(self, folder: str, words: Vocabulary, shards: int, n_tokens: int):
-        self.folder, self.words, self.shards, self.n_tokens = folder, words, shards, n_tokens
-        self.open: dict[int, dict[str, np.ndarray]] = {}
+    def __init__(self, folder: str, words: Vocabulary, shards: int, n_tokens: int, pairs: np.ndarray, third: int = 0):
+        self.folder, self.words, self.shards, self.n_tokens, self.third = folder, words, shards, n_tokens, third
+        self.starts = np.concatenate([[0], np.cumsum(pairs)]).astype(np.int64)  # the first pair id of each shard
+        self.contexts = np.append(_shard_edges(shards, words.size), words.size + 1)
+        self.open: dict[str, dict[str, np.ndarray]] = {}
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"open": {}}
 
-    def _shard(self, s: int) -> dict[str, np.ndarray]:
-        if s not in self.open:
-            self.open[s] = map_arrays(f"{self.folder}/pairs-{s}")
-        return self.open[s]
+    def _file(self, name: str) -> dict[str, np.ndarray]:
+        if name not in self.open:
+            self.open[name] = map_arrays(f"{self.folder}/{name}")
+        return self.open[name]
 
-    def log_probs(self, tokens: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(training count, log10 p given the word before) of each token."""
+    def pair_edges(self) -> np.ndarray:
+        """The first pair id of each shard of level three, and the end."""
+        return np.array([int(self.starts[-1]) * s // max(self.third, 1) for s in range(self.third + 1)], np.int64)
+
+    def pairs(self, tokens: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each token: training count, log10 p given the word before, pair id with it and place among its successors (-1: not stored)."""
         v = self.words.size
         u, inverse = np.unique(tokens, return_inverse=True)
         ids, counts = self.words.lookup(u)
         ids, counts = ids[inverse], counts[inverse]
         unigram = np.log10((counts + 1) / (self.n_tokens + v + 1))
         if not v:
-            return counts, unigram
+            return counts, unigram, ids, ids
+        word = np.where(ids < 0, v, ids)  # never stored, so found in no range
         context = np.empty_like(ids)
         context[1:] = ids[:-1]
         context[0:1] = v
         context[stop[:-1]] = v
-        word = np.where(ids < 0, v, ids)  # never stored, so found in no range
         keys, inverse = np.unique(np.where(context < 0, -1, context * (v + 1) + word), return_inverse=True)
-        known = np.full(len(keys), np.nan)
-        back = np.zeros(len(keys))
-        edges = _shard_edges(self.shards, v)
-        cut = [*np.searchsorted(keys, edges * (v + 1)), len(keys)]
-        for s, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
-            if y > x:
-                c, w = keys[x:y] // (v + 1), keys[x:y] % (v + 1)
-                a = self._shard(s)
-                known[x:y] = query_shard(a, c, w)
-                back[x:y] = backoff(a, c)
-        p = known[inverse]
-        return counts, np.where(np.isnan(p), back[inverse] + unigram, p)
-
-
-def train(docs: DataFrame, text_col: str = "text", block_bytes: int = 32 << 20) -> TrieModel:
-    """Count all texts of ``docs`` and store the model in the shared folder. No text gives an empty model."""
+        p, back = np.full(len(keys), np.nan), np.zeros(len(keys))
+        pair, place = np.full(len(keys), -1, np.int64), np.full(len(keys), -1, np.int64)
+        begin = int(len(keys) > 0 and keys[0] < 0)
+        for s, part in _pieces(keys[begin:], self.contexts * (v + 1)):
+            part = slice(part.start + begin, part.stop + begin)
+            a, c = self._file(f"pairs-{s}"), keys[part] // (v + 1)
+            at, place[part] = find_children(a, c, keys[part] % (v + 1))
+            pair[part] = np.where(at < 0, -1, at + self.starts[s])
+            p[part] = np.where(at < 0, np.nan, child_probs(a, np.maximum(at, 0)) if len(a["code"]) else np.nan)
+            back[part] = backoff(a, c)
+        p = p[inverse]
+        return counts, np.where(np.isnan(p), back[inverse] + unigram, p), pair[inverse], place[inverse]
+
+    def log_probs(self, tokens: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(training count, log10 p given the two words before) of each token."""
+        counts, p, pair, place = self.pairs(tokens, stop)
+        if not self.third:
+            return counts, p
+        before = _pairs_before(pair, stop)
+        ask = np.flatnonzero(before >= 0)
+        order = ask[np.argsort(before[ask], kind="stable")]
+        x, place = before[order], place[order]
+        out = p[order]
+        edges, size = self.pair_edges(), self.words.size + 1
+        for s, part in _pieces(x, edges):
+            a = self._file(f"triples-{s}")
+            keys, inverse = np.unique((x[part] - edges[s]) * (size + 1) + np.where(place[part] < 0, size, place[part]), return_inverse=True)
+            context = keys // (size + 1) + edges[s]
+            at, _ = find_children(a, context, keys % (size + 1))
+            stored = np.where(at < 0, np.nan, child_probs(a, np.maximum(at, 0)) if len(a["code"]) else np.nan)[inverse]
+            out[part] = np.where(np.isnan(stored), backoff(a, context)[inverse] + out[part], stored)
+        p[order] = out
+        return counts, p
+
+    def successors(self, low: int, high: int) -> np.ndarray:
+        """For the pairs from ``low`` to ``high`` (exclusive): the first pair id of the successors of its second word."""
+        ids = np.arange(low, high)
+        word = np.empty(len(ids), np.int64)
+        for s, part in _pieces(ids, self.starts):
+            word[part] = last_words(self._file(f"pairs-{s}"), ids[part] - self.starts[s])
+        u, inverse = np.unique(word, return_inverse=True)
+        first = np.empty(len(u), np.int64)
+        for s, part in _pieces(u, self.contexts):
+            a = self._file(f"pairs-{s}")
+            first[part] = EliasFano.of(a, "pointer").access(u[part] - a["range"][0]) + self.starts[s]
+        return first[inverse]
+
+    def pair_probs(self, pair: np.ndarray) -> np.ndarray:
+        """The probability that level two stores for each pair id."""
+        u, inverse = np.unique(pair, return_inverse=True)
+        p = np.empty(len(u))
+        for s, part in _pieces(u, self.starts):
+            p[part] = child_probs(self._file(f"pairs-{s}"), u[part] - self.starts[s])
+        return 10 ** p[inverse]
+
+
+def _pairs_before(pair: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """For each token the pair id of the token before it; -1 at the beginning of a text."""
+    before = np.empty_like(pair)
+    before[1:] = pair[:-1]
+    before[0:1] = -1
+    before[stop[:-1]] = -1
+    return before
+
+
+def _count_triples(model: TrieModel):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counted = _CountedTriples(model.pair_edges(), model.words.size)
+        for batch in batches:
+            for _, _, data, offsets in text_slices(batch.column("text"), SLICE):
+                tokens, stop = token_stream(data, offsets)
+                _, _, pair, place = model.pairs(tokens, stop)
+                before = _pairs_before(pair, stop)
+                ok = before >= 0
+                counted.add_triples(before[ok], place[ok])
+                if counted.n > HELD:
+                    yield from counted.flush_triples()
+        yield from counted.flush_triples()
+
+    return run
+
+
+def train(docs: DataFrame, text_col: str = "text", block_bytes: int = 32 << 20, order: int = 3) -> TrieModel:
+    """Count all texts of ``docs`` and store the model in the shared folder. No text gives an empty model. ``order`` is 2 or 3."""
     scratch = Scratch(docs.sparkSession, "language-model")
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -271,22 +401,42 @@ def train(docs: DataFrame, text_col: str = "text", block_bytes: int = 32 << 20)
     words = words.collect()  # one row of sizes a block
     vocabulary = Vocabulary(folder, {r["block"]: r["n"] for r in words}, blocks)
     n_tokens = sum(r["tokens"] for r in words)
+    sizes = np.zeros(blocks, np.int64)
+    if not vocabulary.size:
+        return TrieModel(folder, vocabulary, blocks, n_tokens, sizes)
+    contexts = [*map(int, _shard_edges(blocks, vocabulary.size)), vocabulary.size + 1]
+    none = np.zeros(0, np.int64)
 
     def shard(pdf: pd.DataFrame) -> pd.DataFrame:
         keys, counts = _merged(pdf)
         s = int(pdf["block"].iloc[0])
-        edges = [*_shard_edges(blocks, vocabulary.size), vocabulary.size + 1]
-        size = write_arrays(f"{folder}/pairs-{s}", build_shard(keys, counts, int(edges[s]), int(edges[s + 1]), vocabulary, n_tokens))
+        size = write_arrays(f"{folder}/pairs-{s}", build_shard(keys, counts, contexts[s], contexts[s + 1], vocabulary, n_tokens))
+        return pd.DataFrame([(s, len(keys), size)], columns=["block", "n", "bytes"])
+
+    pairs = texts.mapInArrow(_count_pairs(vocabulary, blocks), _Counted.schema).groupBy("block").applyInPandas(shard, "block int, n long, bytes long")
+    for r in pairs.collect():
+        sizes[r["block"]] = r["n"]
+    for s in np.flatnonzero(sizes == 0).tolist():  # contexts that nothing follows
+        write_arrays(f"{folder}/pairs-{s}", build_shard(none, none, contexts[s], contexts[s + 1], vocabulary, n_tokens))
+    if order == 2:
+        return TrieModel(folder, vocabulary, blocks, n_tokens, sizes)
+    model = TrieModel(folder, vocabulary, blocks, n_tokens, sizes, blocks * THIRD)
+    edges = [int(e) for e in model.pair_edges()]
+
+    def third(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys, counts = _merged(pdf)
+        s = int(pdf["block"].iloc[0])
+        keys = keys.astype(np.int64)
+        context, place = keys // (vocabulary.size + 1), keys % (vocabulary.size + 1)
+        lower = model.pair_probs(model.successors(edges[s], edges[s + 1])[context] + place)
+        size = write_arrays(f"{folder}/triples-{s}", build_level(context, place, counts, lower, edges[s], edges[s + 1]))
         return pd.DataFrame([(s, len(keys), size)], columns=["block", "n", "bytes"])
 
-    made = set()
-    if vocabulary.size:
-        pairs = texts.mapInArrow(_count_pairs(vocabulary, blocks), _Counted.schema).groupBy("block").applyInPandas(shard, "block int, n long, bytes long")
-        made = {r["block"] for r in pairs.collect()}
-        edges = [*_shard_edges(blocks, vocabulary.size), vocabulary.size + 1]
-        for s in set(range(blocks)) - made:  # contexts that nothing follows
-            write_arrays(f"{folder}/pairs-{s}", build_shard(np.zeros(0, np.int64), np.zeros(0, np.int64), int(edges[s]), int(edges[s + 1]), vocabulary, n_tokens))
-    return TrieModel(folder, vocabulary, blocks, n_tokens)
+    triples = texts.mapInArrow(_count_triples(model), _Counted.schema).groupBy("block").applyInPandas(third, "block int, n long, bytes long")
+    made = {r["block"] for r in triples.collect()}
+    for s in set(range(model.third)) - made:
+        write_arrays(f"{folder}/triples-{s}", build_level(none, none, none, none, edges[s], edges[s + 1]))
+    return model
 
 
 def score(docs: DataFrame, model: TrieModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

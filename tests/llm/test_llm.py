@@ -172,20 +172,22 @@ def test_sharding(odd, docs):
             sharding.fill_table(*bad)
 
 
-def test_language_model(docs, odd):
+@pytest.mark.parametrize("order", [2, 3])
+def test_language_model(docs, odd, order):
     rows = docs.withColumn("h", language_model.held_out(7)).select("doc_id", "text", "h").collect()
-    one, two = collections.Counter(), collections.Counter()
+    one, many = collections.Counter(), collections.Counter()
     for r in rows:
         if not r.h:
             w = [*words(r.text), None]
             one.update(w)
-            two.update(zip(["<s>", *w[:-1]], w, strict=True))
+            w = ["<s>", *w]
+            many.update(tuple(w[k - m + 1 : k + 1]) for m in range(2, order + 1) for k in range(m - 1, len(w)))
     n, v = sum(one.values()), len(one)
     seen, kinds = collections.Counter(), collections.Counter()
-    for (a, _), c in two.items():
-        seen[a] += c
-        kinds[a] += 1
-    model = language_model.train(docs.where(~language_model.held_out(7)))
+    for g, c in many.items():
+        seen[g[:-1]] += c
+        kinds[g[:-1]] += 1
+    model = language_model.train(docs.where(~language_model.held_out(7)), order=order)
     got = {r.doc_id: r for r in language_model.score(docs, model).collect()}
     assert (model.n_tokens, model.words.size) == (n, v)
     better = 0.0
@@ -193,16 +195,20 @@ def test_language_model(docs, odd):
         w = [*words(r.text), None]
         base = sum(math.log10((one[x] + 1) / (n + v + 1)) for x in w)
         full = 0.0
-        for a, x in zip(["<s>", *w[:-1]], w, strict=True):
-            p = (one[x] + 1) / (n + v + 1)
-            full += math.log10((two[a, x] + kinds[a] * p) / (seen[a] + kinds[a]) if seen[a] else p)
+        s = ["<s>", *w]
+        for k in range(1, len(s)):
+            p = (one[s[k]] + 1) / (n + v + 1)
+            for m in range(1, min(order, k + 1)):
+                a = tuple(s[k - m : k])
+                p = (many[*a, s[k]] + kinds[a] * p) / (seen[a] + kinds[a]) if seen[a] else p
+            full += math.log10(p)
         g = got[r.doc_id]
         assert (g.n_tokens, g.n_known) == (len(w), sum(one[x] > 0 for x in w))
         assert g.base_score == pytest.approx(base) and g.score == pytest.approx(full, abs=0.05 * len(w) + 0.1)
         better += (g.score - g.base_score) * r.h
     assert better > 0
     assert len(language_model.score(odd, model).collect()) == len(ODD)
-    empty = language_model.train(docs.limit(0))
+    empty = language_model.train(docs.limit(0), order=order)
     assert {r.score for r in language_model.score(odd, empty).collect()} == {0.0}
 
 
