@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from prismata.llm.kernels import NOT_ALNUM, ngram_hashes, text_slices, word_bounds, word_hashes
+from prismata.llm.kernels import NOT_ALNUM, SHORT_SLICE, ngram_hashes, text_slices, word_bounds, word_hashes
 from prismata.llm.scratch import Scratch
 
 STEM = 5  # bytes of a word's beginning that earn half a match
@@ -121,7 +121,7 @@ def _match(spark, rows: DataFrame, items: Items, threshold: float) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(len(asked.value), np.int64)
         for batch in batches:
-            for _, _, data, offsets in text_slices(batch.column("text")):
+            for _, _, data, offsets in text_slices(batch.column("text"), SHORT_SLICE):
                 *_, grams, owner = _doc_grams(data, offsets, n)
                 if len(asked.value) and len(grams):
                     at = np.minimum(np.searchsorted(asked.value, grams), len(asked.value) - 1)
@@ -140,7 +140,7 @@ def _match(spark, rows: DataFrame, items: Items, threshold: float) -> DataFrame:
         its = held.value
         for batch in batches:
             out = []
-            for a, _, data, offsets in text_slices(batch.column("text")):
+            for a, _, data, offsets in text_slices(batch.column("text"), SHORT_SLICE):
                 starts, ends, first, grams, owner = _doc_grams(data, offsets, n)
                 low = np.searchsorted(its.gram, grams, "left")
                 many = np.where(owner >= 0, np.searchsorted(its.gram, grams, "right") - low, 0)

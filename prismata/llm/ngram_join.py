@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from prismata.llm.components import connected_components
-from prismata.llm.kernels import local_components, mix, pack, ragged, shingle_sets, text_slices, unpack
+from prismata.llm.kernels import SHORT_SLICE, local_components, mix, pack, ragged, shingle_sets, text_slices, unpack
 from prismata.llm.scratch import Scratch
 
 CHUNK = 2_000_000  # sampled shingles that a task holds before it sends them out
@@ -56,7 +56,7 @@ class Incidence:
             ids = batch.column(0).cast(pa.int64())
             known = ~np.asarray(ids.is_null())
             ids = np.asarray(ids.fill_null(0))
-            for a, b, data, offsets in text_slices(batch.column(1)):
+            for a, b, data, offsets in text_slices(batch.column(1), SHORT_SLICE):
                 for k, s in enumerate(shingle_sets(data, offsets, self.width), a):
                     self.add(ids[k], known[k], s)
                 if self.held > CHUNK:
@@ -198,7 +198,7 @@ class Shingles:
         for batch in batches:
             rest = batch.select(["fam", "ci", "k", "cls", "mult"])
             cls = np.asarray(batch.column("cls"))
-            for a, b, data, offsets in text_slices(batch.column("text")):
+            for a, b, data, offsets in text_slices(batch.column("text"), SHORT_SLICE):
                 sets = shingle_sets(data, offsets, self.width)
                 own = [k for k, s in enumerate(sets, a) if set_class(s) == cls[k]]  # a repeated doc_id brings other texts too
                 got = rest.take(pa.array(own, pa.int64()))

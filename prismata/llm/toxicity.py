@@ -14,7 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from prismata.llm.kernels import NOT_ALNUM, mix, ngram_hashes, pack, text_slices, unpack, word_bounds, word_hashes
+from prismata.llm.kernels import NOT_ALNUM, SHORT_SLICE, mix, ngram_hashes, pack, text_slices, unpack, word_bounds, word_hashes
 from prismata.llm.scratch import Scratch
 
 BEGIN = 5  # bytes of a word's beginning
@@ -37,7 +37,7 @@ def _draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rest = batch.select(["id", "text", "toxic"])
         keys = []
-        for _, _, data, offsets in text_slices(batch.column("text")):
+        for _, _, data, offsets in text_slices(batch.column("text"), SHORT_SLICE):
             starts, ends, first = word_bounds(data, offsets)
             words = word_hashes(data, starts, ends)
             grams = ngram_hashes(words, 3)
@@ -50,7 +50,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = []
     for batch in batches:
         y = np.asarray(batch.column("toxic"))
-        for a, _, data, offsets in text_slices(batch.column("text")):
+        for a, _, data, offsets in text_slices(batch.column("text"), SHORT_SLICE):
             term, text = text_terms(data, offsets)
             both = np.unique(np.stack([term, text.astype(np.uint64)]), axis=1) if len(term) else np.zeros((2, 0), np.uint64)
             held.append((both[0], y[a + both[1].astype(np.int64)]))
@@ -231,7 +231,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = [x for _, _, data, offsets in text_slices(batch.column("text")) for x in shared.value.vectors(data, offsets)]
+            v = [x for _, _, data, offsets in text_slices(batch.column("text"), SHORT_SLICE) for x in shared.value.vectors(data, offsets)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("toxic"), pa.array([x[0] for x in v], pa.list_(pa.int64())), pa.array([x[1] for x in v], pa.list_(pa.float64()))], names=["id", "toxic", "at", "w"])
 
     made = single.mapInArrow(vectors, "id long, toxic int, at array<long>, w array<double>")
@@ -263,7 +263,7 @@ def score_toxicity(docs: DataFrame, index: Index, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, tuple[float, list[int]]] = {}
         for batch in batches:
-            for a, b, data, offsets in text_slices(batch.column("text")):
+            for a, b, data, offsets in text_slices(batch.column("text"), SHORT_SLICE):
                 out = []
                 for v in shared.value.vectors(data, offsets):
                     key = v[0].tobytes() + v[1].tobytes()
