@@ -1,12 +1,13 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and word beginnings that go with the label (chi-square over the drawn labelled rows).
-A text's vector has the drawn terms only; the k nearest examples, with all that tie with the last, vote
-by similarity. Votes become scores through a monotone table fitted on leave-one-out votes.
+Terms are words and word beginnings, all that the examples hold. A term weighs by its inverse document frequency,
+raised by its chi-square with the label over the drawn labelled rows. The k nearest examples, with all that tie with
+the last, vote by the square of their similarity. Votes become scores through a monotone table fitted on leave-one-out votes.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,8 +19,10 @@ from prismata.llm.kernels import NOT_ALNUM, SHORT_SLICE, mix, ngram_hashes, pack
 from prismata.llm.scratch import Scratch
 
 BEGIN = 5  # bytes of a word's beginning
-BLOCK = 64  # examples in a block of the index
+BLOCK = 512  # examples in a block of the index
 NEAR = 25
+CHI = 3.0  # the chi-square that doubles a term's weight
+POWER = 2  # of the similarity in a vote
 _OTHER = np.uint64(0x51ED270B35A1C9E7)
 
 
@@ -64,103 +67,111 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([int(b)], pa.int32()), *[pa.array([pack(x)], pa.binary()) for x in (u[m], n[m].astype(np.uint32), pos[m].astype(np.uint32))]], names=["block", "u", "n", "pos"])
 
 
-def _choose(rows: int, toxic: int, least: int, chi: float, odds: float):
-    """Terms in ``least`` texts or more whose chi-square with the label reaches ``chi`` and whose odds ratio is ``odds`` or its inverse or beyond.
+def _sum(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The counts of all tasks for the terms of one block."""
+    u, n, pos = (np.concatenate([unpack(x) for x in pdf[c]]) for c in ("u", "n", "pos"))
+    u, inverse = np.unique(u, return_inverse=True)
+    return pd.DataFrame({"u": [pack(u)], "n": [pack(np.bincount(inverse, n, len(u)).astype(np.uint32))], "pos": [pack(np.bincount(inverse, pos, len(u)).astype(np.uint32))]})
 
-    Chi-square grows with the number of rows; the odds ratio keeps weak company out at every size.
+
+def term_weights(n: np.ndarray, pos: np.ndarray, rows: int, toxic: int) -> np.ndarray:
+    """Inverse document frequency, raised by the chi-square of a term with the label. No term weighs 0.
+
+    The chi-square has Yates' correction, without which a term of one or two texts would seem to go with their label.
     """
+    p = toxic / rows
+    rest = np.maximum(rows - n, 1e-9)
+    gap = np.maximum(np.abs(pos - n * p) - 0.5, 0) ** 2 * (1 / n + 1 / rest) / (p * (1 - p))
+    return (np.log((1 + rows) / (1 + n)) + 0.1) * (1 + gap / CHI)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        u, n, pos = (np.concatenate([unpack(x) for x in pdf[c]]) for c in ("u", "n", "pos"))
-        u, inverse = np.unique(u, return_inverse=True)
-        n, pos = np.bincount(inverse, n, len(u)), np.bincount(inverse, pos, len(u))
-        p = toxic / rows
-        gap = (pos - n * p) ** 2 / (n * p) + (n - pos - n * (1 - p)) ** 2 / (n * (1 - p))
-        rest = rows - n
-        gap += np.where(rest > 0, (toxic - pos - rest * p) ** 2 / np.maximum(rest * p, 1e-9) + ((rows - toxic - (n - pos)) - rest * (1 - p)) ** 2 / np.maximum(rest * (1 - p), 1e-9), 0)
-        neg = n - pos
-        ratio = np.log((pos + 0.5) * (rows - toxic - neg + 0.5) / ((neg + 0.5) * (toxic - pos + 0.5)))
-        ok = (n >= least) & (gap >= chi) & (np.abs(ratio) >= np.log(odds))
-        return pd.DataFrame({"term": u[ok].view(np.int64), "n": n[ok].astype(np.int64), "chi": gap[ok]})
 
-    return run
+def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the ranges one after the other, and the length of each range."""
+    many = high - low
+    return np.arange(many.sum()) + np.repeat(low - np.cumsum(many) + many, many), many
 
 
 class Index:
-    """Examples over chosen terms, in blocks; per term its postings and its largest weight in each block."""
+    """Examples over all their terms, in blocks; per term its postings and its largest weight in each block.
+
+    Terms of no example are not kept: they would add nothing to any product and change a text's length only.
+    """
 
-    def __init__(self, terms: np.ndarray, idf: np.ndarray):
+    def __init__(self, terms: np.ndarray, weight: np.ndarray):
         order = np.argsort(terms)
-        self.terms, self.idf = terms[order], idf[order]
-        self.postings: list[dict[int, tuple[np.ndarray, np.ndarray]]] = []
-        self.most: list[tuple[np.ndarray, np.ndarray]] = []
+        self.terms, self.weight = terms[order], weight[order]
         self.ids = np.zeros(0, np.int64)
         self.labels = np.zeros(0)
         self.n_blocks = 0
-        self.blank = 0.0  # score of a text without any chosen term
+        self.blank = 0.0  # score of a text that shares no term with any example
         self.cuts, self.levels = np.zeros(0), np.zeros(1)
 
+    def weigh(self, text: np.ndarray, at: np.ndarray, times: np.ndarray, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(terms by index, weights of unit length) of each of ``n`` texts, from entries that are ordered by text."""
+        weight = (1 + np.log(times)) * self.weight[at]
+        weight = weight / np.sqrt(np.bincount(text, weight**2, n))[text]
+        cut = np.searchsorted(text, np.arange(n + 1))
+        return [(at[a:b], weight[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
     def vectors(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(terms by index, weights of unit length) of each text."""
+        """The vector of each text; an empty one where it has no term of any example."""
         n = len(offsets) - 1
-        empty = (np.zeros(0, np.int64), np.zeros(0))
-        out = [empty] * n
         if not len(self.terms):
-            return out
+            return [(np.zeros(0, np.int64), np.zeros(0))] * n
         term, text = text_terms(data, offsets)
         at = np.minimum(np.searchsorted(self.terms, term), len(self.terms) - 1)
         ok = self.terms[at] == term
         pair, times = np.unique(text[ok] * len(self.terms) + at[ok], return_counts=True)
-        text, at = pair // len(self.terms), pair % len(self.terms)
-        weight = (1 + np.log(times)) * self.idf[at]
-        norm = np.sqrt(np.bincount(text, weight**2, n))
-        weight = weight / norm[text]
-        cut = np.searchsorted(text, np.arange(n + 1))
-        for k in np.flatnonzero(np.diff(cut)):
-            out[k] = (at[cut[k] : cut[k + 1]], weight[cut[k] : cut[k + 1]])
-        return out
+        return self.weigh(pair // len(self.terms), pair % len(self.terms), times, n)
 
-    def fill(self, ids: np.ndarray, labels: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """Store the examples; those with the same heaviest term lie together, which keeps block bounds tight."""
+    def fill(self, ids: np.ndarray, labels: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Store the examples and say where each went; those with the same heaviest term lie together, which keeps block bounds tight."""
         order = sorted(range(len(ids)), key=lambda k: (int(vectors[k][0][np.argmax(vectors[k][1])]), len(vectors[k][0]), int(ids[k])))
         self.ids, self.labels = ids[order], labels[order].astype(float)
         self.n_blocks = -(-len(order) // BLOCK)
-        term = np.concatenate([vectors[k][0] for k in order]) if order else np.zeros(0, np.int64)
-        weight = np.concatenate([vectors[k][1] for k in order]) if order else np.zeros(0)
-        example = np.repeat(np.arange(len(order)), [len(vectors[k][0]) for k in order])
-        by = np.lexsort((example, term))
-        term, weight, example = term[by], weight[by], example[by]
-        cut = np.searchsorted(term, np.arange(len(self.terms) + 1))
-        for a, b in zip(cut[:-1], cut[1:], strict=True):
-            block, first = np.unique(example[a:b] // BLOCK, return_index=True)
-            ends = np.append(first[1:], b - a)[: len(first)]  # a chosen term may have no example
-            self.most.append((block, np.maximum.reduceat(weight[a:b], first) if b > a else np.zeros(0)))
-            self.postings.append({int(k): (example[a + x : a + y] - int(k) * BLOCK, weight[a + x : a + y]) for k, x, y in zip(block, first, ends, strict=True)})
+        term = np.concatenate([vectors[k][0] for k in order])
+        value = np.concatenate([vectors[k][1] for k in order]).astype(np.float32)
+        example = np.repeat(np.arange(len(order), dtype=np.int32), [len(vectors[k][0]) for k in order])
+        by = np.argsort(term, kind="stable")
+        term, self.value, self.example = term[by], value[by], example[by]
+        block = self.example // BLOCK
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(term) != 0) | (np.diff(block) != 0)]))
+        self.start = np.append(new, len(term))  # the postings of an entry, which is a term in a block
+        self.block, self.most = block[new], np.maximum.reduceat(self.value, new)
+        self.first = np.searchsorted(term[new], np.arange(len(self.terms) + 1))  # the entries of a term
+        place = np.zeros(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return place
+
+    @property
+    def postings(self) -> list[dict[int, tuple[np.ndarray, np.ndarray]]]:
+        """Of each term, by block, the examples (from 0 in their block) and their weights."""
+        part = [(int(b), (self.example[x:y] - int(b) * BLOCK, self.value[x:y])) for b, x, y in zip(self.block, self.start[:-1], self.start[1:], strict=True)]
+        return [dict(part[a:b]) for a, b in zip(self.first[:-1], self.first[1:], strict=True)]
 
     def nearest(self, at: np.ndarray, weight: np.ndarray, near: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The ``near`` most similar examples and all that tie with the last of them; never those at similarity 0.
 
-        A block is opened only while its bound reaches the similarity that is last so far.
+        Blocks are opened by falling bound, in growing rounds, while the bound reaches the similarity that is last so far.
         """
-        bound = np.zeros(self.n_blocks)
-        for t, w in zip(at.tolist(), weight.tolist(), strict=True):
-            block, most = self.most[t]
-            bound[block] += w * most
-        found, similar, last = [], [], 1e-9
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] < last - 1e-9 or bound[b] <= 0:
-                break
-            s = np.zeros(BLOCK)
-            for t, w in zip(at.tolist(), weight.tolist(), strict=True):
-                if b in self.postings[t]:
-                    k, v = self.postings[t][b]
-                    s[k] += w * v
+        entry, many = _ranges(self.first[at], self.first[at + 1])
+        weight, block = np.repeat(weight, many), self.block[entry]
+        bound = np.bincount(block, weight * self.most[entry], self.n_blocks)
+        order = np.argsort(-bound, kind="stable")
+        found, similar, last, done, step = [], [], 1e-9, 0, 4
+        while done < len(order) and bound[order[done]] >= last - 1e-9 and bound[order[done]] > 0:
+            wave = np.zeros(self.n_blocks, bool)
+            wave[order[done : done + step]] = True
+            pick = wave[block] & (bound[block] >= last - 1e-9)
+            place, many = _ranges(self.start[entry[pick]], self.start[entry[pick] + 1])
+            s = np.bincount(self.example[place], np.repeat(weight[pick], many) * self.value[place], len(self.ids))
             k = np.flatnonzero((s > 0) & (s >= last - 1e-9))
-            k = k[k + b * BLOCK != skip]
-            found.append(k + b * BLOCK)
+            k = k[k != skip]
+            found.append(k)
             similar.append(s[k])
             if sum(map(len, found)) >= near:
                 last = max(last, np.partition(np.concatenate(similar), -near)[-near])
+            done, step = done + step, step * 2
         if not found:
             return np.zeros(0, np.int64), np.zeros(0)
         k, s = np.concatenate(found), np.concatenate(similar)
@@ -174,6 +185,7 @@ class Index:
         k, s = self.nearest(at, weight, near, skip)
         if not len(k):
             return None
+        s = s**POWER
         return float((s * self.labels[k]).sum() / s.sum()), k[:3]
 
     def calibrate(self, votes: np.ndarray, labels: np.ndarray) -> None:
@@ -202,10 +214,10 @@ class Index:
         return float(self.levels[np.searchsorted(self.cuts, got[0], "right")]), [int(x) for x in self.ids[got[1]]]
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", drawn: int = 40_000, examples: int = 6_000, terms: int = 4_096, least: int = 8, chi: float = 40.0, odds: float = 5.0, near: int = NEAR) -> Index:
-    """Fit on about ``drawn`` labelled rows, taken by a hash of the id; about ``examples`` of them make the index.
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", drawn: int = 40_000, examples: int = 6_000, near: int = NEAR) -> Index:
+    """Fit on about ``drawn`` labelled rows, taken by a hash of the id; about ``examples`` of them make the index, with all their terms.
 
-    Both numbers, and ``terms``, are the documented bounds of what is fitted on and of what is broadcast.
+    Both numbers are the documented bounds of what is fitted on and of what is broadcast.
     Of copies and most near copies one drawn row stays. An id labelled more than once counts by its largest
     label; null labels and ids are left out. Without labelled rows every score is the prior, 0.
     """
@@ -224,29 +236,37 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         index = Index(np.zeros(0, np.uint64), np.zeros(0))
         index.blank = float(toxic > 0)
         return index
-    counted = single.select("text", "toxic").mapInArrow(_count, "block int, u binary, n binary, pos binary").groupBy("block").applyInPandas(_choose(rows, toxic, least, chi, odds), "term long, n long, chi double")
-    chosen = counted.orderBy(F.desc("chi"), "term").limit(terms).collect()
-    index = Index(np.array([r["term"] for r in chosen], np.int64).view(np.uint64), np.array([np.log((1 + rows) / (1 + r["n"])) + 0.1 for r in chosen]))
-    shared = spark.sparkContext.broadcast(index)
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = [x for _, _, data, offsets in text_slices(batch.column("text"), SHORT_SLICE) for x in shared.value.vectors(data, offsets)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("toxic"), pa.array([x[0] for x in v], pa.list_(pa.int64())), pa.array([x[1] for x in v], pa.list_(pa.float64()))], names=["id", "toxic", "at", "w"])
-
-    made = single.mapInArrow(vectors, "id long, toxic int, at array<long>, w array<double>")
-    n_blank, t_blank, n_full = made.agg(F.sum((F.size("at") == 0).cast("long")), F.sum(F.when(F.size("at") == 0, F.col("toxic")).otherwise(0)), F.sum((F.size("at") > 0).cast("long"))).first()
+            held = []
+            for _, _, data, offsets in text_slices(batch.column("text"), SHORT_SLICE):
+                term, text = text_terms(data, offsets)
+                by = np.argsort(text, kind="stable")
+                cut = np.searchsorted(text[by], np.arange(len(offsets)))
+                held += [np.unique(term[by[a:b]], return_counts=True) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("toxic"), *[pa.array([pack(x) for x in c], pa.binary()) for c in ([u for u, _ in held], [n.astype(np.uint32) for _, n in held])]], names=["id", "toxic", "u", "times"])
+
+    full = F.col("text").rlike("[0-9A-Za-z\\x{80}-\\x{10FFFF}]")
+    n_blank, t_blank = single.where(~full).agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    part = min(1.0, examples / max(rows - n_blank, 1))
+    got = single.where(full).where(F.pmod(F.xxhash64("id", F.lit(9)), F.lit(1 << 20)) < int(part * (1 << 20)) + 1).mapInArrow(terms, "id long, toxic int, u binary, times binary").collect()  # about ``examples`` rows
+    got.sort(key=lambda r: (r["id"], r["toxic"], r["u"]))
+    sets = [unpack(r["u"]) for r in got]
+    known = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]))
+    counted = single.select("text", "toxic").mapInArrow(_count, "block int, u binary, n binary, pos binary").groupBy("block").applyInPandas(_sum, "u binary, n binary, pos binary").collect()  # at most 64 rows
+    u, n, pos = (np.concatenate([unpack(r[c]) for r in counted]) for c in ("u", "n", "pos"))
+    order = np.argsort(u)
+    at = order[np.searchsorted(u[order], known)]
+    index = Index(known, term_weights(n[at].astype(float), pos[at].astype(float), rows, toxic))
     index.blank = float((t_blank + 0.5) / (n_blank + 1)) if n_blank else float(toxic / rows)
-    part = min(1.0, examples / max(n_full, 1))
-    got = made.where("size(at) > 0").where(F.pmod(F.xxhash64("id", F.lit(9)), F.lit(1 << 20)) < int(part * (1 << 20)) + 1).collect()
-    own = [(np.array(r["at"]), np.array(r["w"])) for r in got]
-    ids, y = np.array([r["id"] for r in got], np.int64), np.array([r["toxic"] for r in got])
-    index.fill(ids, y, own)
-    place = {int(k): j for j, k in enumerate(index.ids)}
-    votes = [(got_vote[0], label) for k, v, label in zip(ids, own, y, strict=True) if (got_vote := index.vote(*v, near, place[int(k)]))]
-    if votes:
-        index.calibrate(np.array([v for v, _ in votes]), np.array([t for _, t in votes]))
-    shared.unpersist()
+    if got:
+        own = index.weigh(np.repeat(np.arange(len(got)), [len(x) for x in sets]), np.searchsorted(known, np.concatenate(sets)), np.concatenate([unpack(r["times"]) for r in got]), len(got))
+        y = np.array([r["toxic"] for r in got])
+        place = index.fill(np.array([r["id"] for r in got], np.int64), y, own)
+        votes = [(vote[0], label) for k, v, label in zip(place.tolist(), own, y, strict=True) if (vote := index.vote(*v, near, k))]
+        if votes:
+            index.calibrate(np.array([v for v, _ in votes]), np.array([t for _, t in votes]))
     scratch.drop("drawn")
     return index
 
@@ -254,8 +274,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score_toxicity(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text", near: int = NEAR) -> DataFrame:
     """Returns per row: ``id_col``, score (0 to 1) and evidence (ids of the three nearest examples).
 
-    A text without any chosen term, null and empty ones too, gets the share of label 1 among such
-    examples and no evidence. Equal similarities are all counted. Null and repeated ids pass through;
+    A text that shares no term with any example, null and empty ones too, gets the share of label 1 among
+    the drawn texts without words (of all drawn ones where there are none) and no evidence. Equal similarities are all counted. Null and repeated ids pass through;
     other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(index)
@@ -266,7 +286,7 @@ def score_toxicity(docs: DataFrame, index: Index, id_col: str = "doc_id", text_c
             for a, b, data, offsets in text_slices(batch.column("text"), SHORT_SLICE):
                 out = []
                 for v in shared.value.vectors(data, offsets):
-                    key = v[0].tobytes() + v[1].tobytes()
+                    key = hashlib.blake2b(v[0].tobytes() + v[1].tobytes(), digest_size=16).digest()
                     if key not in seen:
                         if len(seen) > 50_000:
                             seen.clear()

@@ -275,6 +275,18 @@ def test_toxicity(spark, odd):
     assert {r.score for r in toxicity.score_toxicity(odd, none).collect()} == {0.0}
 
 
+def test_toxicity_meets_plain_examples(spark):
+    """No term goes with the label here, and yet each text meets its equal among the examples."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"plain{w}" for w in rng.integers(0, 500, 30)) for _ in range(60)]
+    docs = spark.createDataFrame([*enumerate(texts), (100, texts[7]), (101, texts[8] + " unheard"), (102, "unheard"), (103, "")], "doc_id long, text string")
+    index = toxicity.train(docs, spark.createDataFrame([(k, int(k % 6 == 1)) for k in range(60)], "doc_id long, toxic int"))
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs, index).collect()}
+    assert all(got[k].evidence[0] == k for k in range(60))
+    assert got[100].evidence[0] == 7 and got[101].evidence[0] == 8
+    assert got[102].evidence == got[103].evidence == [] and got[102].score == got[103].score
+
+
 def naive_alignment(a, b):
     h = [[0] * (len(a) + 1) for _ in range(len(b) + 1)]
     for i, x in enumerate(b, 1):
