@@ -15,7 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from prismata.llm.kernels import NOT_ALNUM, SHORT_SLICE, mix, ngram_hashes, pack, text_slices, unpack, word_bounds, word_hashes
+from prismata.llm.kernels import NOT_ALNUM, SHORT_SLICE, mix, pack, text_slices, unpack, word_bounds, word_hashes
 from prismata.llm.scratch import Scratch
 
 BEGIN = 5  # bytes of a word's beginning
@@ -35,19 +35,6 @@ def text_terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.concatenate([word_hashes(data, starts, ends), heads]), np.concatenate([text, text[long]])
 
 
-def _draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Labelled rows with a key that copies and most near copies share: the least hash of their 3-word runs."""
-    for batch in batches:
-        rest = batch.select(["id", "text", "toxic"])
-        keys = []
-        for _, _, data, offsets in text_slices(batch.column("text"), SHORT_SLICE):
-            starts, ends, first = word_bounds(data, offsets)
-            words = word_hashes(data, starts, ends)
-            grams = ngram_hashes(words, 3)
-            keys += [int(grams[a : b - 2].min() >> np.uint64(1)) if b - a >= 3 else int(words[a:b].min() >> np.uint64(1)) if b > a else 0 for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(keys, pa.int64())], names=["id", "text", "toxic", "key"])
-
-
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts of each label that hold a term, summed over a task."""
     held = []
@@ -218,7 +205,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on about ``drawn`` labelled rows, taken by a hash of the id; about ``examples`` of them make the index, with all their terms.
 
     Both numbers are the documented bounds of what is fitted on and of what is broadcast.
-    Of copies and most near copies one drawn row stays. An id labelled more than once counts by its largest
+    Of rows with the same words in the same order and the same label the one of the smallest id stays; all others
+    stay, near copies and copies with another label too. An id labelled more than once counts by its largest
     label; null labels and ids are left out. Without labelled rows every score is the prior, 0.
     """
     spark = docs.sparkSession
@@ -228,7 +216,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     marks = marks.where(F.pmod(F.xxhash64("id", F.lit(8)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     marked = texts.join(F.broadcast(marks), "id")  # about ``drawn`` rows of an id and a label
-    single = marked.mapInArrow(_draw, "id long, text string, toxic int, key long").groupBy("key").agg(F.min_by(F.struct("id", "text", "toxic"), "id").alias("r")).select("r.*")
+    words = F.trim(F.regexp_replace(F.lower("text"), r"[^0-9a-z\x{80}-\x{10FFFF}]+", " "))
+    single = marked.groupBy(F.sha2(words, 256), "toxic").agg(F.min(F.struct(F.col("id").cast("long").alias("id"), "text", "toxic")).alias("r")).select("r.*")
     scratch = Scratch(spark, "toxicity")
     single = scratch.write(single, "drawn")
     rows, toxic = single.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()

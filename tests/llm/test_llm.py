@@ -287,6 +287,16 @@ def test_toxicity_meets_plain_examples(spark):
     assert got[102].evidence == got[103].evidence == [] and got[102].score == got[103].score
 
 
+def test_toxicity_drops_copies_only(spark):
+    """A toxic variant of a clean text, texts that share a passage and copies with other labels stay; plain copies go."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"plain{w}" for w in rng.integers(0, 500, 30)) for _ in range(20)]
+    rows = [*enumerate(texts), *[(20 + k, t + " vile") for k, t in enumerate(texts)], *[(40 + k, t.upper() + " !") for k, t in enumerate(texts)]]
+    marks = [(k, int(20 <= k < 40 or k == 40)) for k in range(60)]
+    index = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int"))
+    assert sorted(index.ids.tolist()) == list(range(41))
+
+
 def naive_alignment(a, b):
     h = [[0] * (len(a) + 1) for _ in range(len(b) + 1)]
     for i, x in enumerate(b, 1):
