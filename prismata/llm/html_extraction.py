@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_CLASS = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_CLASS = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPACE = re.compile(r"\s+")
 _PUNCT = re.compile(r"[.,;:!?¡¿…、。，！？]")
 _WORD = re.compile(r"[a-z]+")
@@ -29,6 +29,9 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 # Elements and words of class, id or role that mark what isn't the article.
 ASIDE_TAGS = frozenset("nav footer aside form button select option datalist fieldset dialog menu head noscript".split())
 ASIDE_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promoted nav navigation navbar menu breadcrumb breadcrumbs footer foot sidebar aside widget cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist respond reply replies disqus discussion social share sharing related recommended recommendations masthead topbar toolbar pagination pager search skip copyright legal disclaimer contentinfo complementary".split())
+# Words that say what a page has or lacks, where they begin a name; elements whose names say something of the page or of a part of the article.
+STATE_WORDS = frozenset("no has have with without is not hide hides show shows".split())
+ROOTS = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
 HEADER_WORDS = frozenset("header head site".split())
 CLOSES = {  # an opening tag ends these open ones
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"},
@@ -36,18 +39,36 @@ CLOSES = {  # an opening tag ends these open ones
 SCOPE = frozenset("ul ol dl table div section article body html blockquote".split())
 
 
+def _marked(tag: str, names: list[tuple[str, str]]) -> bool:
+    """Whether an element's class, id or role marks it as no part of the article.
+
+    Names of roots and headings don't, nor do a section's ids, which title it, nor names like no-sidebar and has-comments.
+    """
+    if tag in ROOTS:
+        return False
+    for kind, value in names:
+        if kind == "id" and tag == "section":
+            continue
+        for name in value.split():
+            parts = _WORD.findall(name)
+            if parts and parts[0] not in STATE_WORDS and not ASIDE_WORDS.isdisjoint(parts):
+                return True
+    return False
+
+
 class Block(NamedTuple):
     path: str
     text: str
     linked: int  # characters inside links
     aside: bool
     article: bool  # inside an article or main element
+    soft: bool = False  # aside by a word of class, id or role only
 
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order. Tags that are cut off at the end of the page are dropped."""
     out: list[Block] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, path, aside, article
+    stack: list[tuple[str, str, bool, bool, bool]] = []  # tag, path, aside, article, aside by an element or header
     parts: list[str] = []
     linked, in_link, at = 0, 0, 0
 
@@ -63,8 +84,8 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
             if text:
-                _, path, aside, article = stack[-1] if stack else ("", "", False, False)
-                out.append(Block(path, text, linked, aside, article))
+                _, path, aside, article, hard = stack[-1] if stack else ("", "", False, False, False)
+                out.append(Block(path, text, linked, aside, article, aside and not hard))
             parts.clear()
             linked = 0
 
@@ -120,12 +141,14 @@ def blocks(page: str) -> list[Block]:
                 if stack[k][0] in SCOPE:
                     break
         in_link = in_link if name in ("div", "h1", "h2", "h3", "h4", "p", "li") else 0
-        _, path, aside, article = stack[-1] if stack else ("", "", False, False)
-        words = {w for c in _CLASS.findall(m[4]) for w in _WORD.findall("".join(c).lower())}
+        _, path, aside, article, hard = stack[-1] if stack else ("", "", False, False, False)
+        names = [(c[0].lower(), "".join(c[1:]).lower()) for c in _CLASS.findall(m[4])]
+        words = {w for _, value in names for w in _WORD.findall(value)}
         label = name + "".join(f".{w}" for w in sorted(words))
         article = article or name in ("article", "main") or "articlebody" in words
-        aside = aside or name in ASIDE_TAGS or bool(words & ASIDE_WORDS) or ((name == "header" or "header" in words) and not article)
-        stack.append((name, f"{path}/{label}", aside, article))
+        hard = hard or name in ASIDE_TAGS or (name == "header" and not article)
+        aside = aside or hard or _marked(name, names) or ("header" in words and name not in ROOTS and not article)
+        stack.append((name, f"{path}/{label}", aside, article, hard))
     end()
     return out
 
@@ -149,15 +172,24 @@ def path_scores(found: list[Block]) -> dict[str, float]:
     return dict(zip(names, fused.tolist(), strict=True))
 
 
+def _prose(b: Block) -> bool:
+    """Whether a block is more text than links, has punctuation and is no heading."""
+    return b.linked * 2 < len(b.text) and _PUNCT.search(b.text) is not None and not re.match(r"h[1-6]\b", b.path.rpartition("/")[2])
+
+
 def main_blocks(page: str) -> list[Block]:
     """The blocks of the article, in page order.
 
-    Blocks inside menus, adverts, forms and the like are out before the ratios are taken. Where the page
+    Blocks inside menus, adverts, forms and the like are out before the ratios are taken; where no sentence would
+    remain, those stay that only a class, id or role marks. Where the page
     has an article or main element with text, only its blocks are candidates and all plain ones stay,
     for headings and lists have low ratios of their own. Else paths at or above the threshold stay, and
     headings and lists beside them.
     """
-    rest = [b for b in blocks(page) if not b.aside]
+    found = blocks(page)
+    rest = [b for b in found if not b.aside]
+    if not any(_prose(b) for b in rest) and any(b.soft and _prose(b) for b in found):
+        rest = [b for b in found if not b.aside or b.soft]
     inside = [b for b in rest if b.article]
     if not rest:
         return []

@@ -371,6 +371,17 @@ def test_html():
     assert x("<p>cut off in a ta<b") == "cut off in a ta"
 
 
+def test_html_marks():
+    text = "A long sentence of the article, with a comma, stands here."
+    more = "Another sentence of it, with more words, follows."
+    for page in ("<body class='no-sidebar'><p>{}</p></body>", "<body><div class='has-comments'><p>{}</p></div></body>", "<body><main class='with-nav'><p>{}</p></main></body>", "<body class='sidebar'><p>{}</p></body>", "<body><div class='related'><p>{}</p></div></body>"):
+        assert html_extraction.extract_text(page.format(text)) == text
+    page = f"<article><h2 id='Legal_status'>Status</h2><p>{text}</p><section id='discussion'><h2>Discussion</h2><p>{more}</p></section><div class='site-footer'><p>Imprint, terms.</p></div></article>"
+    assert html_extraction.extract_text(page) == f"Status\n\n{text}\n\nDiscussion\n\n{more}"
+    assert html_extraction.extract_text(f"<body><p>{text}</p><div class='comments'><p>{more}</p></div><nav><p>{more}</p></nav></body>") == text
+    assert html_extraction.extract_text(f"<body><nav><p>{text}</p></nav></body>") == ""
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>Hi, you.</p></article>", "clash"), (None, None, None, None)], "page_id long, url string, html string, text string")
     assert sorted(map(str, html_extraction.extract_pages(df).collect())) == sorted(["Row(page_id=1, url='u', text='Hi, you.')", "Row(page_id=None, url=None, text='')"])
