@@ -15,10 +15,10 @@ from prismata.llm.kernels import NOT_ALNUM, text_slices, word_bounds, word_hashe
 # Phrases that always count, and the label of each.
 BASE_PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-# Label, keyword that the lower-cased text must hold, pattern of the name.
+# Label, keywords of which the lower-cased text must hold one (each match of the pattern holds one), pattern of the name.
 LICENSES = (
     ("agpl", "affero", r"affero general public licen[cs]e"),
-    ("lgpl", "lesser", r"(?:lesser|library) general public licen[cs]e"),
+    ("lgpl", "lesser general|library general", r"(?:lesser|library) general public licen[cs]e"),
     ("gpl", "general public", r"general public licen[cs]e"),
     ("apache", "apache", r"apache (?:software )?licen[cs]e"),
     ("mit", "mit", r"\bmit(?:/expat)? licen[cs]e"),
@@ -42,12 +42,12 @@ LICENSES = (
     ("unlicense", "unlicense", r"\bthe unlicense\b"),
     ("wtfpl", "what the", r"do what the f\w*(?: you)? want to public licen[cs]e"),
     ("cc0", "cc0", r"\bcc0(?: public domain dedication| universal)?"),
-    ("cc-by-nc-nd", "nd", r"(?:\bcc[ -]by-nc-nd|attribution-noncommercial-noderiv(?:ative)?s)"),
-    ("cc-by-nc-sa", "sa", r"(?:\bcc[ -]by-nc-sa|attribution-noncommercial-sharealike)"),
-    ("cc-by-nc", "nc", r"(?:\bcc[ -]by-nc|attribution-noncommercial)"),
-    ("cc-by-nd", "nd", r"(?:\bcc[ -]by-nd|attribution-noderiv(?:ative)?s)"),
-    ("cc-by-sa", "sa", r"(?:\bcc[ -]by-sa|attribution-sharealike)"),
-    ("cc-by", "by", r"(?:\bcc[ -]by|creative commons attribution)"),
+    ("cc-by-nc-nd", "cc by-nc|cc-by-nc|attribution-noncommercial", r"(?:\bcc(?: |-)by-nc-nd|attribution-noncommercial-noderiv(?:ative)?s)"),
+    ("cc-by-nc-sa", "cc by-nc|cc-by-nc|attribution-noncommercial", r"(?:\bcc(?: |-)by-nc-sa|attribution-noncommercial-sharealike)"),
+    ("cc-by-nc", "cc by-nc|cc-by-nc|attribution-noncommercial", r"(?:\bcc(?: |-)by-nc|attribution-noncommercial)"),
+    ("cc-by-nd", "cc by-nd|cc-by-nd|attribution-noderiv", r"(?:\bcc(?: |-)by-nd|attribution-noderiv(?:ative)?s)"),
+    ("cc-by-sa", "cc by-sa|cc-by-sa|attribution-sharealike", r"(?:\bcc(?: |-)by-sa|attribution-sharealike)"),
+    ("cc-by", "cc by|cc-by|creative commons", r"(?:\bcc(?: |-)by|creative commons attribution)"),
     ("odbl", "open database", r"open database licen[cs]e"),
     ("pddl", "public domain dedication", r"public domain dedication and licen[cs]e"),
     ("odc-by", "open data commons", r"open data commons attribution licen[cs]e"),
@@ -76,7 +76,7 @@ LICENSES = (
     ("ipl", "ibm public", r"ibm public licen[cs]e"),
     ("apsl", "apple public", r"apple public source licen[cs]e"),
     ("nasa", "nasa open", r"nasa open source agreement"),
-    ("openrail", "openrail", r"(?:creativeml |bigscience )?open ?rail(?:-m)?(?: licen[cs]e)?"),
+    ("openrail", "openrail|open rail", r"(?:creativeml |bigscience )?open ?rail(?:-m)?(?: licen[cs]e)?"),
 )
 
 # Priority (lower wins), confidence, pattern around a name {n}. Each makes one rule of each license.
@@ -104,6 +104,32 @@ GRANTS = (
 )
 
 
+# Label, keyword, pattern of an abbreviation with its version, which stands for the name by itself.
+SHORT = (
+    ("agpl", "agpl", r"\b(?:gnu )?agpl[ -]?(?:v|version )?\d(?:\.\d)*(?:\+|-only|-or-later)?"),
+    ("lgpl", "lgpl", r"\b(?:gnu )?lgpl[ -]?(?:v|version )?\d(?:\.\d)*(?:\+|-only|-or-later)?"),
+    ("gpl", "gpl", r"\b(?:gnu )?gpl[ -]?(?:v|version )?\d(?:\.\d)*(?:\+|-only|-or-later)?"),
+    ("apache", "apache", r"\bapache[ -]?(?:v|version )?2(?:\.0)?\b(?!\.\d)"),
+    ("bsd-4-clause", "bsd", r"\bbsd[ -]4[ -]clause\b"),
+    ("bsd-3-clause", "bsd", r"\bbsd[ -]3(?:[ -]clause)?\b"),
+    ("bsd-2-clause", "bsd", r"\bbsd[ -]2(?:[ -]clause)?\b"),
+    ("0bsd", "0bsd", r"\b0bsd\b"),
+    ("mpl", "mpl", r"\bmpl[ -]?(?:v|version )?[12](?:\.\d)?\b"),
+    ("epl", "epl", r"\bepl[ -]?(?:v|version )?[12](?:\.\d)?\b"),
+    ("cddl", "cddl", r"\bcddl[ -]?(?:v|version )?1(?:\.\d)?\b"),
+    ("eupl", "eupl", r"\beupl[ -]?(?:v|version )?1(?:\.\d)?\b"),
+    ("bsl", "bsl", r"\bbsl-1\.0\b"),
+)
+
+# Label, keyword, abbreviation that counts after words of a grant only.
+GRANTED = tuple((label, word, rf"(?:licen[cs]ed|released|distributed|available|provided|published) under (?:the )?(?:terms of (?:the )?)?(?:gnu )?{word}\b") for label, word in (("agpl", "agpl"), ("lgpl", "lgpl"), ("gpl", "gpl"), ("mit", "mit"), ("bsd", "bsd"), ("isc", "isc"), ("mpl", "mpl"), ("epl", "epl"), ("cddl", "cddl")))
+
+
+def _spaces(pattern: str) -> str:
+    """Any white space for each space outside a character class, none too where a question mark follows it."""
+    return re.sub(r"\[[^\]]*\]| \??", lambda m: m[0].replace(" ", r"\s") if m[0][0] == "[" else r"\s*" if m[0] == " ?" else r"\s+", pattern)
+
+
 class Rule(NamedTuple):
     priority: int
     order: int
@@ -125,8 +151,9 @@ class Found(NamedTuple):
 def rules() -> list[Rule]:
     """All rules in order: by priority, then as listed."""
     made = [(p, c, label, word, t.replace("{n}", n)) for p, c, t in TEMPLATES for label, word, n in LICENSES]
-    listed = sorted([*made, *GRANTS], key=lambda r: r[0])
-    return [Rule(p, k, label, word, re.compile(x.replace(" ", r"\s+")), c) for k, (p, c, label, word, x) in enumerate(listed)]
+    short = [*((3, 0.85, *x) for x in SHORT), *((4, 0.75, *x) for x in GRANTED)]
+    listed = sorted([*made, *GRANTS, *short], key=lambda r: r[0])
+    return [Rule(p, k, label, word, re.compile(_spaces(x)), c) for k, (p, c, label, word, x) in enumerate(listed)]
 
 
 def resolve(found: list[Found]) -> list[Found]:
@@ -149,15 +176,12 @@ class Scanner:
         self.by_word: dict[str, list[Rule]] = {}
         for r in self.rules:
             self.by_word.setdefault(r.keyword, []).append(r)
-        self.words = {w: re.compile(r"\s+".join(map(re.escape, w.split()))) for w in self.by_word}
-        self.gate = re.compile(r"licen[cs]|all\s+rights|permission|redistribution|\bcc[ -]?(?:by|0)|as-is|unencumbered|public\s+domain|creative\s+commons|attribution|rail|free\s+software\s+foundation|open\s+source")
+        self.words = {w: [(k.split()[0], re.compile(r"\s+".join(map(re.escape, k.split()))) if " " in k else None) for k in w.split("|")] for w in self.by_word}
 
     def scan(self, text: str) -> list[Found]:
-        if not self.gate.search(text):
-            return []
         found = []
         for word, its in self.by_word.items():
-            if (word in text) if " " not in word else self.words[word].search(text):
+            if any(first in text and (rest is None or rest.search(text)) for first, rest in self.words[word]):
                 found += [Found(m.start(), m.end(), r.label, r.order, r.priority, r.confidence) for r in its for m in r.pattern.finditer(text)]
         return resolve(found)
 

@@ -361,6 +361,21 @@ def test_license_rules():
     assert license_scan.resolve([a, license_scan.Found(2, 8, "b", 0, 0, 0.9), license_scan.Found(3, 5, "c", 9, 2, 0.1)]) == [a, license_scan.Found(2, 8, "b", 0, 0, 0.9)]
 
 
+def test_license_gates():
+    s = license_scan.Scanner()
+    got = lambda t: [f.label for f in s.scan(t)]
+    for text, label in {
+        "the gnu library general public license": "lgpl", "released under zero-clause bsd": "0bsd", "0-clause bsd": "0bsd", "attribution-noncommercial-noderivs": "cc-by-nc-nd", "attribution-sharealike 4.0": "cc-by-sa", "creative commons attribution": "cc-by",
+        "uses gplv3": "gpl", "lgpl-2.1": "lgpl", "agpl 3.0 or later": "agpl", "mpl 2.0": "mpl", "apache-2.0": "apache", "bsd-3-clause": "bsd-3-clause", "released under the gpl": "gpl", "license:mit license": "mit", "an openrail-m": "openrail", "open rail": "openrail", "spdx-license-identifier:mit": "spdx",
+    }.items():
+        assert got(text) == [label], text
+    assert got("apache 2.4 serves, apache 2.0.55 too; mit students, the gplates and bsd 2000") == []
+    # every rule's keyword holds wherever its pattern matches, tried on the names that the pattern spells out
+    for r in s.rules:
+        for m in filter(r.pattern.search, (f"licensed under the {w} 2.0" for w in ("gnu library general public license", "gnu lesser general public licence", "zero-clause bsd", "cc by-nc-nd", "cc-by-sa", "attribution-noderivatives", "creativeml openrail-m"))):
+            assert any(first in m and (rest is None or rest.search(m)) for first, rest in s.words[r.keyword]), (r, m)
+
+
 def test_html():
     x = html_extraction.extract_text
     page = "<html><head><title>T</title><script>if(a<b){}</script></head><body><nav><a href=/>Home</a></nav><article><h1>Head &amp; line</h1><p>One,\n two <b>three</b>.<p>Four &lt;five&gt;.<div class='ad'>Buy</div><ul><li>a<li>b</ul></article><footer>c</footer></body></html>"
