@@ -10,33 +10,46 @@ from prismata.llm import decontamination, language_model, mixing, ngram_join, qu
 from prismata.llm.scratch import Scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+ROW = "__row"
 BROADCAST_ROWS = 1_000_000
 
 
-def _without(docs: DataFrame, ids: DataFrame, label: str) -> DataFrame:
-    """The rows whose doc_id isn't among ``ids``; broadcast up to a checked number of ids, a shuffle beyond. Rows without id stay."""
-    ids = Scratch(docs.sparkSession, label).write(ids.select(F.col("doc_id").alias("__gone")).where("__gone is not null").distinct(), "gone")
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    return docs.join(ids, F.col("doc_id") == F.col("__gone"), "left_anti")
+def _keyed(docs: DataFrame, label: str) -> DataFrame:
+    """The stage's input, written with a key of its own for each row, so that null and repeated ids are told apart."""
+    return Scratch(docs.sparkSession, label).write(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
+
+
+def _without(docs: DataFrame, rows: DataFrame, label: str) -> DataFrame:
+    """The rows of a keyed table whose key isn't among ``rows``; broadcast up to a checked number of keys, a shuffle beyond."""
+    gone = Scratch(docs.sparkSession, label).write(rows.select(F.col(ROW).alias("__gone")), "gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return docs.join(gone, F.col(ROW) == F.col("__gone"), "left_anti")
 
 
 def filter_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored 0.3 or more go. The index learns from the labelled rows that aren't held out."""
+    """Rows scored 0.3 or more go, each by its own text. The index learns from the labelled rows that aren't held out."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     index = toxicity.train(docs.where(~language_model.held_out(4)), labels)
-    toxic = toxicity.score_toxicity(docs, index).where("score >= 0.3")
+    docs = _keyed(docs, "filter-toxic")
+    toxic = toxicity.score_toxicity(docs, index, ROW).where("score >= 0.3")
     return _without(docs, toxic, "filter-toxic").select(*COLUMNS)
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked at a Jaccard similarity of 0.8 the one with the smallest id stays."""
-    linked = ngram_join.ngram_jaccard_join(docs)
-    return _without(docs, linked.where("doc_id <> component_id"), "join-near-copies").select(*COLUMNS)
+    """Of rows linked at a Jaccard similarity of 0.8 one stays: that of the smallest id, null ids last; of equal ids any one."""
+    docs = _keyed(docs, "join-near-copies")
+    linked = ngram_join.ngram_jaccard_join(docs, ROW).where("n_links > 0").select(ROW, "component_id")
+    linked = Scratch(spark, "join-near-copies").write(linked.join(docs.select(ROW, "doc_id"), ROW), "linked")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW))[ROW].alias("__first")
+    kept = linked.groupBy("component_id").agg(first)
+    gone = linked.join(kept, F.col(ROW) == F.col("__first"), "left_anti")
+    return _without(docs, gone, "join-near-copies").select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a copy of a benchmark item go."""
-    return decontamination.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
+    """Rows that hold a copy of a benchmark item go, each by its own text."""
+    docs = _keyed(docs, "decontaminate")
+    return decontamination.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), ROW).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -418,3 +418,41 @@ def test_pipeline(spark, sf):
         kept = stage(spark, kept, sf)
         assert kept.columns == corpus_pipeline.COLUMNS
     assert {r.doc_id for r in out.select("doc_id").collect()} <= {r.doc_id for r in kept.select("doc_id").collect()}
+
+
+def test_pipeline_rows(spark, tmp_path):
+    """Null and repeated ids by brute force: each row goes or stays by its own text."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(7)
+    plain = lambda k: " ".join(f"plain{w}" for w in rng.integers(0, 3000, k))
+    item = " ".join(f"asked{k}" for k in range(20))
+    rows = [(k, plain(30) + (" vile nasty" if k % 5 == 0 else "")) for k in range(300)]
+    marks = [(k, int(k % 5 == 0)) for k in range(300)]
+    toxic, twin, pair = plain(30) + " vile nasty", plain(40), plain(40)
+    rows += [(None, toxic), (None, plain(30)), (None, f"{plain(10)} {item} {plain(10)}"), (900, plain(30)), (900, toxic + " more"), (901, plain(30)), (901, f"{item} {plain(10)}")]
+    rows += [(902, twin), (902, twin + " end"), (902, twin), (None, pair), (None, pair), (904, pair), (903, pair), (None, ""), (None, ""), (905, None), (905, None)]
+    corpus = str(tmp_path)
+    docs = spark.createDataFrame([(k, t, "en", "web", len(t or "")) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(3).write.parquet(f"{corpus}/documents.parquet")
+    spark.createDataFrame(marks, "doc_id long, toxic int").write.parquet(f"{corpus}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{corpus}/benchmark.parquet")
+
+    def near(a, b):
+        x, y = shingles(a), shingles(b)
+        return bool(x and y) and 100 * len(x & y) >= 80 * len(x | y)
+
+    want = [(k, t) for k, t in rows if "vile" not in (t or "")]
+    groups = []
+    for r in sorted(want, key=lambda r: (r[0] is None, r[0] or 0)):
+        home = next((g for g in groups if any(near(r[1], t) for _, t in g)), None)
+        groups.append([r]) if home is None else home.append(r)
+    order = lambda x: sorted(x, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    out = spark.read.parquet(f"{corpus}/documents.parquet")
+    out = corpus_pipeline.filter_toxic(spark, out, corpus)
+    assert order((r.doc_id, r.text) for r in out.collect()) == order(want)
+    out = corpus_pipeline.join_near_copies(spark, out, corpus)
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert len(got) == len(groups) and all(sum(r in g for r in got) >= 1 for g in groups) and collections.Counter(k for k, _ in got) == collections.Counter(g[0][0] for g in groups)
+    out = corpus_pipeline.decontaminate(spark, out, corpus)
+    assert order((r.doc_id, r.text) for r in out.collect()) == order(r for r in got if item not in (r[1] or ""))
