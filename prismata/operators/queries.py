@@ -273,6 +273,8 @@ CASES: dict[str, tuple[str, str, str]] = {
 # Two of these read part of a table only; here they are over the whole of it.
 _dax, _names, _sql = CASES["generate_all"]
 CASES["generate_all_whole"] = (_dax.replace("FILTER(customer, customer[c_custkey] <= 300)", "customer"), _names, _sql.replace(" WHERE c_custkey <= 300", ""))
+_dax, _names, _sql = CASES["date_functions"]
+CASES["date_functions_whole"] = (_dax.replace("TOPN(50, orders, orders[o_orderkey], 1)", "orders"), _names, _sql.removesuffix(" ORDER BY o_orderkey LIMIT 50"))
 
 
 def _run(text: str, names: list[str]) -> Callable[[SparkSession, str], DataFrame]:

@@ -41,7 +41,7 @@ def test_against_sql(spark, sf, duck, name):
     assert got == sorted((tuple(plain(r[k]) for k in order) for r in want.fetchall()), key=key)
 
 
-@pytest.mark.parametrize("name, table", [("generate_all_whole", "customer")])
+@pytest.mark.parametrize("name, table", [("generate_all_whole", "customer"), ("date_functions_whole", "orders")])
 def test_whole_tables(spark, name, table):
     """Every row of the table comes out, at a size at which the cut queries leave most of them."""
     sf = "/root/testdata/sf0.01"
