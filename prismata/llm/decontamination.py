@@ -1,9 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds join documents to test items, Smith-Waterman alignment scores what they meet.
+"""Benchmark decontamination: n-gram seeds join documents to test items, Smith-Waterman alignment scores what they meet.
 
 The test items are the stated query set: they are held, in blocks of bounded size, by every task that
-reads documents, so documents are never shuffled. A first pass counts, over all documents, how many
-hold each item n-gram; the rarer half of an item's n-grams are its seeds, so that an item that leaked
-into many documents keeps its seeds too. The second pass aligns a window around the seeds met.
+reads documents, so documents are never shuffled. All n-grams of an item are its seeds, whatever the
+corpus; a window around the seeds met is aligned unless the words that it shares with the item cannot
+reach the threshold. Items too short for an alignment are looked for as they stand.
 """
 
 from __future__ import annotations
@@ -12,13 +12,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from prismata.llm.kernels import NOT_ALNUM, SHORT_SLICE, ngram_hashes, text_slices, word_bounds, word_hashes
 from prismata.llm.scratch import Scratch
 
 STEM = 5  # bytes of a word's beginning that earn half a match
 MATCH, STEM_MATCH, MISS, GAP = 2, 1, -1, -1
+# Scripts written without spaces: each character is a word of its own.
+UNSPACED = r"([\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}])"
 
 
 class Items:
@@ -27,6 +29,7 @@ class Items:
     def __init__(self, ids: list[int], texts: list[str | None], n: int, least: int):
         self.n = n
         self.ids, self.words, self.stems = [], [], []
+        self.short: dict[int, dict[int, list[tuple[int, np.ndarray]]]] = {}  # by length and hash: ids and words of items that are too short for an alignment
         grams, items, offsets = [], [], []
         for _, _, data, bounds in text_slices(pa.array(texts, pa.string()), 1 << 40):
             starts, ends, first = word_bounds(data, bounds, NOT_ALNUM)
@@ -34,6 +37,8 @@ class Items:
             stems = word_hashes(data, starts, np.minimum(ends, starts + STEM))
             for k, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
                 if b - a < max(n, least):
+                    if b - a > 1:
+                        self.short.setdefault(b - a, {}).setdefault(int(ngram_hashes(words[a:b], b - a)[0]), []).append((ids[k], words[a:b]))
                     continue
                 g = ngram_hashes(words[a:b], n)
                 grams.append(g)
@@ -47,13 +52,6 @@ class Items:
         order = np.argsort(self.gram, kind="stable")
         self.gram, self.item, self.offset = self.gram[order], self.item[order], self.offset[order]
 
-    def keep_rare(self, counts: dict[int, int]) -> None:
-        """Keep of each item the rarer half of its n-grams, those that tie with the last of them, and all that no more than two documents hold."""
-        df = np.array([counts.get(int(g), 0) for g in self.gram.view(np.int64)], np.int64)
-        limit = np.array([np.sort(df[self.item == k])[(int((self.item == k).sum()) - 1) // 2] for k in range(len(self.ids))], np.int64)
-        ok = (df <= np.maximum(limit[self.item], 2)) if len(df) else np.zeros(0, bool)
-        self.gram, self.item, self.offset = self.gram[ok], self.item[ok], self.offset[ok]
-
 
 def _doc_grams(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Word starts and ends, first word of each text, n-gram hashes, and the text of each n-gram (-1 where it runs over an edge)."""
@@ -87,6 +85,10 @@ def _windows(diagonals: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(d[np.concatenate([[0], cut + 1])].tolist(), d[np.concatenate([cut, [len(d) - 1]])].tolist(), strict=True))
 
 
+def _spaced(text: Column) -> Column:
+    return F.regexp_replace(text.cast("string"), UNSPACED, " $1 ")
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = 3, least_words: int = 8, threshold: float = 0.5, block_bytes: int = 8 << 20) -> DataFrame:
     """Find documents that hold a copy, edited or not, of a test item.
 
@@ -95,13 +97,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     words from 0). Clean documents have no row.
 
     Words are runs of ASCII letters and digits and of all other non-ASCII characters, A-Z lower-cased.
-    Items of fewer than ``least_words`` words, null ones too, are too short to tell a copy from chance and
-    have no rows. Null and empty documents match nothing. Null and repeated ids pass through, a row for each
+    In scripts without spaces each character is a word. Items of fewer than ``least_words`` words match where
+    they stand unchanged, at their first place; those of one word tell no copy from chance and have no rows,
+    nor have null ones. Null and empty documents match nothing. Null and repeated ids pass through, a row for each
     time; equal items each get their rows. Other columns are not read.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    tests = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _spaced(F.col(text_col)).alias("text"))
+    tests = benchmark.select(F.col(item_col).cast("long").alias("item_id"), _spaced(F.col(item_text)).alias("text"))
     total = tests.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_blocks = max(1, -(-total // block_bytes))
     found = None
@@ -115,25 +118,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 
 def _match(spark, rows: DataFrame, items: Items, threshold: float) -> DataFrame:
-    asked = spark.sparkContext.broadcast(np.unique(items.gram))
     n = items.n
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(len(asked.value), np.int64)
-        for batch in batches:
-            for _, _, data, offsets in text_slices(batch.column("text"), SHORT_SLICE):
-                *_, grams, owner = _doc_grams(data, offsets, n)
-                if len(asked.value) and len(grams):
-                    at = np.minimum(np.searchsorted(asked.value, grams), len(asked.value) - 1)
-                    ok = (asked.value[at] == grams) & (owner >= 0)
-                    pairs = np.unique(owner[ok] * len(asked.value) + at[ok])
-                    sums += np.bincount(pairs % len(asked.value), minlength=len(asked.value))
-        k = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(asked.value[k].view(np.int64)), pa.array(sums[k])], names=["gram", "n"])
-
-    counts = {r["gram"]: r["n"] for r in rows.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()}  # at most one row an item n-gram
-    items.keep_rare(counts)
-    asked.unpersist()
     held = spark.sparkContext.broadcast(items)
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,6 +127,7 @@ def _match(spark, rows: DataFrame, items: Items, threshold: float) -> DataFrame:
             out = []
             for a, _, data, offsets in text_slices(batch.column("text"), SHORT_SLICE):
                 starts, ends, first, grams, owner = _doc_grams(data, offsets, n)
+                out += [(a + t, *rest) for t, *rest in _short(its, data, starts, ends, first)]
                 low = np.searchsorted(its.gram, grams, "left")
                 many = np.where(owner >= 0, np.searchsorted(its.gram, grams, "right") - low, 0)
                 hit = np.repeat(np.flatnonzero(many), many[many > 0])
@@ -168,6 +154,22 @@ def _match(spark, rows: DataFrame, items: Items, threshold: float) -> DataFrame:
     return rows.mapInArrow(align, "doc_id long, item_id long, score double, first_word long, last_word long")
 
 
+def _short(items: Items, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, float, int, int]]:
+    """(text, item, score, first and last word) of each short item at its first place in each text."""
+    words = word_hashes(data, starts, ends) if items.short else starts
+    for size, its in items.short.items():
+        grams = ngram_hashes(words, size)
+        at = np.flatnonzero(np.isin(grams, np.array(list(its), np.uint64)))
+        text = np.searchsorted(first, at, "right") - 1
+        seen = set()
+        for t, k in zip(text.tolist(), at.tolist(), strict=True):
+            if k + size <= first[t + 1] and (t, grams[k]) not in seen:
+                seen.add((t, grams[k]))
+                for i, own in its[int(grams[k])]:
+                    if (words[k : k + size] == own).all():
+                        yield t, i, 1.0, k - int(first[t]), k - int(first[t]) + size - 1
+
+
 def _best(words: np.ndarray, stems: np.ndarray, item: np.ndarray, item_stems: np.ndarray, diagonals: np.ndarray, threshold: float) -> tuple[float, int, int] | None:
     """The best alignment of an item over its windows in a text: (share of a copy's score, first and last word)."""
     best = None
@@ -175,6 +177,9 @@ def _best(words: np.ndarray, stems: np.ndarray, item: np.ndarray, item_stems: np
     slack = len(item) // 2 + 2
     for low, high in _windows(diagonals, len(item)):
         a, b = max(0, low - slack), min(len(words), high + len(item) + slack)
+        most = np.where(np.isin(item, words[a:b]), MATCH, np.where(np.isin(item_stems, stems[a:b]), STEM_MATCH, 0)).sum()
+        if most < threshold * whole:  # no alignment scores more
+            continue
         score, end = smith_waterman(words[a:b], stems[a:b], item, item_stems)
         if score >= threshold * whole and (best is None or score > best[0]):
             tail = slice(a, a + end)

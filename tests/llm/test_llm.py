@@ -341,6 +341,20 @@ def test_decontamination(spark, odd):
     assert decontamination.drop_leaks(odd, tests).count() == len(ODD)
 
 
+def test_decontamination_short_and_common(spark):
+    """Short items, scripts without spaces, and an edited copy of which only n-grams that many documents hold are unbroken."""
+    asked = [f"q{k}" for k in range(24)]
+    edited = [w if k < 15 else f"x{k}" for k, w in enumerate(asked)]
+    common = [(100 + k, f"y{k} " + " ".join(asked[:3]) + f" z{k} " + " ".join(asked[3:15])) for k in range(8)]
+    chinese, long = "今天天气很好", "人工智能正在改变世界各地的人们工作和生活方式"
+    rows = [(1, "so it says What is two plus two? here"), (2, "what is two plus three"), (3, f"他说{chinese}所以出门"), (4, "w1 w2"), (5, f"据说{long[:12]}了{long[12:]}吗"), (6, " ".join(edited)), (7, None), *common]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, "what is two plus two"), (2, chinese), (3, "w1"), (4, long), (5, " ".join(asked)), (6, None)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontamination.find_leaks(df, items).collect()}
+    assert {k for k in got if k[0] < 100} == {(1, 1), (3, 2), (5, 4), (6, 5)}
+    assert (got[1, 1].score, got[1, 1].first_word, got[1, 1].last_word) == (1.0, 3, 7)
+
+
 def test_license_base_counts(docs, odd):
     for table in (docs, odd):
         for r, t in zip(license_scan.scan_licenses(table).collect(), [x.text for x in table.select("text").collect()], strict=True):
