@@ -15,11 +15,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from prismata.llm.kernels import NOT_ALNUM, SHORT_SLICE, mix, pack, text_slices, unpack, word_bounds, word_hashes
+from prismata.llm.kernels import NOT_ALNUM, SHORT_SLICE, mix, pack, ragged, text_slices, unpack, word_bounds, word_hashes
 from prismata.llm.scratch import Scratch
 
 BEGIN = 5  # bytes of a word's beginning
-BLOCK = 512  # examples in a block of the index
+BLOCK = 2048  # examples in a block of the index
+WIDE = 16  # a term that one in so many examples hold is a dense column, the others are postings
+GROUP, FEW = 64, 8  # texts that are searched together, and whose postings are added up together
+SLACK = 1e-5  # more than single precision loses in a similarity
 NEAR = 25
 CHI = 3.0  # the chi-square that doubles a term's weight
 POWER = 2  # of the similarity in a vote
@@ -72,14 +75,8 @@ def term_weights(n: np.ndarray, pos: np.ndarray, rows: int, toxic: int) -> np.nd
     return (np.log((1 + rows) / (1 + n)) + 0.1) * (1 + gap / CHI)
 
 
-def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All places of the ranges one after the other, and the length of each range."""
-    many = high - low
-    return np.arange(many.sum()) + np.repeat(low - np.cumsum(many) + many, many), many
-
-
 class Index:
-    """Examples over all their terms, in blocks; per term its postings and its largest weight in each block.
+    """Examples over all their terms, in blocks; per term its weights, or postings, and its largest weight in each block.
 
     Terms of no example are not kept: they would add nothing to any product and change a text's length only.
     """
@@ -89,10 +86,20 @@ class Index:
         self.terms, self.weight = terms[order], weight[order]
         self.ids = np.zeros(0, np.int64)
         self.labels = np.zeros(0)
-        self.n_blocks = 0
+        self.term = self.example = np.zeros(0, np.int32)
+        self.value = np.zeros(0, np.float32)
         self.blank = 0.0  # score of a text that shares no term with any example
         self.cuts, self.levels = np.zeros(0), np.zeros(1)
 
+    def __getstate__(self) -> dict:
+        """What is broadcast: the weights of the examples once; each worker lays them out itself."""
+        own = ("terms", "weight", "ids", "labels", "term", "example", "value", "blank", "cuts", "levels")
+        return {k: self.__dict__[k] for k in own}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._lay_out()
+
     def weigh(self, text: np.ndarray, at: np.ndarray, times: np.ndarray, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """(terms by index, weights of unit length) of each of ``n`` texts, from entries that are ordered by text."""
         weight = (1 + np.log(times)) * self.weight[at]
@@ -115,65 +122,113 @@ class Index:
         """Store the examples and say where each went; those with the same heaviest term lie together, which keeps block bounds tight."""
         order = sorted(range(len(ids)), key=lambda k: (int(vectors[k][0][np.argmax(vectors[k][1])]), len(vectors[k][0]), int(ids[k])))
         self.ids, self.labels = ids[order], labels[order].astype(float)
-        self.n_blocks = -(-len(order) // BLOCK)
         term = np.concatenate([vectors[k][0] for k in order])
-        value = np.concatenate([vectors[k][1] for k in order]).astype(np.float32)
-        example = np.repeat(np.arange(len(order), dtype=np.int32), [len(vectors[k][0]) for k in order])
         by = np.argsort(term, kind="stable")
-        term, self.value, self.example = term[by], value[by], example[by]
-        block = self.example // BLOCK
-        new = np.flatnonzero(np.concatenate([[True], (np.diff(term) != 0) | (np.diff(block) != 0)]))
-        self.start = np.append(new, len(term))  # the postings of an entry, which is a term in a block
-        self.block, self.most = block[new], np.maximum.reduceat(self.value, new)
-        self.first = np.searchsorted(term[new], np.arange(len(self.terms) + 1))  # the entries of a term
+        self.term = term[by].astype(np.int32)
+        self.value = np.concatenate([vectors[k][1] for k in order])[by].astype(np.float32)
+        self.example = np.repeat(np.arange(len(order), dtype=np.int32), [len(vectors[k][0]) for k in order])[by]
+        self._lay_out()
         place = np.zeros(len(order), np.int64)
         place[order] = np.arange(len(order))
         return place
 
-    @property
-    def postings(self) -> list[dict[int, tuple[np.ndarray, np.ndarray]]]:
-        """Of each term, by block, the examples (from 0 in their block) and their weights."""
-        part = [(int(b), (self.example[x:y] - int(b) * BLOCK, self.value[x:y])) for b, x, y in zip(self.block, self.start[:-1], self.start[1:], strict=True)]
-        return [dict(part[a:b]) for a, b in zip(self.first[:-1], self.first[1:], strict=True)]
+    def _lay_out(self) -> None:
+        n, n_terms = len(self.ids), len(self.terms)
+        self.n_blocks = -(-n // BLOCK)
+        wide = np.flatnonzero(np.bincount(self.term, minlength=n_terms) * WIDE >= max(n, 1))
+        self.column = np.full(n_terms, -1, np.int32)
+        self.column[wide] = np.arange(len(wide))
+        column = self.column[self.term]
+        dense = column >= 0
+        self.dense = np.zeros((n, len(wide)), np.float32)
+        self.dense[self.example[dense], column[dense]] = self.value[dense]
+        self.dense_most = np.maximum.reduceat(self.dense, np.arange(0, n, BLOCK), axis=0) if n else self.dense
+        term, example, value = self.term[~dense], self.example[~dense], self.value[~dense]
+        self.posting = np.stack([example, value.view(np.int32)], axis=1).view(np.int64).ravel()  # both in one word, for one gather
+        block = example // BLOCK
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(term) != 0) | (np.diff(block) != 0)])) if len(term) else np.zeros(0, np.int64)
+        self.start = np.append(new, len(term))  # the postings of an entry, which is a term in a block
+        self.block, self.most = block[new], np.maximum.reduceat(value, new) if len(new) else value
+        self.first = np.searchsorted(term[new], np.arange(n_terms + 1))  # the entries of a term
 
-    def nearest(self, at: np.ndarray, weight: np.ndarray, near: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The ``near`` most similar examples and all that tie with the last of them; never those at similarity 0.
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], near: int, skip: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text the ``near`` most similar examples and all that tie with the last of them, with their similarities.
 
-        Blocks are opened by falling bound, in growing rounds, while the bound reaches the similarity that is last so far.
+        Never those at similarity 0, nor the one example that ``skip`` names for each text. A text opens the
+        block of its highest bound, then those whose bound reaches the similarity that is last so far.
         """
-        entry, many = _ranges(self.first[at], self.first[at + 1])
-        weight, block = np.repeat(weight, many), self.block[entry]
-        bound = np.bincount(block, weight * self.most[entry], self.n_blocks)
-        order = np.argsort(-bound, kind="stable")
-        found, similar, last, done, step = [], [], 1e-9, 0, 4
-        while done < len(order) and bound[order[done]] >= last - 1e-9 and bound[order[done]] > 0:
-            wave = np.zeros(self.n_blocks, bool)
-            wave[order[done : done + step]] = True
-            pick = wave[block] & (bound[block] >= last - 1e-9)
-            place, many = _ranges(self.start[entry[pick]], self.start[entry[pick] + 1])
-            s = np.bincount(self.example[place], np.repeat(weight[pick], many) * self.value[place], len(self.ids))
-            k = np.flatnonzero((s > 0) & (s >= last - 1e-9))
-            k = k[k != skip]
-            found.append(k)
-            similar.append(s[k])
-            if sum(map(len, found)) >= near:
-                last = max(last, np.partition(np.concatenate(similar), -near)[-near])
-            done, step = done + step, step * 2
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0)
-        k, s = np.concatenate(found), np.concatenate(similar)
-        ok = s >= last - 1e-9
-        order = np.lexsort((self.ids[k[ok]], -s[ok]))
-        return k[ok][order], s[ok][order]
-
-    def vote(self, at: np.ndarray, weight: np.ndarray, near: int, skip: int = -1) -> tuple[float, np.ndarray] | None:
-        if not len(at):
-            return None
-        k, s = self.nearest(at, weight, near, skip)
-        if not len(k):
-            return None
-        s = s**POWER
-        return float((s * self.labels[k]).sum() / s.sum()), k[:3]
+        if not len(self.ids):
+            return [(np.zeros(0, np.int64), np.zeros(0))] * len(vectors)
+        out = []
+        for a in range(0, len(vectors), GROUP):
+            out += self._nearest(vectors[a : a + GROUP], near, skip and skip[a : a + GROUP])
+        return out
+
+    def _nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], near: int, skip: list[int] | None) -> list[tuple[np.ndarray, np.ndarray]]:
+        n, size, blocks = len(vectors), len(self.ids), self.n_blocks
+        at, weight = (np.concatenate([v[k] for v in vectors]) for k in (0, 1))
+        text = np.repeat(np.arange(n), [len(v[0]) for v in vectors])
+        column = self.column[at]
+        wide = column >= 0
+        exact = np.zeros((n, self.dense.shape[1]))
+        exact[text[wide], column[wide]] = weight[wide]
+        query = exact.astype(np.float32)
+        at, weight, text = at[~wide], weight[~wide], text[~wide]
+        many = self.first[at + 1] - self.first[at]
+        entry, weight, text = ragged(self.first[at], many), np.repeat(weight, many), np.repeat(text, many)
+        key = text * blocks + self.block[entry]
+        bound = query @ self.dense_most.T + np.bincount(key, weight * self.most[entry], n * blocks).reshape(n, blocks)
+        best = bound.argmax(1)
+        first = np.arange(blocks) == best[:, None]
+        sums, sparse, least = np.zeros((n, size), np.float32), np.zeros((n, size)), np.zeros(n)
+        for todo in (first, None):
+            if todo is None:
+                todo = (bound > 0) & (bound >= least[:, None] - SLACK) & ~first
+            pick = todo.ravel()[key]
+            self._add_postings(text[pick], entry[pick], weight[pick], sparse)
+            for b in np.flatnonzero(todo.any(0)):
+                rows, its = np.flatnonzero(todo[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
+                one = query[rows] @ self.dense[its].T
+                one += sparse[rows, its]
+                sums[rows, its] = one
+                if todo is first and one.shape[1] > near:
+                    least[rows] = np.partition(one, -near - 1, axis=1)[:, -near - 1]  # one example may be skipped
+        if skip:
+            sums[np.arange(n), skip] = 0
+        out = []
+        for t in range(n):
+            k = np.flatnonzero(sums[t] >= max(least[t] - SLACK, 1e-12))
+            if len(k) > near:
+                one = sums[t, k]
+                k = k[one >= np.partition(one, -near)[-near] - SLACK]
+            s = np.round(sparse[t, k] + self.dense[k].astype(float) @ exact[t], 9)
+            ok = s >= np.partition(s, -near)[-near] if len(s) > near else np.ones(len(s), bool)
+            order = np.lexsort((self.ids[k[ok]], -s[ok]))
+            out.append((k[ok][order], s[ok][order]))
+        return out
+
+    def _add_postings(self, text: np.ndarray, entry: np.ndarray, weight: np.ndarray, sums: np.ndarray) -> None:
+        """Add the products of the entries' postings to the sums of the texts, which are in order."""
+        n, size = sums.shape
+        cuts = np.searchsorted(text, np.arange(0, n + FEW, FEW))
+        for low, a, b in zip(range(0, n, FEW), cuts[:-1], cuts[1:], strict=False):
+            start = self.start[entry[a:b]]
+            many = self.start[entry[a:b] + 1] - start
+            got = self.posting[ragged(start, many)]
+            place = np.repeat((text[a:b] - low) * size, many)
+            place += got.view(np.int32)[::2]
+            product = np.repeat(weight[a:b], many)
+            product *= got.view(np.float32)[1::2]
+            own = sums[low : low + FEW]
+            own += np.bincount(place, product, own.size).reshape(own.shape)
+
+    def votes(self, vectors: list[tuple[np.ndarray, np.ndarray]], near: int, skip: list[int] | None = None) -> list[tuple[float, np.ndarray] | None]:
+        """The share of label 1 among the nearest by their similarity, and the three nearest; None for a text that has none."""
+        out: list[tuple[float, np.ndarray] | None] = []
+        for k, s in self.nearest(vectors, near, skip):
+            s = s**POWER
+            out.append((float((s * self.labels[k]).sum() / s.sum()), k[:3]) if len(k) else None)
+        return out
 
     def calibrate(self, votes: np.ndarray, labels: np.ndarray) -> None:
         """Pool adjacent violators over the leave-one-out votes; a level is the smoothed share of label 1."""
@@ -194,11 +249,8 @@ class Index:
             self.cuts = np.array([p[2] for p in pools[1:]])
             self.levels = np.array([(p[0] + 0.5) / (p[1] + 1) for p in pools])
 
-    def score(self, vector: tuple[np.ndarray, np.ndarray], near: int) -> tuple[float, list[int]]:
-        got = self.vote(*vector, near)
-        if got is None:
-            return self.blank, []
-        return float(self.levels[np.searchsorted(self.cuts, got[0], "right")]), [int(x) for x in self.ids[got[1]]]
+    def scores(self, vectors: list[tuple[np.ndarray, np.ndarray]], near: int) -> list[tuple[float, list[int]]]:
+        return [(self.blank, []) if got is None else (float(self.levels[np.searchsorted(self.cuts, got[0], "right")]), [int(x) for x in self.ids[got[1]]]) for got in self.votes(vectors, near)]
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", drawn: int = 40_000, examples: int = 6_000, near: int = NEAR) -> Index:
@@ -253,7 +305,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         own = index.weigh(np.repeat(np.arange(len(got)), [len(x) for x in sets]), np.searchsorted(known, np.concatenate(sets)), np.concatenate([unpack(r["times"]) for r in got]), len(got))
         y = np.array([r["toxic"] for r in got])
         place = index.fill(np.array([r["id"] for r in got], np.int64), y, own)
-        votes = [(vote[0], label) for k, v, label in zip(place.tolist(), own, y, strict=True) if (vote := index.vote(*v, near, k))]
+        votes = [(vote[0], label) for vote, label in zip(index.votes(own, near, place.tolist()), y, strict=True) if vote]
         if votes:
             index.calibrate(np.array([v for v, _ in votes]), np.array([t for _, t in votes]))
     scratch.drop("drawn")
@@ -273,14 +325,13 @@ def score_toxicity(docs: DataFrame, index: Index, id_col: str = "doc_id", text_c
         seen: dict[bytes, tuple[float, list[int]]] = {}
         for batch in batches:
             for a, b, data, offsets in text_slices(batch.column("text"), SHORT_SLICE):
-                out = []
-                for v in shared.value.vectors(data, offsets):
-                    key = hashlib.blake2b(v[0].tobytes() + v[1].tobytes(), digest_size=16).digest()
-                    if key not in seen:
-                        if len(seen) > 50_000:
-                            seen.clear()
-                        seen[key] = shared.value.score(v, near)
-                    out.append(seen[key])
+                vectors = shared.value.vectors(data, offsets)
+                keys = [hashlib.blake2b(v[0].tobytes() + v[1].tobytes(), digest_size=16).digest() for v in vectors]
+                if len(seen) > 50_000:
+                    seen.clear()
+                new = {k: v for k, v in zip(keys, vectors, strict=True) if k not in seen}
+                seen.update(zip(new, shared.value.scores(list(new.values()), near), strict=True))
+                out = [seen[k] for k in keys]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.list_(pa.int64()))], names=["doc_id", "score", "evidence"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))

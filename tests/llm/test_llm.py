@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import pickle
 import re
 
 import numpy as np
@@ -243,7 +244,7 @@ def test_kneser_ney_sums_to_one():
     assert 0.97 < sum(2.0**b for b in bits) <= 1.001
 
 
-def test_toxicity(spark, odd):
+def test_toxicity(spark, odd, monkeypatch):
     rng = np.random.default_rng(3)
     vocabulary = [f"word{k}" for k in range(400)]
     rows, marks = [], []
@@ -258,18 +259,22 @@ def test_toxicity(spark, odd):
     index = toxicity.train(docs.where(~language_model.held_out(4)), labels)
     got = {r.doc_id: r for r in toxicity.score_toxicity(docs, index).collect()}
     assert all((got[k].score >= 0.3) == bool(y) for k, y in marks)
-    # exact against brute force over all examples
+    # neighbours, votes and scores against brute force over all examples, in one block and in many
     (_, _, data, offsets), *_ = text_slices(pa.array([t for _, t in rows[:400]]), 1 << 30)
     dense = np.zeros((len(index.ids), len(index.terms)))
-    for t, p in enumerate(index.postings):
-        for b, (k, w) in p.items():
-            dense[b * toxicity.BLOCK + k, t] = w
-    for at, w in index.vectors(data, offsets):
-        if len(at):
-            s = dense[:, at] @ w
-            last = np.sort(s)[-min(25, len(s))]
-            want = {int(k) for k in np.flatnonzero((s >= last - 1e-9) & (s > 0))}
-            assert set(index.nearest(at, w, 25)[0].tolist()) == want
+    dense[index.example, index.term] = index.value
+    for block, wide in ((2048, 16), (100, 16), (64, 1), (100, 10**9)):
+        monkeypatch.setattr(toxicity, "BLOCK", block)
+        monkeypatch.setattr(toxicity, "WIDE", wide)
+        index = pickle.loads(pickle.dumps(index))
+        vectors = index.vectors(data, offsets)
+        for (at, w), near, scored in zip(vectors, index.nearest(vectors, 25), index.scores(vectors, 25), strict=True):
+            s = np.round(dense[:, at] @ w, 9)
+            k = np.flatnonzero((s >= np.sort(s)[-25]) & (s > 0))
+            assert set(near[0].tolist()) == set(k.tolist())
+            vote = (s[k] ** 2 * index.labels[k]).sum() / (s[k] ** 2).sum()
+            level = index.levels[sum(vote >= c - 1e-12 for c in index.cuts)]
+            assert scored == (level, [int(index.ids[x]) for x in sorted(k, key=lambda x: (-s[x], index.ids[x]))[:3]])
     assert len(toxicity.score_toxicity(odd, index).collect()) == len(ODD)
     none = toxicity.train(docs, labels.limit(0))
     assert {r.score for r in toxicity.score_toxicity(odd, none).collect()} == {0.0}
