@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from prismata.llm.kernels import NOT_ALNUM, SHORT_SLICE, ngram_hashes, text_slices, word_bounds, word_hashes
-from prismata.llm.scratch import Scratch
+from prismata.llm.scratch import Scratch, small_batches
 
 STEM = 5  # bytes of a word's beginning that earn half a match
 MATCH, STEM_MATCH, MISS, GAP = 2, 1, -1, -1
@@ -119,6 +119,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 def _match(spark, rows: DataFrame, items: Items, threshold: float) -> DataFrame:
     n = items.n
+    small_batches(spark)
     held = spark.sparkContext.broadcast(items)
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from prismata.llm.scratch import small_batches
+
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _CLASS = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPACE = re.compile(r"\s+")
@@ -229,6 +231,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
             texts = [extract_text(t) for t in batch.column("__html").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.select(own).columns, pa.array(texts, pa.string())], names=[*own, "text"])
 
+    small_batches(pages.sparkSession)
     rows = pages.select(*own, F.col(html_col).cast("string").alias("__html"))
     schema = rows.select(*own, F.lit("").alias("text")).schema
     return rows.mapInArrow(run, schema)

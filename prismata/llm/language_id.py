@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from prismata.llm.kernels import mix, pack, powers, ragged, text_slices, unpack, word_bounds, word_hashes
+from prismata.llm.scratch import small_batches
 
 START, STOP = 1, 2  # code points that mark a run's edges
 ALPHABET = 1 << 16  # symbols among which the lowest order spreads what it holds back
@@ -265,6 +266,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     bits lie far above what the language's own texts take; it lowers the score and leaves the language.
     A text that is null or has no letter is ``und``, score 0. Null and repeated ids pass through; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

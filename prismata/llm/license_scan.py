@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from prismata.llm.kernels import NOT_ALNUM, text_slices, word_bounds, word_hashes
+from prismata.llm.scratch import small_batches
 
 # Phrases that always count, and the label of each.
 BASE_PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -230,6 +231,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 hits = [[{"start": f.start, "end": f.end, "label": f.label, "rule": f.rule, "confidence": f.confidence} for f in scanner.scan(_ascii_lower(t or ""))] for t in texts.slice(a, b - a).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(n, pa.int64()), pa.array(base, _BASE), pa.array(hits, _HITS)], names=["doc_id", "n_words", "base", "detections"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_words long, base array<struct<place:long,label:string>>, detections array<struct<start:long,end:long,label:string,rule:int,confidence:double>>"

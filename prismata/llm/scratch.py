@@ -8,13 +8,23 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+BATCH_BYTES = 8 << 20
+BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let the session cut Arrow batches at ``BATCH_BYTES``, as both sides of a Python worker hold several; a setting other than the default stays."""
+    if spark.conf.get(BATCHES) in ("64MB", "67108864", "67108864b"):
+        spark.conf.set(BATCHES, str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset (tests), one temporary folder of this process."""
+    """The folder named in spark.checkpoint.dir; where it is unset and all runs on this machine (tests), one temporary folder of this process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="shared-"))
     return _own[0]
@@ -24,6 +34,7 @@ class Scratch:
     """Named Parquet tables of one run in a folder of its own below the shared one."""
 
     def __init__(self, spark: SparkSession, label: str):
+        small_batches(spark)
         self.spark, self.top = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from prismata.llm.kernels import NOT_ALNUM, SHORT_SLICE, mix, pack, ragged, text_slices, unpack, word_bounds, word_hashes
-from prismata.llm.scratch import Scratch
+from prismata.llm.scratch import Scratch, small_batches
 
 BEGIN = 5  # bytes of a word's beginning
 BLOCK = 2048  # examples in a block of the index
@@ -38,30 +38,41 @@ def text_terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.concatenate([word_hashes(data, starts, ends), heads]), np.concatenate([text, text[long]])
 
 
+def _texts_with(term: np.ndarray, n: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct terms and the sums of their counts."""
+    u, inverse = np.unique(term, return_inverse=True)
+    return u, np.bincount(inverse, n, len(u)).astype(np.uint32), np.bincount(inverse, pos, len(u)).astype(np.uint32)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of each label that hold a term, summed over a task."""
-    held = []
+    """Texts of each label that hold a term, summed over a task, a million new counts at a time."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    fresh = 0
     for batch in batches:
         y = np.asarray(batch.column("toxic"))
         for a, _, data, offsets in text_slices(batch.column("text"), SHORT_SLICE):
             term, text = text_terms(data, offsets)
-            both = np.unique(np.stack([term, text.astype(np.uint64)]), axis=1) if len(term) else np.zeros((2, 0), np.uint64)
-            held.append((both[0], y[a + both[1].astype(np.int64)]))
+            order = np.lexsort((term, text))
+            term, text = term[order], text[order]
+            new = np.ones(len(term), bool)
+            new[1:] = (term[1:] != term[:-1]) | (text[1:] != text[:-1])
+            term, label = term[new], y[a + text[new]]
+            held.append(_texts_with(term, np.ones(len(term)), label))
+            fresh += len(held[-1][0])
+            if fresh > 1_000_000:
+                held, fresh = [_texts_with(*[np.concatenate(x) for x in zip(*held, strict=True)])], 0
     if held:
-        term, label = (np.concatenate(x) for x in zip(*held, strict=True))
-        u, inverse = np.unique(term, return_inverse=True)
-        n, pos = np.bincount(inverse, minlength=len(u)), np.bincount(inverse, label, len(u))
+        u, n, pos = _texts_with(*[np.concatenate(x) for x in zip(*held, strict=True)])
         block = (u >> np.uint64(58)).astype(np.int64)
         for b in np.unique(block):
             m = block == b
-            yield pa.RecordBatch.from_arrays([pa.array([int(b)], pa.int32()), *[pa.array([pack(x)], pa.binary()) for x in (u[m], n[m].astype(np.uint32), pos[m].astype(np.uint32))]], names=["block", "u", "n", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array([int(b)], pa.int32()), *[pa.array([pack(x[m])], pa.binary()) for x in (u, n, pos)]], names=["block", "u", "n", "pos"])
 
 
 def _sum(pdf: pd.DataFrame) -> pd.DataFrame:
     """The counts of all tasks for the terms of one block."""
-    u, n, pos = (np.concatenate([unpack(x) for x in pdf[c]]) for c in ("u", "n", "pos"))
-    u, inverse = np.unique(u, return_inverse=True)
-    return pd.DataFrame({"u": [pack(u)], "n": [pack(np.bincount(inverse, n, len(u)).astype(np.uint32))], "pos": [pack(np.bincount(inverse, pos, len(u)).astype(np.uint32))]})
+    u, n, pos = _texts_with(*[np.concatenate([unpack(x) for x in pdf[c]]) for c in ("u", "n", "pos")])
+    return pd.DataFrame({"u": [pack(u)], "n": [pack(n)], "pos": [pack(pos)]})
 
 
 def term_weights(n: np.ndarray, pos: np.ndarray, rows: int, toxic: int) -> np.ndarray:
@@ -293,18 +304,24 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     part = min(1.0, examples / max(rows - n_blank, 1))
     got = single.where(full).where(F.pmod(F.xxhash64("id", F.lit(9)), F.lit(1 << 20)) < int(part * (1 << 20)) + 1).mapInArrow(terms, "id long, toxic int, u binary, times binary").collect()  # about ``examples`` rows
     got.sort(key=lambda r: (r["id"], r["toxic"], r["u"]))
-    sets = [unpack(r["u"]) for r in got]
-    known = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]))
-    counted = single.select("text", "toxic").mapInArrow(_count, "block int, u binary, n binary, pos binary").groupBy("block").applyInPandas(_sum, "u binary, n binary, pos binary").collect()  # at most 64 rows
-    u, n, pos = (np.concatenate([unpack(r[c]) for r in counted]) for c in ("u", "n", "pos"))
-    order = np.argsort(u)
-    at = order[np.searchsorted(u[order], known)]
-    index = Index(known, term_weights(n[at].astype(float), pos[at].astype(float), rows, toxic))
+    ids, y = np.array([r["id"] for r in got], np.int64), np.array([r["toxic"] for r in got])
+    size = np.array([len(unpack(r["u"])) for r in got], np.int64)
+    terms_of = np.concatenate([*[unpack(r["u"]) for r in got], np.zeros(0, np.uint64)])
+    times = np.concatenate([*[unpack(r["times"]) for r in got], np.zeros(0, np.uint32)])
+    del got
+    known = np.unique(terms_of)
+    n, pos = np.zeros(len(known)), np.zeros(len(known))
+    counted = single.select("text", "toxic").mapInArrow(_count, "block int, u binary, n binary, pos binary").groupBy("block").applyInPandas(_sum, "u binary, n binary, pos binary")
+    for r in counted.toLocalIterator():  # at most 64 rows, of which the driver holds one
+        u = unpack(r["u"])
+        here = np.flatnonzero(np.isin(known, u))
+        at = np.searchsorted(u, known[here])
+        n[here], pos[here] = unpack(r["n"])[at], unpack(r["pos"])[at]
+    index = Index(known, term_weights(n, pos, rows, toxic))
     index.blank = float((t_blank + 0.5) / (n_blank + 1)) if n_blank else float(toxic / rows)
-    if got:
-        own = index.weigh(np.repeat(np.arange(len(got)), [len(x) for x in sets]), np.searchsorted(known, np.concatenate(sets)), np.concatenate([unpack(r["times"]) for r in got]), len(got))
-        y = np.array([r["toxic"] for r in got])
-        place = index.fill(np.array([r["id"] for r in got], np.int64), y, own)
+    if len(ids):
+        own = index.weigh(np.repeat(np.arange(len(ids)), size), np.searchsorted(known, terms_of), times, len(ids))
+        place = index.fill(ids, y, own)
         votes = [(vote[0], label) for vote, label in zip(index.votes(own, near, place.tolist()), y, strict=True) if vote]
         if votes:
             index.calibrate(np.array([v for v, _ in votes]), np.array([t for _, t in votes]))
@@ -319,6 +336,7 @@ def score_toxicity(docs: DataFrame, index: Index, id_col: str = "doc_id", text_c
     the drawn texts without words (of all drawn ones where there are none) and no evidence. Equal similarities are all counted. Null and repeated ids pass through;
     other columns are not read.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
