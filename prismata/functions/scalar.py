@@ -56,9 +56,9 @@ def flag(v: Val) -> Column:
 
 
 def common(*kinds: str) -> str:
-    known = {k for k in kinds if k != "blank"}
+    known = set(kinds) - {"blank", "error"}
     if not known:
-        return "blank"
+        return "error" if "error" in kinds else "blank"
     if len(known) == 1:
         return known.pop()
     return "num" if known <= {"int", "num", "bool"} else "any"
@@ -294,7 +294,7 @@ def _switch(a: list[Val]) -> Val:
 
 
 def _error(a: list[Val]) -> Val:
-    return Val(F.raise_error(a[0].col).cast("boolean"), "bool")
+    return Val(F.raise_error(a[0].col), "error")  # of no type, so it stands beside values of any
 
 
 def _now(zone: str, day: bool) -> Val:

@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+import copy
 import functools
 import itertools
 from collections import deque
 from dataclasses import dataclass, field, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from prismata.functions.scalar import SCALARS, Val, arithmetic, common, compare, concat, flag, kind_of, literal, num, zoned
 from prismata.model import TYPES, Model, Relationship
 from prismata.plans.context import Col, Context, Key, Pred, Rowset
 from prismata.plans.parser import DaxError, Evaluate, Node, calls, parse_expression, parse_query
-from prismata.plans.rows import Frame, Impure, Out, Request, Rows, Scan, fresh
+from prismata.plans.rows import Frame, Impure, Level, Out, Request, Rows, Scan, Unfused, fresh
 from prismata.sources import physical, read_table
 
 _ids = itertools.count()
 _MODIFIERS = {"ALL", "REMOVEFILTERS", "ALLEXCEPT", "ALLSELECTED", "USERELATIONSHIP", "CROSSFILTER"}
+FEW = 100_000  # rows that one task may number
 _ITERATORS = {"SUMX", "AVERAGEX", "MAXX", "MINX", "COUNTX", "COUNTAX"}
 
 
@@ -35,6 +38,16 @@ class Env:
     group: list | None = None  # aggregates of the current GROUPBY group
 
 
+@dataclass
+class GroupingSet:
+    """Group columns of a level, those that it rolls up, what its expressions see, and the scan that its groups come from."""
+
+    cols: list[Col]
+    rolled: frozenset[Col]
+    context: Context
+    spine: Scan | None
+
+
 class ScanRows(Rows):
     """A scan as row context: its columns by physical name; anything that needs a join is refused."""
 
@@ -65,6 +78,7 @@ class Engine:
         self.spark, self.model, self.folder = spark, model, folder
         self.scalars = SCALARS | zoned(time_zone)
         self.measures = {m.name.lower(): parse_expression(m.expression) for m in model.measures.values()}
+        self.held: list[DataFrame] = []
         self._frames: dict[str, DataFrame] = {}
         self._paths: dict[tuple, dict[str, list[Relationship]]] = {}
 
@@ -290,7 +304,7 @@ class Engine:
         name = fresh("m")
         env.rows.pending.append(Request(scan, agg, name))
         for k in scan.keys:
-            env.rows.need(k)
+            env.rows.hold(k)
         return Val(F.col(name), kind)
 
     def _frame(self, env: Env, p: Rows, agg: Column, kind: str) -> Val:
@@ -581,7 +595,7 @@ class Engine:
         view = ScanRows(self.scan(table, Context()), None)
         try:
             v = self.scalar(f, replace(env, rows=view, scope=view, live=True, context=Context()))
-            found = Pred(frozenset(cols), f"{f}", flag(v))
+            found = Pred(frozenset(cols), _identity(f, flag(v)), flag(v))
         except (Impure, DaxError):
             found = self._asked_filter(f, table, cols, env)
         return (context if keep else context.without(cols)).plus(found)
@@ -627,7 +641,7 @@ class Engine:
             v = self.scalar(cond, replace(env, rows=view, scope=view, live=True, context=Context()))
         except (Impure, DaxError):
             return None
-        return (context if keep else context.without(removed)).plus(Pred(frozenset(cols), f"{cond}", flag(v)))
+        return (context if keep else context.without(removed)).plus(Pred(frozenset(cols), _identity(cond, flag(v)), flag(v)))
 
     # Tables
 
@@ -670,7 +684,7 @@ class Engine:
             view = ScanRows(base, env.scope)
             try:
                 v = self.scalar(args[1], replace(env, rows=view, scope=view, live=True))
-                return base.filtered(f"{args[1]}", flag(v), view.used)
+                return base.filtered(_identity(args[1], flag(v)), flag(v), view.used)
             except Impure:
                 base = self.whole(base, env)
         v = self.scalar(args[1], replace(env, rows=base, scope=base, live=True))
@@ -813,14 +827,40 @@ class Engine:
             k += 1
         p.flush()
         for v, asc in vs:
-            out.append(v.col.asc_nulls_first() if asc else v.col.desc_nulls_last())
+            out.append(v.col.asc_nulls_first() if asc else v.col.desc_nulls_first())  # blanks first both ways, as in ORDER BY
         return out
 
     def _count_arg(self, n: Node, env: Env) -> int:
-        v = self.scalar(n, env)
-        if not isinstance(v.const, (int, float)):
-            raise DaxError("the number of rows must be a literal")
-        return int(v.const)
+        """A number of rows: a literal, or an expression of one value that is asked for while the query is compiled."""
+        home = Rows(self.spark.range(1).select(F.lit(1).alias(fresh())), [], [], env.rows)
+        v = self.scalar(n, replace(env, rows=home, live=False))
+        got = v.const
+        if got is None:
+            o = home.add("", v.col, v.kind)
+            found = home.df.select(o.name).limit(2).collect()
+            if len(found) != 1:
+                raise DaxError("the number of rows must be one value for all rows")
+            got = found[0][0]
+        if isinstance(got, bool) or not isinstance(got, (int, float)) or got < 0:
+            raise DaxError("the number of rows must be a number from 0")
+        return int(got)
+
+    def _numbered(self, df: DataFrame, order: list[Column], rank: str, size: str | None = None) -> DataFrame:
+        """Each row's place in the order, from 0, and how many there are: counted by range partitions, so that no task holds all rows."""
+        at = fresh()
+        held = df.orderBy(*order).withColumn(at, F.monotonically_increasing_id()).persist()
+        self.held.append(held)
+        part, n, before = fresh(), fresh(), fresh()
+        counts = held.groupBy(F.shiftright(at, 33).alias(part)).agg(F.count(F.lit(1)).alias(n))  # a row for each partition
+        counts = counts.select(part, (F.sum(n).over(Window.orderBy(part)) - F.col(n)).alias(before), F.sum(n).over(Window.partitionBy()).alias(size or n))
+        out = held.join(F.broadcast(counts), F.shiftright(at, 33) == F.col(part)).withColumn(rank, F.col(before) + F.col(at).bitwiseAND(F.lit((1 << 33) - 1)))
+        return out.drop(at, part, before, *([] if size else [n]))
+
+    def release(self) -> None:
+        """Free what the results so far keep for the places of rows; they compute it again if they are read later."""
+        for df in self.held:
+            df.unpersist()
+        self.held.clear()
 
     def _t_topn(self, f: str, args: list[Node], env: Env):
         """The first n rows, ties cut at n; one a group where the rows belong to groups."""
@@ -831,6 +871,7 @@ class Engine:
             p.df = p.df.withColumn(rn, F.row_number().over(Window.partitionBy(*p.keys).orderBy(*(order or [F.lit(1)])))).where(F.col(rn) <= n).drop(rn)
         else:
             p.df = (p.df.orderBy(*order) if order else p.df).limit(n)
+            p.few = n <= FEW
         return p
 
     def _t_sample(self, f: str, args: list[Node], env: Env):
@@ -838,7 +879,10 @@ class Engine:
         n, p = self._count_arg(args[0], env), self.table(args[1], env)
         order = self._order(p, args[2:], env) or [F.lit(1).asc()]
         rn, size = fresh(), fresh()
-        numbered = p.df.select("*", (F.row_number().over(Window.partitionBy(*p.keys).orderBy(*order)) - 1).alias(rn), F.count(F.lit(1)).over(Window.partitionBy(*p.keys)).alias(size))
+        if p.keys:
+            numbered = p.df.select("*", (F.row_number().over(Window.partitionBy(*p.keys).orderBy(*order)) - 1).alias(rn), F.count(F.lit(1)).over(Window.partitionBy(*p.keys)).alias(size))
+        else:
+            numbered = self._numbered(p.df, order, rn, size)
         # row k of h is picked where it is floor(i * (h - 1) / (n - 1)) for some i
         h, k = F.col(size), F.col(rn)
         i = F.ceil(k * (n - 1) / F.greatest(h - 1, F.lit(1)))
@@ -856,7 +900,11 @@ class Engine:
             raise DaxError("the tables share no column")
         names = {x.name: fresh() for _, x in shared}
         place = fresh()
-        ranked = idx.df.select(*[F.col(n).alias(a) for n, a in names.items()], (F.row_number().over(Window.orderBy(*order)) - 1).cast("bigint").alias(place))
+        if idx.few:
+            ranked = idx.df.withColumn(place, (F.row_number().over(Window.orderBy(*order)) - 1).cast("bigint"))  # as many rows as TOPN lets through
+        else:
+            ranked = self._numbered(idx.df, order, place)
+        ranked = ranked.select(*[F.col(n).alias(a) for n, a in names.items()], place)
         cond = functools.reduce(lambda x, y: x & y, [F.col(o.name).eqNullSafe(F.col(names[x.name])) for o, x in shared])
         gone = {o.name for o, _ in shared}
         return Rows(p.df.join(ranked, cond, "inner").drop(*names.values()), [o for o in p.out if o.name not in gone] + [Out(args[1][1], place, "int")], p.keys, env.rows, env.scope)
@@ -935,55 +983,184 @@ class Engine:
 
     def _t_summarize(self, f: str, args: list[Node], env: Env):
         cols, rolled, rest = [], [], list(args[1:])
-        while rest and (rest[0][0] == "col" or rest[0][0] == "call" and rest[0][1] == "ROLLUP"):
+        while rest and (rest[0][0] in ("col", "ref") or rest[0][0] == "call" and rest[0][1] == "ROLLUP"):
             n = rest.pop(0)
-            if n[0] == "col":
-                cols.append(self.col(n))
-            else:
+            if n[0] == "call":
                 rolled += [self.col(c) for c in n[2]]
+            else:  # a column of the table that the model does not know goes by its name
+                cols.append(self.col(n) if n[0] == "col" and self.model.column(*n[1:3]) else n[-1])
         pairs = self._pairs(rest, f)
+        levels = [(cols + rolled[:k], frozenset(rolled[k:])) for k in range(len(rolled), -1, -1)]
+        done: set[int] = set()
         parts = []
-        for k in range(len(rolled), -1, -1):
-            parts.append(self._summarized(args[0], cols + rolled[:k], frozenset(rolled[k:]), pairs, env))
-        return self._stack(parts, cols + rolled, env)
+        if rolled and not any(isinstance(c, str) for c in cols):
+            base = self.table(args[0], env, scan=True)
+            if isinstance(base, Scan) and not base.sets and not base.keys:
+                context = self._base_context(args[0], base, env)
+                self._reachable(base, cols + rolled)
+                outs = {c: Out(self.shown(*c), fresh(), self.kind(*c), c) for c in cols + rolled}
+                sets = [GroupingSet(x, r, context.with_keys([Key(c, outs[c].name) for c in x], grouping=True), base if x else None) for x, r in levels]
+                rows, done = self._fused(sets, outs, [(n, e, False) for n, e in pairs], [], env)
+                if rows:
+                    rows.df = rows.df.where(F.coalesce(*[F.col(o.name).cast("string") for o in outs.values()]).isNotNull())
+                    parts.append(rows)
+        parts += [self._summarized(args[0], x, r, pairs, env) for k, (x, r) in enumerate(levels) if k not in done]
+        return self._stack(parts, cols + rolled, env) if len(parts) > 1 else parts[0]
+
+    @staticmethod
+    def _reachable(base: Scan, cols: list[Col]) -> None:
+        for c in cols:
+            if c[0] not in base.paths:
+                raise DaxError(f"nothing leads from {base.table} to {c[0]}")
 
-    def _summarized(self, table: Node, cols: list[Col], rolled: frozenset[Col], pairs: list, env: Env) -> Rows:
+    @staticmethod
+    def _base_context(table: Node, base: Scan, env: Env) -> Context:
+        """What the expressions of SUMMARIZE see besides their group: the conditions of a filtered table."""
+        if table[0] == "name":
+            return env.context
+        own = [Pred(frozenset({(base.table, "")}), k, c) for k, c in base.preds.items() if not any(isinstance(x, Pred) and x.text == k for x in env.context.filters)]
+        return env.context.plus(*own)
+
+    def _summarized(self, table: Node, cols: list[Col | str], rolled: frozenset[Col], pairs: list, env: Env) -> Rows:
         base = self.table(table, env, scan=True)
-        out = [Out(self.shown(*c), fresh(), self.kind(*c), c) for c in cols]
+        if isinstance(base, Scan) and any(isinstance(c, str) for c in cols):
+            base = self.whole(base, env)
+        out = []
         context = env.context
-        plain = table[0] == "name" and isinstance(base, Scan)
         if isinstance(base, Scan):
-            lost = [c for c in cols if c[0] not in base.paths]
-            if lost:
-                raise DaxError(f"nothing leads from {base.table} to {lost[0][0]}")
+            out = [Out(self.shown(*c), fresh(), self.kind(*c), c) for c in cols]
+            self._reachable(base, cols)
             keyed = base.filtered("", F.lit(True), {c[0] for c in cols} - {base.table})
             del keyed.preds[""]
             keyed.keys = {**base.keys, **{o.name: physical(*o.col) for o in out}}
             rows = Rows(None, out, list(base.keys), env.rows, env.scope, keyed) if out or base.keys else Rows(self.spark.range(1).select(F.lit(1).alias(fresh())), [], [], env.rows, env.scope)
+            context = self._base_context(table, base, env)
         else:
-            for o in out:
-                have = base.cols.get(o.col) or self._join_related(base, o.col, context)
+            for c in cols:
+                have = base.named(c) if isinstance(c, str) else base.cols.get(c) or self._join_related(base, c, context)
                 if not have:
-                    raise DaxError(f"nothing leads to {o.shown}")
-                base.df = base.flush().withColumn(o.name, F.col(have.name))
+                    raise DaxError(f"nothing leads to {c if isinstance(c, str) else self.shown(*c)}")
+                out.append(Out(have.shown if isinstance(c, str) else self.shown(*c), fresh(), have.kind, have.col))
+                base.df = base.flush().withColumn(out[-1].name, F.col(have.name))
             rows = Rows(base.flush().select(*base.keys, *[o.name for o in out]).distinct(), out, base.keys, env.rows, env.scope)
-        if not plain:
-            if isinstance(base, Scan) and base.preds:
-                own = [Pred(frozenset({(base.table, "")}), k, c) for k, c in base.preds.items() if not any(isinstance(x, Pred) and x.text == k for x in context.filters)]
-                context = context.plus(*own)
-            elif not isinstance(base, Scan):
-                names = {o.col: o.name for o in base.out if o.col}
-                if names:
-                    context = context.without(set(names)).plus(Rowset(next(_ids), tuple(names.items()), tuple(base.keys), base.df))
-        context = context.with_keys([Key(o.col, o.name) for o in out], grouping=True)
-        inner = replace(env, context=context, rows=rows, scope=None, live=False, rolled=rolled, axes=frozenset(cols))
+            names = {o.col: o.name for o in base.out if o.col}
+            if names and pairs:
+                context = context.without(set(names)).plus(Rowset(next(_ids), tuple(names.items()), tuple(base.keys), base.df))
+        context = context.with_keys([Key(o.col, o.name) for o in out if o.col], grouping=True)
+        inner = replace(env, context=context, rows=rows, scope=None, live=False, rolled=rolled, axes=frozenset(o.col for o in out if o.col))
         vs = [(s, self.scalar(e, inner)) for s, e in pairs]
         rows.flush()
-        if out:
+        if out and all(o.col for o in out):
             rows.df = rows.df.where(F.coalesce(*[F.col(o.name).cast("string") for o in out]).isNotNull())
         rows.out = out + [rows.add(s, v.col, v.kind) for s, v in vs]
         return rows
 
+    def _fused(self, sets: list[GroupingSet], outs: dict[Col, Out], pairs: list[tuple[str, Node, bool]], flags: list, env: Env) -> tuple[Rows | None, set[int]]:
+        """The grouping sets that one pass over the first one's scan can answer, as one table, and which they are.
+
+        Aggregates that a set asks for under other keys than its own, or over other rows, come from one more
+        pass for each way in which they differ. A set whose groups would come from another table than the
+        scan, or the grand total, is in only if all that is tested is blank where the scan has no rows.
+        """
+        main = sets[0].spine
+        if main is None or len(sets) < 2 or any(x.keys for x in main.sets):
+            return None, set()
+        levels: list[tuple[int, GroupingSet, Level, list[Val]]] = []
+        for k, one in enumerate(sets):
+            rows = Level([outs[c] for c in one.cols], env.scope)
+            inner = replace(env, context=one.context, rows=rows, scope=None, live=False, rolled=one.rolled, axes=frozenset(one.cols))
+            try:
+                vs = [self.scalar(e, inner) for _, e, _ in pairs]
+            except Unfused:
+                continue
+            if self._fits(main, one, outs, rows, [(v, t) for v, (_, _, t) in zip(vs, pairs, strict=True)]):
+                levels.append((k, one, rows, vs))
+        if len(levels) < 2 or levels[0][0]:
+            return None, set()
+        cols = list(sets[0].cols)
+        names = [outs[c].name for c in cols]
+        level = fresh("g")
+        number = {k: sum(1 << (len(cols) - 1 - j) for j, c in enumerate(cols) if c not in one.cols) for k, one, _, _ in levels}
+        own, other = [], []  # requests over the set's own keys, and groups of others by source and keys
+        for k, one, rows, _ in levels:
+            keys = {outs[c].name for c in one.cols}
+            for r in rows.pending:
+                if r.scan.source() == main.source() and set(r.scan.keys) == keys and set(main.preds) <= set(r.scan.preds):
+                    own.append((k, r))
+                    continue
+                asked = frozenset(r.scan.keys)
+                home = next((g for g in other if g[0] == r.scan.source() and g[1].get(k, asked) == asked), None)
+                if not home:
+                    home = (r.scan.source(), {}, [])
+                    other.append(home)
+                home[1][k] = asked
+                home[2].append((k, r))
+        df, where = main.grouping_sets([r for _, r in own], set(main.preds), {outs[c].name: c for c in cols}, [[outs[c].name for c in one.cols] for _, one, _, _ in levels], level)
+        for _, asked, requests in other:
+            df, more = self._join_sets(df, level, number, asked, [r for _, r in requests], {outs[c].name: c for c in cols})
+            where |= more
+        df = df.select("*", *[F.col(a).alias(m) for m, a in where.items()])
+        at = lambda k: F.col(level) == number[k]
+        for k, _, rows, _ in levels:
+            for name, col in rows.made:
+                df = df.withColumn(name, F.when(at(k), col))
+        made = []
+        for j, (shown, _, _) in enumerate(pairs):
+            kind = common(*[vs[j].kind for _, _, _, vs in levels])
+            col = None
+            for k, _, _, vs in levels:
+                one = num(vs[j]) if kind == "num" else vs[j].col
+                col = F.when(at(k), one) if col is None else col.when(at(k), one)
+            made.append((Out(shown, fresh(), kind), col))
+        made += [(Out(shown, fresh(), "bool"), F.col(level).isin([number[k] for k, one, _, _ in levels if any(c in one.rolled for c in its)])) for shown, its in flags]
+        df = df.select(*names, *[c.alias(o.name) for o, c in made])
+        tested = [o for (o, _), (_, _, t) in zip(made, pairs, strict=False) if t]
+        if tested and not any(o.kind == "bool" for o in tested):
+            df = df.where(F.coalesce(*[F.col(o.name).cast("string") for o in tested]).isNotNull())
+        return Rows(df, [outs[c] for c in cols] + [o for o, _ in made], [], env.rows, env.scope), {k for k, _, _, _ in levels}
+
+    def _fits(self, main: Scan, one: GroupingSet, outs: dict[Col, Out], rows: Level, vs: list[tuple[Val, bool]]) -> bool:
+        asked = rows.pending
+        if not all(isinstance(r, Request) for r in asked) or any(x.keys for r in asked for x in r.scan.sets):
+            return False
+        if one.spine and one.spine.source() == main.source():
+            return set(one.spine.preds) == set(main.preds)
+        keys = {outs[c].name for c in one.cols}
+        if rows.reads or not all(r.scan.source() == main.source() and set(r.scan.keys) == keys and set(main.preds) <= set(r.scan.preds) for r in asked):
+            return False
+        tested = [v for v, t in vs if t]
+        if not asked or not tested or any(v.kind == "bool" for v in tested):
+            return False
+        try:  # a table of one row given in the query is folded by the optimizer: no job runs
+            df = self.spark.sql(f"SELECT * FROM VALUES ({', '.join(['NULL'] * len(asked))}) t({', '.join(r.name for r in asked)})")
+            for name, col in rows.made:
+                df = df.withColumn(name, col)
+            return all(x is None for x in df.select(*[v.col for v in tested]).first())
+        except AnalysisException:
+            return False
+
+    def _join_sets(self, df: DataFrame, level: str, number: dict[int, int], asked: dict[int, frozenset[str]], requests: list[Request], keys: dict[str, Col]) -> tuple[DataFrame, dict[str, str]]:
+        """Join aggregates that the sets ``asked`` for under keys of their own, made in one pass for all of them."""
+        used = {n: c for n, c in keys.items() if any(n in q for q in asked.values())}
+        sets = sorted({tuple(n for n in used if n in q) for q in asked.values()})
+        code = {q: sum(1 << (len(used) - 1 - j) for j, n in enumerate(used) if n not in q) for q in sets}
+        shared = set.intersection(*[set(r.scan.preds) for r in requests])
+        other, want = fresh("g"), fresh("w")
+        right, where = requests[0].scan.grouping_sets(requests, shared, used, [list(q) for q in sets], other)
+        if not used:
+            return df.crossJoin(F.broadcast(right.drop(other))), where  # one row
+        renamed = {n: fresh("k") for n in used}
+        right = right.withColumnsRenamed(renamed)
+        which = None
+        for k, q in asked.items():
+            one = F.lit(code[tuple(n for n in used if n in q)]).cast("long")
+            which = F.when(F.col(level) == number[k], one) if which is None else which.when(F.col(level) == number[k], one)
+        cond = F.col(want) == F.col(other)
+        for n, x in renamed.items():
+            of = [number[k] for k, q in asked.items() if n in q]
+            cond = cond & F.when(F.col(level).isin(of), F.col(n)).eqNullSafe(F.col(x))
+        return df.withColumn(want, which).join(right, cond, "left").drop(want, other, *renamed.values()), where
+
     def _stack(self, parts: list[Rows], cols: list[Col], env: Env) -> Rows:
         """Detail and subtotal rows in one table; a column that a part lacks is blank there."""
         first = parts[0]
@@ -1034,11 +1211,22 @@ class Engine:
         for n in filters:
             context = self._filter(n, context, env, True)
         rolling = {c for a in axes for cols, _ in a for c in cols}
-        parts = []
+        sets, parts, done = [], [], set()
+        wide = replace(env, context=context)
+        outs = {c: Out(self.shown(*c), fresh(), self.kind(*c), c) for c in order}
         for depth in itertools.product(*[range(len(a), -1, -1) for a in axes]):
             live = {c for a, d in zip(axes, depth, strict=True) for cols, _ in a[:d] for c in cols}
             cols = [c for c in order if c not in rolling or c in live]
-            parts.append(self._columns_part(cols, frozenset(rolling - live), flags, pairs, replace(env, context=context)))
+            grouped = context.with_keys([Key(c, outs[c].name) for c in cols], grouping=True) if cols else replace(context, visual=context.visual or context)
+            sets.append(GroupingSet(cols, frozenset(rolling - live), grouped, None))
+        if len(sets) > 1:
+            for one in sets:
+                one.spine = self._spine([outs[c] for c in one.cols], wide, one.context, [e for _, e in pairs]).spine
+            plain = [(s, e[2][0], False) if e[0] == "call" and e[1] == "IGNORE" else (s, e, True) for s, e in pairs]
+            rows, done = self._fused(sets, outs, plain, flags, wide)
+            if rows:
+                parts.append(rows)
+        parts += [self._columns_part(one.cols, one.rolled, flags, pairs, wide) for k, one in enumerate(sets) if k not in done]
         stacked = self._stack(parts, order, env)
         by = {o.col: o for o in stacked.out if o.col}
         named = {o.shown: o for o in stacked.out if not o.col}
@@ -1119,15 +1307,11 @@ class Engine:
     def query(self, text: str) -> list[DataFrame]:
         """One DataFrame for each EVALUATE, columns named as DAX names them."""
         q = parse_query(text)
-        before = dict(self.measures)
-        try:
-            for _, name, body in q.measures:
-                self.measures[name.lower()] = body
-            root = Rows(self.spark.range(1).select(F.lit(1).alias(fresh())), [])
-            env = self._bind(q.variables, Env(Context(), root))
-            return [self._evaluate(e, env) for e in q.evaluates]
-        finally:
-            self.measures = before
+        own = copy.copy(self)  # its measures are seen by this query alone
+        own.measures = self.measures | {name.lower(): body for _, name, body in q.measures}
+        root = Rows(self.spark.range(1).select(F.lit(1).alias(fresh())), [])
+        env = own._bind(q.variables, Env(Context(), root))
+        return [own._evaluate(e, env) for e in q.evaluates]
 
     def _evaluate(self, e: Evaluate, env: Env) -> DataFrame:
         p = self.table(e.table, env)
@@ -1155,6 +1339,11 @@ class Engine:
         return df.select(*[F.col(o.name).alias(o.shown) for o in p.out])
 
 
+def _identity(n: Node, cond: Column) -> str:
+    """What tells conditions apart: the text, and the compiled form, in which a variable's value stands for its name."""
+    return f"{n} {cond}"
+
+
 def _distinct(w, x: Column) -> Column:
     """Distinct values with null as one of them."""
     null = F.when(x.isNull(), 1)

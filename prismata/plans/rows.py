@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from prismata.plans.context import Col, Context, Key, Pred, Rowset
+from prismata.plans.context import Col, Context, Rowset
 from prismata.sources import physical
 
 _fresh = itertools.count()
@@ -44,6 +44,7 @@ class Rows:
         self.df, self.out, self.keys, self.source, self.parent, self.spine = df, out, list(keys or []), source, parent, spine
         self.pending: list[Request | Frame] = []
         self.needs: list[str] = []
+        self.few = False  # whether their number has a small bound
 
     @property
     def cols(self) -> dict[Col, Out]:
@@ -62,6 +63,10 @@ class Rows:
             self.needs.append(name)
         return F.col(name)
 
+    def hold(self, name: str) -> None:
+        """A key that an aggregate is joined over must be at hand."""
+        self.need(name)
+
     def pull(self, names: list[str]) -> None:
         missing = [n for n in dict.fromkeys(names) if n not in self.ensure().columns]
         if missing:
@@ -80,7 +85,11 @@ class Rows:
                 if isinstance(r, Request):
                     groups.setdefault(r.scan.signature(), []).append(r)
             if self.df is None and (own := groups.pop(self.spine.signature(), None)):
-                self.df = self.spine.aggregate(own, self.spine)
+                apart = [r for r in own if not set(self.spine.preds) <= set(r.scan.preds)]  # they see rows that the spine's conditions drop
+                if apart:
+                    groups[self.spine.signature()] = apart
+                if len(apart) < len(own):
+                    self.df = self.spine.aggregate([r for r in own if r not in apart], self.spine)
             self.ensure()
             needs, self.needs = self.needs, []
             self.pull(needs)
@@ -112,7 +121,45 @@ class Rows:
         return o
 
     def copy(self, source: Rows | None, parent: Rows | None) -> Rows:
-        return Rows(self.flush(), list(self.out), self.keys, source, parent)
+        out = Rows(self.flush(), list(self.out), self.keys, source, parent)
+        out.few = self.few
+        return out
+
+
+class Unfused(Exception):
+    """A grouping set needs rows of its own."""
+
+
+class Level(Rows):
+    """The rows of one grouping set before anything is planned: what its expressions ask for is only noted."""
+
+    def __init__(self, out: list[Out], parent: Rows | None):
+        super().__init__(None, out, parent=parent)
+        self.made: list[tuple[str, Column]] = []
+        self.reads = False  # whether an expression looks at a group's own value
+
+    def hold(self, name: str) -> None:
+        if name not in {o.name for o in self.out}:
+            raise Unfused
+
+    def need(self, name: str) -> Column:
+        if name not in {n for n, _ in self.made}:
+            self.hold(name)
+            self.reads = True
+        return F.col(name)
+
+    def add(self, shown: str, col: Column, kind: str, lineage: Col | None = None) -> Out:
+        o = Out(shown, fresh(), kind, lineage)
+        self.made.append((o.name, col))
+        return o
+
+    def flush(self) -> DataFrame:
+        raise Unfused
+
+    ensure = flush
+
+    def pull(self, names: list[str]) -> None:
+        raise Unfused
 
 
 @dataclass
@@ -144,8 +191,11 @@ class Scan:
     keys: dict[str, str] = field(default_factory=dict)  # key name -> physical name, "" where a row set brings it
     needed: set[str] = field(default_factory=set)
 
+    def source(self) -> tuple:
+        return (self.table, self.context.relations, tuple(s.id for s in self.sets), tuple(s.names for s in self.sets))
+
     def signature(self) -> tuple:
-        return (self.table, self.context.relations, tuple(s.id for s in self.sets), tuple(s.names for s in self.sets), tuple(sorted(self.keys.items())))
+        return (*self.source(), tuple(sorted(self.keys.items())))
 
     def filtered(self, text: str, cond: Column, needed: set[str]) -> Scan:
         return Scan(self.engine, self.table, self.context, self.paths, {**self.preds, text: cond}, self.sets, dict(self.keys), self.needed | needed)
@@ -188,6 +238,32 @@ class Scan:
         df, keys = self.plan()
         return df.select(*[F.col(p).alias(k) for k, p in keys.items()]).distinct()
 
+    def grouping_sets(self, requests: list[Request], common: set[str], keys: dict[str, Col], sets: list[list[str]], level: str) -> tuple[DataFrame, dict[str, str]]:
+        """One pass for all sets of keys: a row for each group of each set, its grouping id as ``level``; and the column of each request.
+
+        Equal aggregates are made once. Conditions that are not ``common`` blank the arguments.
+        """
+        df, _ = self._sets(self.base(self.needed.union(*[r.scan.needed for r in requests], {t for t, _ in keys.values()} - {self.table})))
+        every = dict(self.preds)
+        for r in requests:
+            every |= r.scan.preds
+        for k in common:
+            df = df.where(every[k])
+        made: dict[str, tuple[str, Column]] = {}
+        where = {}
+        for r in requests:
+            both = None
+            for k, c in r.scan.preds.items():
+                if k not in common:
+                    both = c if both is None else both & c
+            agg = r.agg((lambda x: x) if both is None else (lambda x, b=both: F.when(b, x)))
+            where[r.name] = made.setdefault(str(agg), (fresh("a"), agg))[0]
+        aggs = [c.alias(n) for n, c in made.values()]
+        if not keys:
+            return df.agg(F.lit(0).alias(level), *aggs), where
+        df = df.select("*", *[F.col(physical(*c)).alias(k) for k, c in keys.items()])
+        return df.groupingSets(sets, *keys).agg(F.grouping_id().alias(level), *aggs), where
+
     def aggregate(self, requests: list[Request], spine: Scan | None) -> DataFrame:
         """One pass for all requests. Conditions that not all share blank the arguments instead of dropping rows.
 
@@ -219,11 +295,3 @@ class Scan:
         if not keys:
             return df.agg(*aggs)
         return df.select("*", *[F.col(p).alias(k) for k, p in keys.items()]).groupBy(*keys).agg(*aggs)
-
-
-def key_columns(context: Context) -> list[Key]:
-    return [f for f in context.filters if isinstance(f, Key)]
-
-
-def predicates(context: Context) -> list[Pred]:
-    return [f for f in context.filters if isinstance(f, Pred)]
