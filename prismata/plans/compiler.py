@@ -1056,26 +1056,34 @@ class Engine:
         return rows
 
     def _fused(self, sets: list[GroupingSet], outs: dict[Col, Out], pairs: list[tuple[str, Node, bool]], flags: list, env: Env) -> tuple[Rows | None, set[int]]:
-        """The grouping sets that one pass over the first one's scan can answer, as one table, and which they are.
+        """The grouping sets that one pass over one scan can answer, as one table, and which they are.
 
+        The scan is the one that the groups of the first set come from, or the one that its measures sum.
         Aggregates that a set asks for under other keys than its own, or over other rows, come from one more
         pass for each way in which they differ. A set whose groups would come from another table than the
         scan, or the grand total, is in only if all that is tested is blank where the scan has no rows.
         """
-        main = sets[0].spine
-        if main is None or len(sets) < 2 or any(x.keys for x in main.sets):
-            return None, set()
-        levels: list[tuple[int, GroupingSet, Level, list[Val]]] = []
+        ready: list[tuple[int, GroupingSet, Level, list[Val]]] = []
         for k, one in enumerate(sets):
             rows = Level([outs[c] for c in one.cols], env.scope)
             inner = replace(env, context=one.context, rows=rows, scope=None, live=False, rolled=one.rolled, axes=frozenset(one.cols))
             try:
-                vs = [self.scalar(e, inner) for _, e, _ in pairs]
+                ready.append((k, one, rows, [self.scalar(e, inner) for _, e, _ in pairs]))
             except Unfused:
                 continue
-            if self._fits(main, one, outs, rows, [(v, t) for v, (_, _, t) in zip(vs, pairs, strict=True)]):
-                levels.append((k, one, rows, vs))
-        if len(levels) < 2 or levels[0][0]:
+        if not ready or ready[0][0]:
+            return None, set()
+        levels: list[tuple[int, GroupingSet, Level, list[Val]]] = []
+        main = None
+        asked = [r.scan for r in ready[0][2].pending if isinstance(r, Request)]
+        summed = [replace(s, preds={k: c for k, c in s.preds.items() if all(k in x.preds for x in asked if x.source() == s.source())}) for s in asked[:1]]
+        for scan, least in [(sets[0].spine, 2), *[(s, 1) for s in summed]]:
+            if scan is None or any(x.keys for x in scan.sets):
+                continue
+            fit = [x for x in ready if self._fits(scan, x[1], outs, x[2], [(v, t) for v, (_, _, t) in zip(x[3], pairs, strict=True)])]
+            if len(fit) >= least and not fit[0][0] and len(fit) > len(levels):
+                levels, main = fit, scan
+        if main is None:
             return None, set()
         cols = list(sets[0].cols)
         names = [outs[c].name for c in cols]
@@ -1219,13 +1227,12 @@ class Engine:
             cols = [c for c in order if c not in rolling or c in live]
             grouped = context.with_keys([Key(c, outs[c].name) for c in cols], grouping=True) if cols else replace(context, visual=context.visual or context)
             sets.append(GroupingSet(cols, frozenset(rolling - live), grouped, None))
-        if len(sets) > 1:
-            for one in sets:
-                one.spine = self._spine([outs[c] for c in one.cols], wide, one.context, [e for _, e in pairs]).spine
-            plain = [(s, e[2][0], False) if e[0] == "call" and e[1] == "IGNORE" else (s, e, True) for s, e in pairs]
-            rows, done = self._fused(sets, outs, plain, flags, wide)
-            if rows:
-                parts.append(rows)
+        for one in sets:
+            one.spine = self._spine([outs[c] for c in one.cols], wide, one.context, [e for _, e in pairs]).spine
+        plain = [(s, e[2][0], False) if e[0] == "call" and e[1] == "IGNORE" else (s, e, True) for s, e in pairs]
+        rows, done = self._fused(sets, outs, plain, flags, wide)
+        if rows:
+            parts.append(rows)
         parts += [self._columns_part(one.cols, one.rolled, flags, pairs, wide) for k, one in enumerate(sets) if k not in done]
         stacked = self._stack(parts, order, env)
         by = {o.col: o for o in stacked.out if o.col}
