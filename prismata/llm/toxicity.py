@@ -7,6 +7,7 @@ the last, vote by the square of their similarity. Votes become scores through a
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from prismata.llm.kernels import NOT_ALNUM, SHORT_SLICE, mix, pack, ragged, text_slices, unpack, word_bounds, word_hashes
 from prismata.llm.scratch import Scratch, small_batches
+from prismata.llm.shared_files import map_arrays, write_arrays
 
 BEGIN = 5  # bytes of a word's beginning
 BLOCK = 2048  # examples in a block of the index
@@ -97,19 +99,28 @@ class Index:
         self.terms, self.weight = terms[order], weight[order]
         self.ids = np.zeros(0, np.int64)
         self.labels = np.zeros(0)
-        self.term = self.example = np.zeros(0, np.int32)
-        self.value = np.zeros(0, np.float32)
         self.blank = 0.0  # score of a text that shares no term with any example
         self.cuts, self.levels = np.zeros(0), np.zeros(1)
+        self.uri: str | None = None
+
+    def save(self, uri: str) -> None:
+        arrays = {k: v.ravel() for k, v in self.__dict__.items() if isinstance(v, np.ndarray)}
+        write_arrays(uri, arrays | {"blank": np.array([self.blank])})
+
+    @staticmethod
+    @functools.lru_cache(4)
+    def load(uri: str) -> Index:
+        """The index in the shared folder, memory-mapped: tasks on one machine share its pages."""
+        out = Index(np.zeros(0, np.uint64), np.zeros(0))
+        out.__dict__.update(map_arrays(uri))
+        out.uri, out.blank = uri, float(out.blank[0])
+        out.n_blocks = -(-len(out.ids) // BLOCK)
+        out.dense = out.dense.reshape(len(out.ids), -1)
+        out.dense_most = out.dense_most.reshape(out.n_blocks, -1)
+        return out
 
-    def __getstate__(self) -> dict:
-        """What is broadcast: the weights of the examples once; each worker lays them out itself."""
-        own = ("terms", "weight", "ids", "labels", "term", "example", "value", "blank", "cuts", "levels")
-        return {k: self.__dict__[k] for k in own}
-
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state)
-        self._lay_out()
+    def __reduce__(self):
+        return (Index.load, (self.uri,)) if self.uri else super().__reduce__()
 
     def weigh(self, text: np.ndarray, at: np.ndarray, times: np.ndarray, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """(terms by index, weights of unit length) of each of ``n`` texts, from entries that are ordered by text."""
@@ -133,28 +144,27 @@ class Index:
         """Store the examples and say where each went; those with the same heaviest term lie together, which keeps block bounds tight."""
         order = sorted(range(len(ids)), key=lambda k: (int(vectors[k][0][np.argmax(vectors[k][1])]), len(vectors[k][0]), int(ids[k])))
         self.ids, self.labels = ids[order], labels[order].astype(float)
-        term = np.concatenate([vectors[k][0] for k in order])
+        term = np.concatenate([vectors[k][0] for k in order]).astype(np.int32)
         by = np.argsort(term, kind="stable")
-        self.term = term[by].astype(np.int32)
-        self.value = np.concatenate([vectors[k][1] for k in order])[by].astype(np.float32)
-        self.example = np.repeat(np.arange(len(order), dtype=np.int32), [len(vectors[k][0]) for k in order])[by]
-        self._lay_out()
+        value = np.concatenate([vectors[k][1] for k in order]).astype(np.float32)[by]
+        example = np.repeat(np.arange(len(order), dtype=np.int32), [len(vectors[k][0]) for k in order])[by]
+        self._lay_out(term[by], example, value)
         place = np.zeros(len(order), np.int64)
         place[order] = np.arange(len(order))
         return place
 
-    def _lay_out(self) -> None:
+    def _lay_out(self, term: np.ndarray, example: np.ndarray, value: np.ndarray) -> None:
         n, n_terms = len(self.ids), len(self.terms)
         self.n_blocks = -(-n // BLOCK)
-        wide = np.flatnonzero(np.bincount(self.term, minlength=n_terms) * WIDE >= max(n, 1))
+        wide = np.flatnonzero(np.bincount(term, minlength=n_terms) * WIDE >= max(n, 1))
         self.column = np.full(n_terms, -1, np.int32)
         self.column[wide] = np.arange(len(wide))
-        column = self.column[self.term]
+        column = self.column[term]
         dense = column >= 0
         self.dense = np.zeros((n, len(wide)), np.float32)
-        self.dense[self.example[dense], column[dense]] = self.value[dense]
-        self.dense_most = np.maximum.reduceat(self.dense, np.arange(0, n, BLOCK), axis=0) if n else self.dense
-        term, example, value = self.term[~dense], self.example[~dense], self.value[~dense]
+        self.dense[example[dense], column[dense]] = value[dense]
+        self.dense_most = np.maximum.reduceat(self.dense, np.arange(0, n, BLOCK), axis=0)
+        term, example, value = term[~dense], example[~dense], value[~dense]
         self.posting = np.stack([example, value.view(np.int32)], axis=1).view(np.int64).ravel()  # both in one word, for one gather
         block = example // BLOCK
         new = np.flatnonzero(np.concatenate([[True], (np.diff(term) != 0) | (np.diff(block) != 0)])) if len(term) else np.zeros(0, np.int64)
@@ -267,7 +277,7 @@ class Index:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", drawn: int = 40_000, examples: int = 6_000, near: int = NEAR) -> Index:
     """Fit on about ``drawn`` labelled rows, taken by a hash of the id; about ``examples`` of them make the index, with all their terms.
 
-    Both numbers are the documented bounds of what is fitted on and of what is broadcast.
+    Both numbers are the documented bounds of what is fitted on and of the index, which lies in the shared folder.
     Of rows with the same words in the same order and the same label the one of the smallest id stays; all others
     stay, near copies and copies with another label too. An id labelled more than once counts by its largest
     label; null labels and ids are left out. Without labelled rows every score is the prior, 0.
@@ -301,32 +311,59 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     full = F.col("text").rlike("[0-9A-Za-z\\x{80}-\\x{10FFFF}]")
     n_blank, t_blank = single.where(~full).agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    blank = float((t_blank + 0.5) / (n_blank + 1)) if n_blank else float(toxic / rows)
     part = min(1.0, examples / max(rows - n_blank, 1))
-    got = single.where(full).where(F.pmod(F.xxhash64("id", F.lit(9)), F.lit(1 << 20)) < int(part * (1 << 20)) + 1).mapInArrow(terms, "id long, toxic int, u binary, times binary").collect()  # about ``examples`` rows
-    got.sort(key=lambda r: (r["id"], r["toxic"], r["u"]))
-    ids, y = np.array([r["id"] for r in got], np.int64), np.array([r["toxic"] for r in got])
-    size = np.array([len(unpack(r["u"])) for r in got], np.int64)
-    terms_of = np.concatenate([*[unpack(r["u"]) for r in got], np.zeros(0, np.uint64)])
-    times = np.concatenate([*[unpack(r["times"]) for r in got], np.zeros(0, np.uint32)])
-    del got
-    known = np.unique(terms_of)
-    n, pos = np.zeros(len(known)), np.zeros(len(known))
+    chosen = single.where(full).where(F.pmod(F.xxhash64("id", F.lit(9)), F.lit(1 << 20)) < int(part * (1 << 20)) + 1)
+    vectors = chosen.mapInArrow(terms, "id long, toxic int, u binary, times binary")
     counted = single.select("text", "toxic").mapInArrow(_count, "block int, u binary, n binary, pos binary").groupBy("block").applyInPandas(_sum, "u binary, n binary, pos binary")
-    for r in counted.toLocalIterator():  # at most 64 rows, of which the driver holds one
-        u = unpack(r["u"])
-        here = np.flatnonzero(np.isin(known, u))
-        at = np.searchsorted(u, known[here])
-        n[here], pos[here] = unpack(r["n"])[at], unpack(r["pos"])[at]
-    index = Index(known, term_weights(n, pos, rows, toxic))
-    index.blank = float((t_blank + 0.5) / (n_blank + 1)) if n_blank else float(toxic / rows)
-    if len(ids):
-        own = index.weigh(np.repeat(np.arange(len(ids)), size), np.searchsorted(known, terms_of), times, len(ids))
-        place = index.fill(ids, y, own)
-        votes = [(vote[0], label) for vote, label in zip(index.votes(own, near, place.tolist()), y, strict=True) if vote]
-        if votes:
-            index.calibrate(np.array([v for v, _ in votes]), np.array([t for _, t in votes]))
+    both = vectors.unionByName(counted, allowMissingColumns=True)  # about ``examples`` rows and at most 64
+    uri = f"{scratch.top}/index"
+    if not both.repartition(1).mapInArrow(_build(uri, rows, toxic, blank, near), "n long").first()[0]:
+        index = Index(np.zeros(0, np.uint64), np.zeros(0))
+        index.blank = blank
+        return index
     scratch.drop("drawn")
-    return index
+    return Index.load(uri)
+
+
+def _build(uri: str, rows: int, toxic: int, blank: float, near: int):
+    """Make the index from the examples and the counts of all terms, in one task; both are bounded by what was drawn."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got, counts = [], []
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["times"] is None:
+                    counts.append((r["u"], r["n"], r["pos"]))
+                else:
+                    got.append((r["id"], r["toxic"], r["u"], r["times"]))
+        got.sort()
+        ids, y = np.array([r[0] for r in got], np.int64), np.array([r[1] for r in got])
+        sets = [unpack(r[2]) for r in got]
+        size = np.array([len(u) for u in sets], np.int64)
+        terms = np.concatenate([*sets, np.zeros(0, np.uint64)])
+        times = np.concatenate([*[unpack(r[3]) for r in got], np.zeros(0, np.uint32)])
+        del got, sets
+        if len(ids):
+            known, terms = np.unique(terms, return_inverse=True)
+            n, pos = np.zeros(len(known)), np.zeros(len(known))
+            for u, with_it, with_it_toxic in counts:
+                u = unpack(u)
+                here = np.flatnonzero(np.isin(known, u))
+                at = np.searchsorted(u, known[here])
+                n[here], pos[here] = unpack(with_it)[at], unpack(with_it_toxic)[at]
+            index = Index(known, term_weights(n, pos, rows, toxic))
+            index.blank = blank
+            own = index.weigh(np.repeat(np.arange(len(ids)), size), terms, times, len(ids))
+            del terms, times, counts
+            place = index.fill(ids, y, own)
+            votes = [(vote[0], label) for vote, label in zip(index.votes(own, near, place.tolist()), y, strict=True) if vote]
+            if votes:
+                index.calibrate(np.array([v for v, _ in votes]), np.array([t for _, t in votes]))
+            index.save(uri)
+        yield pa.RecordBatch.from_arrays([pa.array([len(ids)], pa.int64())], names=["n"])
+
+    return run
 
 
 def score_toxicity(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text", near: int = NEAR) -> DataFrame:
@@ -337,18 +374,17 @@ def score_toxicity(docs: DataFrame, index: Index, id_col: str = "doc_id", text_c
     other columns are not read.
     """
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, tuple[float, list[int]]] = {}
         for batch in batches:
             for a, b, data, offsets in text_slices(batch.column("text"), SHORT_SLICE):
-                vectors = shared.value.vectors(data, offsets)
+                vectors = index.vectors(data, offsets)
                 keys = [hashlib.blake2b(v[0].tobytes() + v[1].tobytes(), digest_size=16).digest() for v in vectors]
                 if len(seen) > 50_000:
                     seen.clear()
                 new = {k: v for k, v in zip(keys, vectors, strict=True) if k not in seen}
-                seen.update(zip(new, shared.value.scores(list(new.values()), near), strict=True))
+                seen.update(zip(new, index.scores(list(new.values()), near), strict=True))
                 out = [seen[k] for k in keys]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.list_(pa.int64()))], names=["doc_id", "score", "evidence"])
 

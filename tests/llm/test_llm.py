@@ -1,6 +1,7 @@
 """The training-data operators: brute force on small inputs, nulls, empties, ties, repeats, clashing columns."""
 
 import collections
+import copy
 import hashlib
 import math
 import pickle
@@ -261,13 +262,19 @@ def test_toxicity(spark, odd, monkeypatch):
     assert all((got[k].score >= 0.3) == bool(y) for k, y in marks)
     # neighbours, votes and scores against brute force over all examples, in one block and in many
     (_, _, data, offsets), *_ = text_slices(pa.array([t for _, t in rows[:400]]), 1 << 30)
+    vectors = index.vectors(data, offsets)
     dense = np.zeros((len(index.ids), len(index.terms)))
-    dense[index.example, index.term] = index.value
+    term = np.repeat(np.arange(len(index.terms)), np.diff(index.first))
+    for e, (a, b) in enumerate(zip(index.start[:-1], index.start[1:], strict=True)):
+        dense[index.posting[a:b].view(np.int32)[::2], term[e]] = index.posting[a:b].view(np.float32)[1::2]
+    dense[:, index.column >= 0] = index.dense
+    assert index.uri and len(pickle.dumps(index)) < 1000  # tasks map it, nothing is sent
+    terms, examples = np.nonzero(dense.T)
     for block, wide in ((2048, 16), (100, 16), (64, 1), (100, 10**9)):
         monkeypatch.setattr(toxicity, "BLOCK", block)
         monkeypatch.setattr(toxicity, "WIDE", wide)
-        index = pickle.loads(pickle.dumps(index))
-        vectors = index.vectors(data, offsets)
+        index = copy.copy(index)
+        index._lay_out(terms, examples.astype(np.int32), dense.T[terms, examples].astype(np.float32))
         for (at, w), near, scored in zip(vectors, index.nearest(vectors, 25), index.scores(vectors, 25), strict=True):
             s = np.round(dense[:, at] @ w, 9)
             k = np.flatnonzero((s >= np.sort(s)[-25]) & (s > 0))
