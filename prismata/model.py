@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections import deque
 from dataclasses import asdict, dataclass, field, replace
 
@@ -12,6 +13,15 @@ from prismata.plans.parser import DaxError, parse_expression, references
 TYPES = {"string": "string", "int64": "bigint", "double": "double", "decimal": "double", "boolean": "boolean", "dateTime": "timestamp_ntz", "binary": "binary"}
 
 
+#: Properties of a model besides its name and description.
+PROPERTIES = ("culture", "collation", "defaultMode", "compatibilityLevel")
+
+
+def _data_type(name: str) -> str:
+    """A data type as the model writes it; documents differ in case."""
+    return next((t for t in TYPES if t.lower() == name.lower()), name)
+
+
 class ModelError(ValueError):
     """A model that doesn't hold together."""
 
@@ -28,6 +38,7 @@ class ColumnDef:
     sort_by: str = ""
     summarize_by: str = "default"
     key: bool = False
+    description: str = ""
 
 
 @dataclass(frozen=True)
@@ -59,6 +70,7 @@ class Table:
     columns: tuple[ColumnDef, ...]
     hidden: bool = False
     description: str = ""
+    category: str = ""
 
 
 @dataclass
@@ -68,6 +80,7 @@ class Model:
     measures: dict[str, Measure] = field(default_factory=dict)
     relationships: list[Relationship] = field(default_factory=list)
     description: str = ""
+    properties: dict[str, str] = field(default_factory=dict)
 
     def table(self, name: str) -> Table | None:
         return self.tables.get(name.lower())
@@ -189,23 +202,24 @@ class Model:
         tables = []
         for t in self.tables.values():
             tables.append({
-                "name": t.name, "isHidden": t.hidden, "description": t.description, "partitions": [{"name": t.name, "source": {"type": "parquet", "path": t.source}}],
-                "columns": [{"name": c.name, "dataType": c.data_type, "sourceColumn": c.source, "isHidden": c.hidden, "formatString": c.format, "displayFolder": c.folder, "dataCategory": c.category, "sortByColumn": c.sort_by, "summarizeBy": c.summarize_by, "isKey": c.key} for c in t.columns],
+                "name": t.name, "isHidden": t.hidden, "description": t.description, "dataCategory": t.category, "partitions": [{"name": t.name, "source": {"type": "parquet", "path": t.source}}],
+                "columns": [{"name": c.name, "dataType": c.data_type, "sourceColumn": c.source, "isHidden": c.hidden, "formatString": c.format, "displayFolder": c.folder, "dataCategory": c.category, "sortByColumn": c.sort_by, "summarizeBy": c.summarize_by, "isKey": c.key, "description": c.description} for c in t.columns],
                 "measures": [{"name": m.name, "expression": m.expression, "isHidden": m.hidden, "formatString": m.format, "displayFolder": m.folder, "description": m.description} for m in self.measures.values() if m.table == t.name],
             })
         rels = [{"name": r["name"], "fromTable": r["from_table"], "fromColumn": r["from_column"], "toTable": r["to_table"], "toColumn": r["to_column"], "isActive": r["active"], "crossFilteringBehavior": "bothDirections" if r["both"] else "oneDirection"} for r in map(of, self.relationships)]
-        return json.dumps({"name": self.name, "description": self.description, "model": {"tables": tables, "relationships": rels}}, indent=1)
+        return json.dumps({"name": self.name, "description": self.description, **self.properties, "model": {"tables": tables, "relationships": rels}}, indent=1)
 
     @classmethod
     def from_json(cls, text: str) -> Model:
         raw = json.loads(text)
         body = raw.get("model", raw)
-        out = cls(raw.get("name", "Model"), description=raw.get("description", ""))
+        out = cls(raw.get("name", "Model"), description=raw.get("description") or "", properties={k: raw[k] for k in PROPERTIES if k in raw})
         for t in body.get("tables", []):
-            cols = tuple(ColumnDef(c["name"], c["dataType"], c.get("sourceColumn", ""), c.get("isHidden", False), c.get("formatString", ""), c.get("displayFolder", ""), c.get("dataCategory", ""), c.get("sortByColumn", ""), c.get("summarizeBy", "default"), c.get("isKey", False)) for c in t.get("columns", []))
+            said = lambda c, k, default="": c.get(k) or default
+            cols = tuple(ColumnDef(c["name"], _data_type(c["dataType"]), said(c, "sourceColumn"), said(c, "isHidden", False), said(c, "formatString"), said(c, "displayFolder"), said(c, "dataCategory"), said(c, "sortByColumn"), said(c, "summarizeBy", "default"), said(c, "isKey", False), said(c, "description")) for c in t.get("columns", []))
             parts = t.get("partitions") or [{}]
             source = parts[0].get("source", {})
-            out.tables[t["name"].lower()] = Table(t["name"], source.get("path") or source.get("file") or f"{t['name']}.parquet", cols, t.get("isHidden", False), t.get("description", ""))
+            out.tables[t["name"].lower()] = Table(t["name"], t.get("dataSource") or source.get("path") or source.get("file") or f"{t['name']}.parquet", cols, said(t, "isHidden", False), said(t, "description"), said(t, "dataCategory"))
             for m in t.get("measures", []):
                 text = m["expression"]
                 if m["name"].lower() in out.measures:
@@ -213,7 +227,7 @@ class Model:
                 out.measures[m["name"].lower()] = Measure(t["name"], m["name"], "\n".join(text) if isinstance(text, list) else text, m.get("isHidden", False), m.get("formatString", ""), m.get("displayFolder", ""), m.get("description", ""))
         for k, r in enumerate(body.get("relationships", [])):
             name = lambda t: out.table(t).name if out.table(t) else t
-            out.relationships.append(Relationship(r.get("name", f"r{k}"), name(r["fromTable"]), r["fromColumn"], name(r["toTable"]), r["toColumn"], r.get("isActive", True), r.get("crossFilteringBehavior", "oneDirection") == "bothDirections"))
+            out.relationships.append(Relationship(r.get("name", f"r{k}"), name(r["fromTable"]), r["fromColumn"], name(r["toTable"]), r["toColumn"], r.get("isActive", True), r.get("crossFilteringBehavior", "single") in ("bothDirections", "both")))
         if bad := out.validate():
             raise ModelError("; ".join(bad))
         return out
@@ -222,13 +236,19 @@ class Model:
 
     def apply(self, commands: list[dict], dry_run: bool = False) -> Model:
         """The model after the commands, in order; the first that fails raises and none takes effect. With ``dry_run`` only checked."""
-        new = Model(self.name, dict(self.tables), dict(self.measures), list(self.relationships), self.description)
+        new = Model(self.name, dict(self.tables), dict(self.measures), list(self.relationships), self.description, dict(self.properties))
         for c in commands:
-            new._one(dict(c))
+            own = _own_command(c) if "type" in c else dict(c)
+            said = own["command"]
+            new._one(own)
             if bad := new.validate():
-                raise ModelError(f"{c.get('command')}: {'; '.join(bad)}")
+                raise ModelError(f"{said}: {'; '.join(bad)}")
         return self if dry_run else new
 
+    def _rewrite(self, change) -> None:
+        """Change the expression of every measure."""
+        self.measures = {k: replace(m, expression=change(m.expression)) for k, m in self.measures.items()}
+
     def _one(self, c: dict) -> None:
         what = c.pop("command")
         key = lambda n: n.lower()
@@ -251,7 +271,7 @@ class Model:
 
         if what == "createMeasure":
             fresh(self.measures, c["name"])
-            self.measures[key(c["name"])] = Measure(known(self.tables, c["table"]).name, c["name"], c["expression"], c.get("hidden", False), c.get("format", ""), c.get("folder", ""))
+            self.measures[key(c["name"])] = Measure(known(self.tables, c["table"]).name, c["name"], c["expression"], c.get("hidden", False), c.get("format", ""), c.get("folder", ""), c.get("description", ""))
         elif what == "deleteMeasure":
             known(self.measures, c["name"])
             del self.measures[key(c["name"])]
@@ -263,29 +283,64 @@ class Model:
             fresh(self.measures, c["newName"])
             del self.measures[key(m.name)]
             self.measures[key(c["newName"])] = replace(m, name=c["newName"])
-            for k, x in self.measures.items():
-                self.measures[k] = replace(x, expression=x.expression.replace(f"[{m.name}]", f"[{c['newName']}]"))
+            bare = re.compile(rf"(?<![\w'\]])\[{re.escape(m.name)}\]", re.I)
+            home = _reference(m.table, m.name)
+            self._rewrite(lambda x: _outside_strings(x, lambda part: home.sub(lambda _: f"'{m.table}'[{c['newName']}]", bare.sub(lambda _: f"[{c['newName']}]", part))))
         elif what == "moveMeasure":
             m = known(self.measures, c["name"])
             self.measures[key(m.name)] = replace(m, table=known(self.tables, c["table"]).name)
+        elif what == "renameModel":
+            self.name = c["newName"]
+        elif what == "setModelProperty":
+            for k, v in c["property"].items():
+                if k == "description":
+                    self.description = v or ""
+                elif k in PROPERTIES:
+                    self.properties[k] = v
+                else:
+                    raise ModelError(f"{what}: {k} is unknown")
         elif what == "createTable":
             fresh(self.tables, c["name"])
-            self.tables[key(c["name"])] = Table(c["name"], c["source"], tuple(ColumnDef(x["name"], x["dataType"], x.get("sourceColumn", "")) for x in c["columns"]))
+            self.tables[key(c["name"])] = Table(c["name"], c.get("source") or f"{c['name']}.parquet", tuple(ColumnDef(x["name"], _data_type(x["dataType"]), x.get("sourceColumn", "")) for x in c.get("columns", [])))
+        elif what == "renameTable":
+            t = known(self.tables, c["table"])
+            if key(c["newName"]) != key(t.name):
+                fresh(self.tables, c["newName"])
+            to = c["newName"]
+            self.tables = {(key(to) if k == key(t.name) else k): (replace(x, name=to) if k == key(t.name) else x) for k, x in self.tables.items()}
+            moved = lambda n: to if n == t.name else n
+            self.measures = {k: replace(m, table=moved(m.table)) for k, m in self.measures.items()}
+            self.relationships = [replace(r, from_table=moved(r.from_table), to_table=moved(r.to_table)) for r in self.relationships]
+            named = re.compile(rf"'{re.escape(t.name)}'|(?<![\w'\[]){re.escape(t.name)}(?![\w'\]])(?!\s*\()", re.I)
+            self._rewrite(lambda x: _outside_strings(x, lambda part: named.sub(lambda _: f"'{to}'", part), True))
+        elif what == "renameColumn":
+            t = known(self.tables, c["table"])
+            old = self.column(t.name, c["column"])
+            if old and self.column(t.name, c["newName"]) not in (None, old):
+                raise ModelError(f"{what}: {c['newName']} exists")
+            edit_column(lambda col: replace(col, name=c["newName"], source=col.source or col.name))
+            its = lambda x, n: c["newName"] if x == t.name and n == old.name else n
+            self.tables[key(t.name)] = replace(self.tables[key(t.name)], columns=tuple(replace(x, sort_by=its(t.name, x.sort_by)) for x in self.tables[key(t.name)].columns))
+            self.relationships = [replace(r, from_column=its(r.from_table, r.from_column), to_column=its(r.to_table, r.to_column)) for r in self.relationships]
+            named = _reference(t.name, old.name)
+            self._rewrite(lambda x: _outside_strings(x, lambda part: named.sub(lambda _: f"'{t.name}'[{c['newName']}]", part)))
+        elif what == "changeColumnType":
+            edit_column(lambda col: replace(col, data_type=_data_type(c["dataType"])))
         elif what == "deleteTable":
             t = known(self.tables, c["name"])
             del self.tables[key(t.name)]
             self.measures = {k: m for k, m in self.measures.items() if m.table != t.name}
             self.relationships = [r for r in self.relationships if t.name not in (r.from_table, r.to_table)]
-        elif what in ("hideTable", "describeTable", "setTableSource"):
+        elif what in ("hideTable", "describeTable", "setTableSource", "categorizeTable"):
             t = known(self.tables, c["name"])
-            self.tables[key(t.name)] = replace(t, **{k: c[k] for k in ("hidden", "description", "source") if k in c})
+            self.tables[key(t.name)] = replace(t, **{k: c[k] for k in ("hidden", "description", "source", "category") if k in c})
         elif what == "createColumn":
             t = known(self.tables, c["table"])
-            self.tables[key(t.name)] = replace(t, columns=(*t.columns, ColumnDef(c["column"], c["dataType"], c.get("sourceColumn", ""))))
+            self.tables[key(t.name)] = replace(t, columns=(*t.columns, ColumnDef(c["column"], _data_type(c["dataType"]), c.get("sourceColumn", ""), c.get("hidden", False), c.get("format", ""), c.get("folder", ""), summarize_by=c.get("summarize_by", "default"), key=c.get("key", False), description=c.get("description", ""))))
         elif what == "deleteColumn":
             edit_column(lambda col: None)
-        elif what in ("hideColumn", "formatColumn", "sortColumn", "summarizeColumn", "categorizeColumn", "moveColumn"):
-            edit_column(lambda col: replace(col, **{k: c[k] for k in ("hidden", "format", "sort_by", "summarize_by", "category", "folder") if k in c}))
+        elif what in ("hideColumn", "formatColumn", "sortColumn", "summarizeColumn", "categorizeColumn", "moveColumn", "describeColumn"):
+            edit_column(lambda col: replace(col, **{k: c[k] for k in ("hidden", "format", "sort_by", "summarize_by", "category", "folder", "description") if k in c}))
         elif what == "createRelationship":
             self.relationships.append(Relationship(c["name"], known(self.tables, c["fromTable"]).name, c["fromColumn"], known(self.tables, c["toTable"]).name, c["toColumn"], c.get("active", True), c.get("both", False)))
         elif what in ("deleteRelationship", "updateRelationship"):
@@ -297,3 +352,41 @@ class Model:
             self.relationships = rest
         else:
             raise ModelError(f"{what} is no command")
+
+
+def _reference(table: str, name: str) -> re.Pattern:
+    """A column or measure named with its table, quoted or not."""
+    return re.compile(rf"(?:'{re.escape(table)}'|(?<![\w']){re.escape(table)})\s*\[{re.escape(name)}\]", re.I)
+
+
+def _outside_strings(text: str, change, names: bool = False) -> str:
+    """Change an expression but not its strings, nor, with ``names``, what stands in brackets."""
+    kept = r'("(?:[^"]|"")*"|\[[^\]]*\])' if names else r'("(?:[^"]|"")*")'
+    return "".join(part if k % 2 else change(part) for k, part in enumerate(re.split(kept, text)))
+
+
+#: Names that command documents use, and those used here.
+_FIELDS = {"isHidden": "hidden", "formatString": "format", "displayFolder": "folder", "dataCategory": "category", "sortByColumn": "sort_by", "summarizeBy": "summarize_by", "isKey": "key", "isActive": "active", "bidirectional": "both"}
+
+
+def _own_command(c: dict) -> dict:
+    """A command as documents write it, ``{"type": "SetTableProperty", "table": .., "property": {"isHidden": true}}``, in the form that ``apply`` takes."""
+    body = {_FIELDS.get(k, k): v for k, v in c.items() if k not in ("type", "property")}
+    given = {_FIELDS.get(k, k): v if v is not None else "" for k, v in (c.get("property") or {}).items()}
+    kind = c["type"]
+    plain = {"CreateMeasure", "DeleteMeasure", "RenameMeasure", "CreateTable", "RenameTable", "DeleteColumn", "RenameColumn", "ChangeColumnType", "CreateRelationship", "DeleteRelationship", "UpdateRelationship", "RenameModel"}
+    if kind in plain:
+        return {"command": kind[0].lower() + kind[1:], **{k: v if v is not None else "" for k, v in body.items()}}
+    if kind == "DeleteTable":
+        return {"command": "deleteTable", "name": body["table"]}
+    if kind == "SetModelProperty":
+        return {"command": "setModelProperty", "property": c["property"]}
+    if kind == "SetTableProperty":
+        return {"command": "describeTable", "name": body["table"], **given}
+    if kind == "AddColumn":
+        return {"command": "createColumn", "column": body["name"], **{k: v for k, v in body.items() if k != "name" and v is not None}}
+    if kind == "SetColumnProperty":
+        return {"command": "describeColumn", **body, **given}
+    if kind in ("UpdateMeasureExpression", "SetMeasureFormatString"):
+        return {"command": "updateMeasure", **{k: v if v is not None else "" for k, v in body.items()}}
+    raise ModelError(f"{kind} is no command")

@@ -10,7 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from prismata.plans.compiler import Engine
+from prismata.plans.mdx import run_mdx
 from prismata.sources.demo import demo_model
+from prismata.sources.metadata import system_query
 
 _STAR = "lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
 _REV = "l_extendedprice * (1 - l_discount)"
@@ -354,5 +356,95 @@ def _run(text: str, names: list[str], which: int) -> Callable[[SparkSession, str
     return run
 
 
+def _mdx(text: str, names: list[str], total: bool) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        _, cells, grand = run_mdx(Engine(spark, demo_model(), sf_dir), text)
+        return (grand if total else cells).toDF(*names)
+
+    return run
+
+
+def _system(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: system_query(spark, demo_model(), text)
+
+
+_REGIONS = "SELECT r_name AS region, {} FROM " + _STAR + " GROUP BY 1"
+
+# MDX as spreadsheets send it: text, column names, SQL.
+MDX: dict[str, tuple[str, str, str]] = {
+    "mdx_single_dim": (
+        "SELECT NON EMPTY Hierarchize({DrilldownLevel({[region].[r_name].[All]},,,INCLUDE_CALC_MEMBERS)}) DIMENSION PROPERTIES PARENT_UNIQUE_NAME ON COLUMNS FROM [Model] WHERE ([Measures].[Quantity]) CELL PROPERTIES VALUE",
+        "region quantity",
+        _REGIONS.format("sum(l_quantity) AS quantity"),
+    ),
+    "mdx_total": ("SELECT {[region].[r_name].Members} ON COLUMNS FROM [Model] WHERE ([Measures].[Quantity], [lineitem].[l_returnflag].&[R])", "quantity", "SELECT sum(l_quantity) AS quantity FROM lineitem WHERE l_returnflag = 'R'"),
+    "mdx_two_axes": (
+        "SELECT {[region].[r_name].Members} ON COLUMNS, {[lineitem].[l_returnflag].Members} ON ROWS FROM (SELECT ({[region].[r_name].&[ASIA], [region].[r_name].&[EUROPE]}) ON COLUMNS FROM [Model]) WHERE ([Measures].[Quantity])",
+        "region flag quantity",
+        f"SELECT r_name AS region, l_returnflag AS flag, sum(l_quantity) AS quantity FROM {_STAR} WHERE r_name IN ('ASIA', 'EUROPE') GROUP BY 1, 2",
+    ),
+    "mdx_cross_join": (
+        "SELECT NON EMPTY CrossJoin(Hierarchize({[region].[r_name].Members}), {[Measures].[Quantity],[Measures].[Orders]}) ON COLUMNS, {[customer].[c_mktsegment].Members} ON ROWS FROM [Model]",
+        "region segment quantity orders",
+        """SELECT region, segment, quantity, orders FROM (SELECT r_name AS region, c_mktsegment AS segment, count(*) AS orders FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2)
+        JOIN (SELECT r_name AS region, c_mktsegment AS segment, sum(l_quantity) AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2) USING (region, segment)""",
+    ),
+    "mdx_drilldown_member": (
+        "SELECT NON EMPTY Hierarchize(DrilldownMember(CrossJoin({[region].[r_name].[All],[region].[r_name].[r_name].AllMembers}, {([nation].[n_name].[All])}), [region].[r_name].[r_name].AllMembers, [nation].[n_name])) ON COLUMNS FROM [Model] WHERE ([Measures].[Orders])",
+        "region nation orders",
+        "SELECT r_name AS region, n_name AS nation, count(*) AS orders FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2",
+    ),
+    "mdx_with_set": (
+        "WITH SET [Chosen] AS {[region].[r_name].&[ASIA],[region].[r_name].&[AFRICA]} SELECT Hierarchize(Generate([Chosen], Ascendants([region].[r_name].currentMember))) ON COLUMNS, {[Measures].[Quantity]} ON ROWS FROM [Model]",
+        "region quantity",
+        f"SELECT r_name AS region, sum(l_quantity) AS quantity FROM {_STAR} WHERE r_name IN ('ASIA', 'AFRICA') GROUP BY 1",
+    ),
+    "mdx_with_set_total": (
+        "WITH SET [Chosen] AS {[region].[r_name].&[ASIA],[region].[r_name].&[AFRICA]} SELECT Hierarchize(Generate([Chosen], Ascendants([region].[r_name].currentMember))) ON COLUMNS FROM [Model] WHERE ([Measures].[Quantity])",
+        "quantity",
+        "SELECT sum(l_quantity) AS quantity FROM lineitem",
+    ),
+    "mdx_with_member": (
+        "WITH MEMBER [Measures].[Twice] AS '[Quantity] * 2' MEMBER [Measures].[Below] AS 'AddCalculatedMembers([nation].[n_name].currentmember.children).count' SELECT {[Measures].[Twice],[Measures].[Below]} ON COLUMNS, {[region].[r_name].Members} ON ROWS FROM [Model]",
+        "region twice below",
+        f"SELECT r_name AS region, sum(l_quantity) * 2 AS twice, count(DISTINCT n_name) AS below FROM {_STAR.replace('JOIN nation ON c_nationkey = n_nationkey JOIN region', 'RIGHT JOIN nation ON c_nationkey = n_nationkey JOIN region')} GROUP BY 1",
+    ),
+    "mdx_measures_only": ("SELECT {[Measures].[Quantity],[Measures].[Orders]} ON COLUMNS FROM [Model] WHERE ([region].[r_name].&[ASIA])", "quantity orders", f"SELECT sum(l_quantity) AS quantity, count(DISTINCT l_orderkey) + (SELECT count(*) FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)) AS orders FROM {_STAR} WHERE r_name = 'ASIA'"),
+    "mdx_scalar": ("SELECT FROM [Model] WHERE ([Measures].[Orders], [customer].[c_mktsegment].&[BUILDING])", "orders", "SELECT count(*) AS orders FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING'"),
+    "mdx_members": ("SELECT {[part].[p_type].[p_type].AllMembers} ON COLUMNS FROM [Model]", "type", "SELECT DISTINCT p_type AS type FROM part UNION ALL SELECT NULL"),
+}
+_TOTALS = {"mdx_total", "mdx_with_set_total"}
+
+_MODEL_TABLES = "('region', 'nation', 'supplier', 'part', 'customer', 'orders', 'lineitem', 'events', 'documents', 'labels')"
+_KIND = "CASE data_type WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' WHEN 'BIGINT' THEN 'int64' WHEN 'INTEGER' THEN 'int64' ELSE 'dateTime' END"
+
+# Metadata as $system queries; the SQL asks the catalog of the files, or lists what the model states.
+SYSTEM: dict[str, tuple[str, str]] = {
+    "tmschema_columns": ("SELECT [TableName], [Name], [DataType] FROM $system.TMSCHEMA_COLUMNS WHERE [IsHidden] <> 'true'", f"SELECT table_name AS TableName, column_name AS Name, {_KIND} AS DataType FROM information_schema.columns WHERE table_name IN {_MODEL_TABLES}"),
+    "tmschema_tables": ("SELECT [Name], [IsHidden] FROM $system.TMSCHEMA_TABLES", f"SELECT DISTINCT table_name AS Name, false AS IsHidden FROM information_schema.columns WHERE table_name IN {_MODEL_TABLES}"),
+    "tmschema_relationships": (
+        "SELECT [FromTable], [FromColumn], [ToTable], [ToColumn], [IsActive] FROM $system.TMSCHEMA_RELATIONSHIPS",
+        "SELECT * FROM (VALUES ('lineitem', 'l_orderkey', 'orders', 'o_orderkey', true), ('lineitem', 'l_partkey', 'part', 'p_partkey', true), ('lineitem', 'l_suppkey', 'supplier', 's_suppkey', true), ('orders', 'o_custkey', 'customer', 'c_custkey', true), ('customer', 'c_nationkey', 'nation', 'n_nationkey', true), ('nation', 'n_regionkey', 'region', 'r_regionkey', true), ('supplier', 's_nationkey', 'nation', 'n_nationkey', false), ('events', 'user_id', 'customer', 'c_custkey', true), ('labels', 'doc_id', 'documents', 'doc_id', true)) t(FromTable, FromColumn, ToTable, ToColumn, IsActive)",
+    ),
+    "mdschema_hierarchies": ("SELECT [DIMENSION_UNIQUE_NAME], [HIERARCHY_UNIQUE_NAME], [DEFAULT_MEMBER] FROM $system.MDSCHEMA_HIERARCHIES", f"SELECT '[' || table_name || ']' AS DIMENSION_UNIQUE_NAME, '[' || table_name || '].[' || column_name || ']' AS HIERARCHY_UNIQUE_NAME, '[' || table_name || '].[' || column_name || '].[All]' AS DEFAULT_MEMBER FROM information_schema.columns WHERE table_name IN {_MODEL_TABLES}"),
+    "mdschema_levels": ("SELECT [HIERARCHY_UNIQUE_NAME], [LEVEL_NAME], [LEVEL_NUMBER] FROM $system.MDSCHEMA_LEVELS WHERE [CUBE_NAME] = 'Model'", f"SELECT '[' || table_name || '].[' || column_name || ']' AS HIERARCHY_UNIQUE_NAME, CASE k WHEN 0 THEN '(All)' ELSE column_name END AS LEVEL_NAME, k::INTEGER AS LEVEL_NUMBER FROM information_schema.columns, range(2) r(k) WHERE table_name IN {_MODEL_TABLES}"),
+    "mdschema_members": ("SELECT [MEMBER_UNIQUE_NAME], [LEVEL_NUMBER] FROM $system.MDSCHEMA_MEMBERS WHERE [TREE_OP] = 8 AND [HIERARCHY_UNIQUE_NAME] = '[region].[r_name]'", "SELECT '[region].[r_name].[All]' AS MEMBER_UNIQUE_NAME, 0 AS LEVEL_NUMBER"),
+    "mdschema_measures": (
+        "SELECT [MEASURE_NAME], [MEASUREGROUP_NAME], [MEASURE_AGGREGATOR] FROM $system.MDSCHEMA_MEASURES WHERE [MEASURE_IS_VISIBLE]",
+        "SELECT * FROM (VALUES ('Quantity', 'lineitem', 1), ('Revenue', 'lineitem', 127), ('Returned Revenue', 'lineitem', 127), ('Return Rate', 'lineitem', 127), ('All Region Revenue', 'lineitem', 127), ('Orders', 'orders', 2), ('Customers', 'orders', 8), ('Event Value', 'events', 1)) t(MEASURE_NAME, MEASUREGROUP_NAME, MEASURE_AGGREGATOR)",
+    ),
+    "mdschema_group_dimensions": (
+        "SELECT [MEASUREGROUP_NAME], [DIMENSION_UNIQUE_NAME] FROM $system.MDSCHEMA_MEASUREGROUP_DIMENSIONS WHERE [MEASUREGROUP_NAME] = 'events'",
+        "SELECT 'events' AS MEASUREGROUP_NAME, '[' || t || ']' AS DIMENSION_UNIQUE_NAME FROM (VALUES ('events'), ('customer'), ('nation'), ('region')) x(t)",
+    ),
+    "lineage_upstream": (
+        "SELECT [DependsOn] FROM $system.LINEAGE WHERE [Measure] = 'Return Rate'",
+        "SELECT * FROM (VALUES ('Returned Revenue'), ('Revenue'), ('lineitem[l_returnflag]'), ('lineitem[l_extendedprice]'), ('lineitem[l_discount]')) t(DependsOn)",
+    ),
+    "lineage_impact": ("SELECT [Measure] FROM $system.LINEAGE_IMPACT WHERE [Object] = 'lineitem[l_discount]'", "SELECT * FROM (VALUES ('Revenue'), ('Returned Revenue'), ('Return Rate'), ('All Region Revenue')) t(Measure)"),
+}
+
 QUERIES = {name: _run(text, names.split(), 0 if name in FIRST else -1) for name, (text, names, _) in CASES.items()}
 ORACLES = {name: sql for name, (_, _, sql) in CASES.items()}
+QUERIES |= {name: _mdx(text, names.split(), name in _TOTALS) for name, (text, names, _) in MDX.items()} | {name: _system(text) for name, (text, _) in SYSTEM.items()}
+ORACLES |= {name: sql for name, (_, _, sql) in MDX.items()} | {name: sql for name, (_, sql) in SYSTEM.items()}

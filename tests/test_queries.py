@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 from prismata.model import ColumnDef, Measure, Model, ModelError, Relationship, Table
-from prismata.operators.queries import CASES, QUERIES
+from prismata.operators.queries import CASES, ORACLES, QUERIES
 from prismata.plans.compiler import Engine
 from prismata.plans.parser import DaxError
 from prismata.sources.demo import demo_model
@@ -30,10 +30,10 @@ def duck(sf):
     return c
 
 
-@pytest.mark.parametrize("name", CASES)
+@pytest.mark.parametrize("name", ORACLES)
 def test_against_sql(spark, sf, duck, name):
     df = QUERIES[name](spark, sf)
-    want = duck.sql(CASES[name][2])
+    want = duck.sql(ORACLES[name])
     assert sorted(df.columns) == sorted(want.columns)
     order = [want.columns.index(c) for c in df.columns]
     key = lambda r: tuple((x is None, str(x)) for x in r)
