@@ -16,8 +16,8 @@ SHORT_SLICE = 1 << 20  # where stages of one session keep their workers' memory
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MULT = np.uint64(0x9E3779B97F4A7C15)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 NOT_ALNUM = np.zeros(256, bool)
@@ -88,7 +88,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     total = np.cumsum(lengths)
     into = np.arange(total[-1]) - np.repeat(total - lengths, lengths)
     picked = data[np.repeat(starts, lengths) + into]
-    table = _BYTE[_LOWER] if lower else _BYTE
+    table = _BYTE[LOWER] if lower else _BYTE
     values = table[picked] * powers(int(lengths.max()))[into]
     return mix(np.add.reduceat(values, total - lengths) + lengths.astype(np.uint64))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -10,7 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from prismata.llm.kernels import NOT_ALNUM, text_slices, word_bounds, word_hashes
+from prismata.llm.kernels import LOWER, NOT_ALNUM, SHORT_SLICE, text_slices, word_bounds, word_hashes
+from prismata.llm.license_rules import SIGNATURES
 from prismata.llm.scratch import small_batches
 
 # Phrases that always count, and the label of each.
@@ -21,53 +23,53 @@ LICENSES = (
     ("agpl", "affero", r"affero general public licen[cs]e"),
     ("lgpl", "lesser general|library general", r"(?:lesser|library) general public licen[cs]e"),
     ("gpl", "general public", r"general public licen[cs]e"),
-    ("apache", "apache", r"apache (?:software )?licen[cs]e"),
-    ("mit", "mit", r"\bmit(?:/expat)? licen[cs]e"),
+    ("apache", "apache licen|apache software licen", r"apache (?:software )?licen[cs]e"),
+    ("mit", "mit licen|mit/expat licen", r"\bmit(?:/expat)? licen[cs]e"),
     ("mit-0", "no attribution", r"mit no attribution(?: licen[cs]e)?"),
-    ("bsd-4-clause", "bsd", r"(?:original|4-clause|four[- ]clause) bsd licen[cs]e"),
-    ("bsd-3-clause", "bsd", r"(?:3-clause|three[- ]clause|new|modified|revised) bsd licen[cs]e"),
-    ("bsd-2-clause", "bsd", r"(?:2-clause|two[- ]clause|simplified|freebsd) bsd licen[cs]e"),
-    ("0bsd", "bsd", r"(?:zero[- ]clause|0-clause) bsd(?: licen[cs]e)?"),
-    ("bsd", "bsd", r"\bbsd(?:-style)? licen[cs]e"),
-    ("isc", "isc", r"\bisc licen[cs]e"),
-    ("mpl", "mozilla", r"mozilla public licen[cs]e"),
-    ("epl", "eclipse", r"eclipse public licen[cs]e"),
+    ("bsd-4-clause", "clause bsd licen|original bsd licen", r"(?:original|4-clause|four[- ]clause) bsd licen[cs]e"),
+    ("bsd-3-clause", "bsd licen", r"(?:3-clause|three[- ]clause|new|modified|revised) bsd licen[cs]e"),
+    ("bsd-2-clause", "bsd licen|freebsd licen", r"(?:2-clause|two[- ]clause|simplified|freebsd) bsd licen[cs]e"),
+    ("0bsd", "clause bsd", r"(?:zero[- ]clause|0-clause) bsd(?: licen[cs]e)?"),
+    ("bsd", "bsd licen|bsd-style licen", r"\bbsd(?:-style)? licen[cs]e"),
+    ("isc", "isc licen", r"\bisc licen[cs]e"),
+    ("mpl", "mozilla public", r"mozilla public licen[cs]e"),
+    ("epl", "eclipse public", r"eclipse public licen[cs]e"),
     ("cddl", "common development", r"common development and distribution licen[cs]e"),
     ("cpl", "common public", r"common public licen[cs]e"),
     ("eupl", "european union", r"european union public licen[cs]e"),
     ("osl", "open software", r"open software licen[cs]e"),
     ("afl", "academic free", r"academic free licen[cs]e"),
-    ("artistic", "artistic", r"(?:clarified )?artistic licen[cs]e"),
-    ("bsl", "boost", r"boost software licen[cs]e"),
+    ("artistic", "artistic licen", r"(?:clarified )?artistic licen[cs]e"),
+    ("bsl", "boost software", r"boost software licen[cs]e"),
     ("zlib", "zlib", r"zlib(?:/libpng)? licen[cs]e"),
-    ("unlicense", "unlicense", r"\bthe unlicense\b"),
-    ("wtfpl", "what the", r"do what the f\w*(?: you)? want to public licen[cs]e"),
+    ("unlicense", "the unlicense", r"\bthe unlicense\b"),
+    ("wtfpl", "want to public", r"do what the f\w*(?: you)? want to public licen[cs]e"),
     ("cc0", "cc0", r"\bcc0(?: public domain dedication| universal)?"),
     ("cc-by-nc-nd", "cc by-nc|cc-by-nc|attribution-noncommercial", r"(?:\bcc(?: |-)by-nc-nd|attribution-noncommercial-noderiv(?:ative)?s)"),
     ("cc-by-nc-sa", "cc by-nc|cc-by-nc|attribution-noncommercial", r"(?:\bcc(?: |-)by-nc-sa|attribution-noncommercial-sharealike)"),
     ("cc-by-nc", "cc by-nc|cc-by-nc|attribution-noncommercial", r"(?:\bcc(?: |-)by-nc|attribution-noncommercial)"),
     ("cc-by-nd", "cc by-nd|cc-by-nd|attribution-noderiv", r"(?:\bcc(?: |-)by-nd|attribution-noderiv(?:ative)?s)"),
     ("cc-by-sa", "cc by-sa|cc-by-sa|attribution-sharealike", r"(?:\bcc(?: |-)by-sa|attribution-sharealike)"),
-    ("cc-by", "cc by|cc-by|creative commons", r"(?:\bcc(?: |-)by|creative commons attribution)"),
+    ("cc-by", "cc by|cc-by|creative commons attribution", r"(?:\bcc-by\b|\bcc by(?=\W{0,3}(?:\d|licen|$))|creative commons attribution)"),
     ("odbl", "open database", r"open database licen[cs]e"),
     ("pddl", "public domain dedication", r"public domain dedication and licen[cs]e"),
     ("odc-by", "open data commons", r"open data commons attribution licen[cs]e"),
     ("ofl", "open font", r"(?:sil )?open font licen[cs]e"),
     ("fdl", "free documentation", r"free documentation licen[cs]e"),
     ("psf", "python software", r"python software foundation licen[cs]e"),
-    ("php", "php", r"\bphp licen[cs]e"),
-    ("ruby", "ruby", r"\bruby licen[cs]e"),
-    ("postgresql", "postgresql", r"postgresql licen[cs]e"),
+    ("php", "php licen", r"\bphp licen[cs]e"),
+    ("ruby", "ruby licen", r"\bruby licen[cs]e"),
+    ("postgresql", "postgresql licen", r"postgresql licen[cs]e"),
     ("openssl", "openssl", r"openssl(?: and ssleay)? licen[cs]e"),
-    ("curl", "curl", r"\bcurl licen[cs]e"),
-    ("x11", "x11", r"\bx11 licen[cs]e"),
-    ("vim", "vim", r"\bvim licen[cs]e"),
+    ("curl", "curl licen", r"\bcurl licen[cs]e"),
+    ("x11", "x11 licen", r"\bx11 licen[cs]e"),
+    ("vim", "vim licen", r"\bvim licen[cs]e"),
     ("ncsa", "ncsa", r"(?:university of illinois/)?ncsa open source licen[cs]e"),
     ("ms-pl", "microsoft public", r"microsoft public licen[cs]e"),
     ("ms-rl", "microsoft reciprocal", r"microsoft reciprocal licen[cs]e"),
     ("sspl", "server side", r"server side public licen[cs]e"),
     ("busl", "business source", r"business source licen[cs]e"),
-    ("elastic", "elastic", r"elastic licen[cs]e"),
+    ("elastic", "elastic licen", r"elastic licen[cs]e"),
     ("upl", "universal permissive", r"universal permissive licen[cs]e"),
     ("blueoak", "blue oak", r"blue oak model licen[cs]e"),
     ("mulan", "mulan", r"mulan (?:permissive|public) software licen[cs]e"),
@@ -90,40 +92,10 @@ TEMPLATES = (
     (5, 0.6, r"(?:gnu )?{n}"),
 )
 
-# Grants known by their words, not by a name: priority, confidence, label, keyword, pattern.
-GRANTS = (
-    (0, 0.98, "mit", "free of charge", r"permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
-    (0, 0.98, "isc", "permission to use", r"permission to use, copy, modify, and(?:/or)? distribute this software for any purpose with or without fee is hereby granted"),
-    (0, 0.97, "bsd", "redistribution", r"redistribution and use in source and binary forms, with or without modification, are permitted"),
-    (0, 0.97, "bsl", "accompanying documentation", r"obtaining a copy of the software and accompanying documentation covered by this license"),
-    (0, 0.97, "zlib", "as-is", r"this software is provided 'as-is', without any express or implied warranty"),
-    (0, 0.97, "unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),
-    (1, 0.95, "gpl", "free software foundation", r"as published by the free software foundation"),
-    (1, 0.9, "public-domain", "public domain", r"(?:released|dedicated|placed)(?: in)?to the public domain"),
-    (1, 0.9, "proprietary", "all rights reserved", r"(?:proprietary and confidential\W+)?all rights reserved"),
-    (2, 0.9, "spdx", "spdx-license-identifier", r"spdx-license-identifier: ?[\w.+-]+(?: (?:or|and|with) [\w.+-]+)*"),
-)
-
-
-# Label, keyword, pattern of an abbreviation with its version, which stands for the name by itself.
-SHORT = (
-    ("agpl", "agpl", r"\b(?:gnu )?agpl[ -]?(?:v|version )?\d(?:\.\d)*(?:\+|-only|-or-later)?"),
-    ("lgpl", "lgpl", r"\b(?:gnu )?lgpl[ -]?(?:v|version )?\d(?:\.\d)*(?:\+|-only|-or-later)?"),
-    ("gpl", "gpl", r"\b(?:gnu )?gpl[ -]?(?:v|version )?\d(?:\.\d)*(?:\+|-only|-or-later)?"),
-    ("apache", "apache", r"\bapache[ -]?(?:v|version )?2(?:\.0)?\b(?!\.\d)"),
-    ("bsd-4-clause", "bsd", r"\bbsd[ -]4[ -]clause\b"),
-    ("bsd-3-clause", "bsd", r"\bbsd[ -]3(?:[ -]clause)?\b"),
-    ("bsd-2-clause", "bsd", r"\bbsd[ -]2(?:[ -]clause)?\b"),
-    ("0bsd", "0bsd", r"\b0bsd\b"),
-    ("mpl", "mpl", r"\bmpl[ -]?(?:v|version )?[12](?:\.\d)?\b"),
-    ("epl", "epl", r"\bepl[ -]?(?:v|version )?[12](?:\.\d)?\b"),
-    ("cddl", "cddl", r"\bcddl[ -]?(?:v|version )?1(?:\.\d)?\b"),
-    ("eupl", "eupl", r"\beupl[ -]?(?:v|version )?1(?:\.\d)?\b"),
-    ("bsl", "bsl", r"\bbsl-1\.0\b"),
-)
-
-# Label, keyword, abbreviation that counts after words of a grant only.
-GRANTED = tuple((label, word, rf"(?:licen[cs]ed|released|distributed|available|provided|published) under (?:the )?(?:terms of (?:the )?)?(?:gnu )?{word}\b") for label, word in (("agpl", "agpl"), ("lgpl", "lgpl"), ("gpl", "gpl"), ("mit", "mit"), ("bsd", "bsd"), ("isc", "isc"), ("mpl", "mpl"), ("epl", "epl"), ("cddl", "cddl")))
+# Abbreviations that count after words of a grant only.
+GRANTED = tuple((4, 0.75, word, f"under&{word}", rf"(?:licen[cs]ed|released|distributed|available|provided|published) under (?:the )?(?:terms of (?:the )?)?(?:gnu )?{word}\b") for word in ("agpl", "lgpl", "gpl", "mit", "bsd", "isc", "mpl", "epl", "cddl"))
+WHOLE = 4096  # characters up to which a rule sees the whole text at once; in longer ones it sees MARGIN words around its keyword
+MARGIN = 200  # more words than any match has
 
 
 def _spaces(pattern: str) -> str:
@@ -152,8 +124,7 @@ class Found(NamedTuple):
 def rules() -> list[Rule]:
     """All rules in order: by priority, then as listed."""
     made = [(p, c, label, word, t.replace("{n}", n)) for p, c, t in TEMPLATES for label, word, n in LICENSES]
-    short = [*((3, 0.85, *x) for x in SHORT), *((4, 0.75, *x) for x in GRANTED)]
-    listed = sorted([*made, *GRANTS, *short], key=lambda r: r[0])
+    listed = sorted([*SIGNATURES, *made, *GRANTED], key=lambda r: r[0])
     return [Rule(p, k, label, word, re.compile(_spaces(x)), c) for k, (p, c, label, word, x) in enumerate(listed)]
 
 
@@ -161,36 +132,99 @@ def resolve(found: list[Found]) -> list[Found]:
     """Take detections by priority, longer and earlier ones first; drop each whose interval lies within one taken.
 
     Of equal intervals the rule that stands first wins. What contains a taken detection stays beside it.
+    For each start the furthest end of what is taken from there or before is kept in a prefix tree, so
+    that the time is n log n.
     """
+    starts = {x: k + 1 for k, x in enumerate(sorted({f.start for f in found}))}
+    reach = [-1] * (len(starts) + 1)
     taken: list[Found] = []
     for f in sorted(found, key=lambda f: (f.priority, f.start - f.end, f.start, f.rule)):
-        if not any(t.start <= f.start and f.end <= t.end for t in taken):
+        k, furthest = starts[f.start], -1
+        while k > 0:
+            furthest = max(furthest, reach[k])
+            k &= k - 1
+        if furthest < f.end:
             taken.append(f)
+            k = starts[f.start]
+            while k < len(reach):
+                reach[k] = max(reach[k], f.end)
+                k += k & -k
     return sorted(taken)
 
 
+class Gate:
+    """A rule's keyword: alternatives of parts, each a run of words between any white space."""
+
+    def __init__(self, keyword: str):
+        self.ways = [way.split("&") for way in keyword.split("|")]
+        self.words = [frozenset(max(part.split(), key=len).encode() for part in way) for way in self.ways]  # a word of each part, which bytes are searched for
+        self.patterns = [[re.compile(r"\s+".join(map(re.escape, part.split()))) for part in way] for way in self.ways]
+
+    def places(self, text: str, words: set[bytes]) -> list[int]:
+        """Where the first parts of the alternatives stand whose parts the text all holds."""
+        out = []
+        for need, parts in zip(self.words, self.patterns, strict=True):
+            if need <= words and all(p.search(text) for p in parts[1:]):
+                out += [m.start() for m in parts[0].finditer(text)]
+        return sorted(out)
+
+
 class Scanner:
-    """Applies the rules to a text that its caller has lower-cased."""
+    """Applies the rules to texts whose A-Z are lower-cased."""
 
     def __init__(self):
         self.rules = rules()
-        self.by_word: dict[str, list[Rule]] = {}
+        by_word: dict[str, list[Rule]] = {}
         for r in self.rules:
-            self.by_word.setdefault(r.keyword, []).append(r)
-        self.words = {w: [(k.split()[0], re.compile(r"\s+".join(map(re.escape, k.split()))) if " " in k else None) for k in w.split("|")] for w in self.by_word}
-
-    def scan(self, text: str) -> list[Found]:
-        found = []
-        for word, its in self.by_word.items():
-            if any(first in text and (rest is None or rest.search(text)) for first, rest in self.words[word]):
-                found += [Found(m.start(), m.end(), r.label, r.order, r.priority, r.confidence) for r in its for m in r.pattern.finditer(text)]
+            by_word.setdefault(r.keyword, []).append(r)
+        self.gates = [(Gate(w), its) for w, its in by_word.items()]
+        self.words = sorted(set().union(*[need for g, _ in self.gates for need in g.words]))
+        self.by_rare: dict[bytes, list[tuple[Gate, list[Rule]]]] = {}  # gates by the longest word of each alternative
+        for g, its in self.gates:
+            for need in g.words:
+                self.by_rare.setdefault(max(need, key=lambda w: (len(w), w)), []).append((g, its))
+
+    def held(self, low: bytes, offsets: np.ndarray) -> dict[int, set[bytes]]:
+        """The keyword words that each text of a run holds, found over the bytes of all of them."""
+        out: dict[int, set[bytes]] = {}
+        ends = offsets.tolist()
+        for w in self.words:
+            at = low.find(w)
+            while at >= 0:
+                row = bisect.bisect_right(ends, at) - 1
+                if at + len(w) <= ends[row + 1]:
+                    out.setdefault(row, set()).add(w)
+                    at = low.find(w, ends[row + 1])  # on to the next text
+                else:
+                    at = low.find(w, at + 1)
+        return out
+
+    def scan(self, text: str, words: set[bytes] | None = None) -> list[Found]:
+        """The detections in a text, of which ``words`` are the keyword words that it holds."""
+        if words is None:
+            words = self.held(raw := text.encode(), np.array([0, len(raw)])).get(0, set())
+        found: list[Found] = []
+        starts: list[int] | None = None
+        for g, its in {id(x[0]): x for w in words for x in self.by_rare.get(w, ())}.values():
+            places = g.places(text, words)
+            if not places:
+                continue
+            spans = [(0, len(text))]
+            if len(text) > WHOLE:
+                starts = starts or [m.start() for m in re.finditer(r"\S+", text)]
+                spans = []
+                for p in places:
+                    k = bisect.bisect_right(starts, p) - 1
+                    low = starts[max(0, k - MARGIN)]
+                    high = starts[k + MARGIN] if k + MARGIN < len(starts) else len(text)
+                    if spans and low <= spans[-1][1]:
+                        spans[-1] = (spans[-1][0], high)
+                    else:
+                        spans.append((low, high))
+            found += [Found(m.start(), m.end(), r.label, r.order, r.priority, r.confidence) for r in its for low, high in spans for m in r.pattern.finditer(text, low, high)]
         return resolve(found)
 
 
-def _ascii_lower(s: str) -> str:
-    return s.translate({k: k + 32 for k in range(65, 91)})
-
-
 def base_places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, str]]]:
     """Words of each text, and per base phrase the texts and word numbers at which it starts."""
     starts, ends, first = word_bounds(data, offsets, NOT_ALNUM)
@@ -222,13 +256,17 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         scanner = Scanner()
         for batch in batches:
             texts = batch.column("text")
-            for a, b, data, offsets in text_slices(texts):
+            for a, b, data, offsets in text_slices(texts, SHORT_SLICE):
                 n, phrases = base_places(data, offsets)
                 base: list[list[dict]] = [[] for _ in range(b - a)]
                 for where, place, label in phrases:
                     for k, p in zip(where.tolist(), place.tolist(), strict=True):
                         base[k].append({"place": p, "label": label})
-                hits = [[{"start": f.start, "end": f.end, "label": f.label, "rule": f.rule, "confidence": f.confidence} for f in scanner.scan(_ascii_lower(t or ""))] for t in texts.slice(a, b - a).to_pylist()]
+                low = LOWER[data].tobytes()
+                hits: list[list[dict]] = [[] for _ in range(b - a)]
+                for k, words in scanner.held(low, offsets).items():
+                    found = scanner.scan(low[offsets[k] : offsets[k + 1]].decode(), words)
+                    hits[k] = [{"start": f.start, "end": f.end, "label": f.label, "rule": f.rule, "confidence": f.confidence} for f in found]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(n, pa.int64()), pa.array(base, _BASE), pa.array(hits, _HITS)], names=["doc_id", "n_words", "base", "detections"])
 
     small_batches(docs.sparkSession)

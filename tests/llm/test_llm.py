@@ -6,12 +6,13 @@ import hashlib
 import math
 import pickle
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from prismata.llm import decontamination, exact_dedup, html_extraction, language_id, language_model, license_scan, mixing, ngram_join, queries, sharding, toxicity
+from prismata.llm import decontamination, exact_dedup, html_extraction, language_id, language_model, license_rules, license_scan, mixing, ngram_join, queries, sharding, toxicity
 from prismata.llm.elias_fano import EliasFano
 from prismata.llm.kernels import pack, shingle_sets, text_slices, unpack
 
@@ -396,10 +397,63 @@ def test_license_gates():
     }.items():
         assert got(text) == [label], text
     assert got("apache 2.4 serves, apache 2.0.55 too; mit students, the gplates and bsd 2000") == []
-    # every rule's keyword holds wherever its pattern matches, tried on the names that the pattern spells out
-    for r in s.rules:
-        for m in filter(r.pattern.search, (f"licensed under the {w} 2.0" for w in ("gnu library general public license", "gnu lesser general public licence", "zero-clause bsd", "cc by-nc-nd", "cc-by-sa", "attribution-noderivatives", "creativeml openrail-m"))):
-            assert any(first in m and (rest is None or rest.search(m)) for first, rest in s.words[r.keyword]), (r, m)
+    for text, label in {
+        "license: mit": "mit", '"license": "bsd"': "bsd", "bsd 3-clause license": "bsd-3-clause", "the gnu gpl": "gpl", "gplv3": "gpl", "mpl 2.0": "mpl", "https://opensource.org/licenses/mit": "mit", "see http://www.gnu.org/licenses/lgpl-3.0.html": "lgpl", "https://creativecommons.org/licenses/by-nc-sa/4.0/": "cc-by-nc-sa",
+        "license :: osi approved :: apache software license": "apache", "license = 'isc'": "isc", "licence: cc-by-sa 4.0": "cc-by-sa", "this library is free software; you can redistribute it and/or modify it under the terms of the gnu lesser general public license": "lgpl", "the above copyright notice and this permission notice shall be included in all copies": "mit",
+        "distributed on an \"as is\" basis, without warranties or conditions of any kind": "apache", "an mit-licensed tool": "mit", "the software shall be used for good, not evil": "json", "creative commons attribution-sharealike 4.0 international license": "cc-by-sa", "unauthorized copying of this file is strictly prohibited": "proprietary", "license: unlicensed": "proprietary", "cc0 1.0 universal": "cc0",
+        "released under the terms of the mpl": "mpl", "neither the name of the university nor the names of its contributors may be used to endorse": "bsd-3-clause", "with no invariant sections, no front-cover texts, and no back-cover texts": "fdl",
+    }.items():
+        assert label in got(text), text
+    for clean in ("komm mit mir, license is a word", "a bsd conference, the php manual", "under the public eye", "cc by the way", "all of the gnu herd", "the artistic director was licensed", "open data, common sense and development"):
+        assert got(clean) == [], clean
+
+
+def test_license_rules_hold_their_keywords():
+    """What any rule matches, in texts that hold each rule's words, also passes its keyword."""
+    s = license_scan.Scanner()
+    assert len(license_rules.SIGNATURES) >= 200 and len({r.pattern.pattern for r in s.rules}) == len(s.rules)
+    names = [re.sub(r"\(\?:([^|()]*)[^()]*\)\??", r"\1", p) for _, _, p in license_scan.LICENSES]
+    texts = [f"{head}{n}{tail}" for n in names for head in ("licensed under the ", "license: ", "see the ") for tail in (" version 2.0", "")]
+    for _, _, _, _, pattern in license_rules.SIGNATURES:  # a text of each pattern: first choices, options left out and taken
+        for keep in ("", r"\1"):
+            x = re.sub(r"\(\?:([^()]*)\)\?", keep, re.sub(r"\(\?[!=]([^()]*)\)", "", pattern))
+            x = re.sub(r"\(\?:([^|()]*)[^()]*\)[+*]?", r"\1", x)
+            for a, b in ((r"\\b", ""), (r"\\d\[[^\]]*\]\*|\\d", "2"), (r"\[[^\]]*\]\??", " "), (r"\\[wS][*+]?", "x"), (r"\\W\??", " "), (r"\.\{0,\d+\}\?", " "), (r"\\s", " "), (r"\\(.)", r"\1"), (r"(.)\?", r"\1"), (r"\{\d+,?\d*\}\??", "")):
+                x = re.sub(a, b, x)
+            texts += [y for part in x.split("|") for y in (part, part.replace("2", "2.0"))]
+    missed = set()
+    for text in texts:
+        words = s.held(raw := text.encode(), np.array([0, len(raw)])).get(0, set())
+        held = [(r, g.places(text, words)) for g, its in s.gates for r in its if r.pattern.search(text)]
+        missed |= {(r.keyword, text) for r, places in held if not places}
+    assert not missed
+
+
+def test_license_scan_long_texts():
+    """Windows around keywords lose nothing; ten megabytes, even of licenses alone, end in seconds."""
+    s = license_scan.Scanner()
+    rng = np.random.default_rng(4)
+    notices = ["licensed under the apache license,\n version 2.0", "the mit license", "spdx-license-identifier: mit", "gnu lesser general public license v3", "license: cc-by 4.0", "permission is hereby granted, free of charge, to any person obtaining a copy of this software"]
+    text = " ".join(str(rng.choice(notices)) if rng.random() < 0.02 else f"word{rng.integers(500)}" for _ in range(3000))
+    assert len(text) > license_scan.WHOLE
+    whole = license_scan.resolve([license_scan.Found(m.start(), m.end(), r.label, r.order, r.priority, r.confidence) for r in s.rules for m in r.pattern.finditer(text)])
+    assert s.scan(text) == whole and len(whole) > 20
+    began = time.time()
+    assert len(s.scan("lorem ipsum dolor " * 580_000 + "the mit license")) == 1
+    many = s.scan("the mit license and more words of it. " * 270_000)
+    assert len(many) == 270_000 and time.time() - began < 60
+
+
+def test_license_resolve():
+    """Against the plain rule: no detection within one that was taken before it."""
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        found = [license_scan.Found(int(a), int(a + n), str(p), k, int(p), 0.5) for k, (a, n, p) in enumerate(zip(rng.integers(0, 30, 25), rng.integers(1, 12, 25), rng.integers(0, 4, 25), strict=True))]
+        taken = []
+        for f in sorted(found, key=lambda f: (f.priority, f.start - f.end, f.start, f.rule)):
+            if not any(t.start <= f.start and f.end <= t.end for t in taken):
+                taken.append(f)
+        assert license_scan.resolve(found) == sorted(taken)
 
 
 def test_html():
@@ -423,6 +477,30 @@ def test_html_marks():
     assert html_extraction.extract_text(f"<body><nav><p>{text}</p></nav></body>") == ""
 
 
+def test_html_ratios_decide():
+    """Link lists fall by their ratio inside an article too; marks hold for whole names; quotes that never close cost one tag."""
+    x = html_extraction.extract_text
+    text, more = "A long sentence of the article, with a comma, stands here.", "Another sentence of it, with more words, follows."
+    links = "".join(f"<li><a href=/{k}>Read this next, number {k}</a></li>" for k in range(6))
+    assert x(f"<article><h1>Head</h1><p>{text}</p><p>{more}</p><ul>{links}</ul></article>") == f"Head\n\n{text}\n\n{more}"
+    assert x(f"<body><div><p>{text}</p><p>{more}</p><table><tr><td>{links}</td></tr></table></div></body>") == f"{text}\n\n{more}"
+    for page in ("<body class='has-sidebar'>{}</body>", "<body class='home page no-comments'>{}</body>", "<article class='post comments-open'>{}</article>", "<main><section id='legal'>{}</section></main>", "<div class='search-result-item'>{}</div>", "<article><div class='legal-news'>{}</div></article>"):
+        assert x(page.format(f"<p>{text}</p><p>{more}</p>")) == f"{text}\n\n{more}"
+    assert x(f"<article><p title=\"x>{text}</p><p title='a > b'>{more}</p></article>") == f"{text}\n\n{more}"
+    assert x(f"<article><p>no marks at all in this one</p></article><div class='ad'>{text}</div>") == "no marks at all in this one"
+    assert x(f"<article><h2><a href=/>Card</a></h2></article><div id=c><p>{text}</p><p>{more}</p></div>").endswith(f"{text}\n\n{more}")
+
+
+def test_html_long_pages():
+    """Time in proportion to the page: many classes, deep nesting, stray end tags and open quotes."""
+    began = time.time()
+    classes = "".join(f"<div class='c{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676 % 26)}'><p>Some text, here {k}.</p></div>" for k in range(20000))
+    assert html_extraction.extract_text(f"<body>{classes}</body>").count("\n\n") == 19999
+    assert html_extraction.extract_text("<div>" * 30000 + "Hello, there." + "</x></div>" * 30000) == "Hello, there."
+    assert html_extraction.extract_text('<p title="' * 50000 + "<p>Hello, there.</p>") == "Hello, there."
+    assert time.time() - began < 10
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>Hi, you.</p></article>", "clash"), (None, None, None, None)], "page_id long, url string, html string, text string")
     assert sorted(map(str, html_extraction.extract_pages(df).collect())) == sorted(["Row(page_id=1, url='u', text='Hi, you.')", "Row(page_id=None, url=None, text='')"])
