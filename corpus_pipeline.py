@@ -7,58 +7,58 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from prismata.llm import decontamination, language_model, mixing, ngram_join, queries, sharding, toxicity
-from prismata.llm.scratch import Scratch
+from prismata.llm.scratch import Scratch, passing
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ROW = "__row"
-BROADCAST_ROWS = 1_000_000
-
-
-def _keyed(docs: DataFrame, label: str) -> DataFrame:
-    """The stage's input, written with a key of its own for each row, so that null and repeated ids are told apart."""
-    return Scratch(docs.sparkSession, label).write(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
-
-
-def _without(docs: DataFrame, rows: DataFrame, label: str) -> DataFrame:
-    """The rows of a keyed table whose key isn't among ``rows``; broadcast up to a checked number of keys, a shuffle beyond."""
-    gone = Scratch(docs.sparkSession, label).write(rows.select(F.col(ROW).alias("__gone")), "gone")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return docs.join(gone, F.col(ROW) == F.col("__gone"), "left_anti")
+BROADCAST_BYTES = 16 << 20
 
 
 def filter_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows scored 0.3 or more go, each by its own text. The index learns from the labelled rows that aren't held out."""
+    """Rows scored 0.3 or more go, each by its own text; the index learns from the labelled rows that aren't held out.
+
+    Null and empty texts get the score of texts without words. Null and repeated ids decide nothing: of rows that share
+    an id each stays or goes by itself. Without labels, and from an empty table, nothing goes. Other columns than those
+    of documents are left out.
+    """
+    docs = docs.select(*COLUMNS)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     index = toxicity.train(docs.where(~language_model.held_out(4)), labels)
-    docs = _keyed(docs, "filter-toxic")
-    toxic = toxicity.score_toxicity(docs, index, ROW).where("score >= 0.3")
-    return _without(docs, toxic, "filter-toxic").select(*COLUMNS)
+    return toxicity.drop_toxic(docs, index)
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of rows linked at a Jaccard similarity of 0.8 one stays: that of the smallest id, null ids last; of equal ids any one."""
-    docs = _keyed(docs, "join-near-copies")
+    """Of rows linked at a Jaccard similarity of 0.8 one stays: that of the smallest id, null ids last; of equal ids any one.
+
+    Each row has a key of its own, given when the stage's input is written, so that null and repeated ids are told
+    apart. Null, empty and blank texts are linked with nothing and stay. An empty table stays empty.
+    """
+    scratch = Scratch(spark, "join-near-copies")
+    docs = scratch.write(docs.select(*COLUMNS).withColumn(ROW, F.monotonically_increasing_id()), "keyed")
     linked = ngram_join.ngram_jaccard_join(docs, ROW).where("n_links > 0").select(ROW, "component_id")
-    linked = Scratch(spark, "join-near-copies").write(linked.join(docs.select(ROW, "doc_id"), ROW), "linked")
+    linked = scratch.write(linked.join(docs.select(ROW, "doc_id"), ROW), "linked")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW))[ROW].alias("__first")
     kept = linked.groupBy("component_id").agg(first)
-    gone = linked.join(kept, F.col(ROW) == F.col("__first"), "left_anti")
-    return _without(docs, gone, "join-near-copies").select(*COLUMNS)
+    gone = scratch.write(linked.join(kept, F.col(ROW) == F.col("__first"), "left_anti").select(F.col(ROW).alias("__gone")), "gone")
+    small = gone.count() * 8 <= BROADCAST_BYTES  # keys of eight bytes
+    return docs.join(F.broadcast(gone) if small else gone, F.col(ROW) == F.col("__gone"), "left_anti").select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that hold a copy of a benchmark item go, each by its own text."""
-    docs = _keyed(docs, "decontaminate")
-    return decontamination.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), ROW).select(*COLUMNS)
+    """Rows whose own text holds a copy of a benchmark item go. Null and empty texts stay, ids decide nothing; without items nothing goes."""
+    return decontamination.drop_leaks(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated by Poisson counts towards the source weights and put in random order."""
+    """Documents are repeated by Poisson counts towards the source weights and put in random order.
+
+    A null source is a source of its own, a null text has size one; rows that repeat an id get the same count each.
+    """
     return mixing.mix_sources(docs).select(*COLUMNS)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every copy gets the shard that the lookup table gives its id."""
+    """Every copy gets the shard that the lookup table gives its id; null ids share one, as equal ids do."""
     return sharding.assign_shards(docs, queries.SHARDS, queries.TABLE_SIZE)
 
 
@@ -76,7 +76,11 @@ ORACLE_SQL: str | None = None  # nearest-neighbour votes and alignments have no
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result is a Parquet table in the shared folder that the next stage reads."""
     scratch = Scratch(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = scratch.write(stage(spark, docs, sf_dir), name)
+        with passing():  # the tables of a stage's own go when its result is written, and then its input
+            docs = scratch.write(stage(spark, docs, sf_dir), name)
+        if before:
+            scratch.drop(before)
+        before = name
     return docs

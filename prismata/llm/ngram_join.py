@@ -273,7 +273,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     below = np.uint64(int(sample * 2**64))
     sent = scratch.write(docs.mapInArrow(Incidence(blocks, width, percent, sample), Incidence.schema), "incidence")
     columns = sent.where("block >= 0").repartition(blocks, "block").groupBy("block").applyInPandas(_shared_columns(blocks), Incidence.schema)
-    table = sent.where("block = -1").mapInArrow(_table, "doc_id long, cls long, n int, low int")
+    table = scratch.write(sent.where("block = -1").mapInArrow(_table, "doc_id long, cls long, n int, low int"), "sizes")
     sizes = table.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("mult"), F.min("n").alias("n"), F.min("low").alias("low"))
     classes = scratch.write(sizes, "classes")
     bucketed = classes.mapInArrow(_Bucketed(blocks), Incidence.schema)
@@ -293,6 +293,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     cells = cells.withColumn("cell", F.pmod(F.xxhash64("fam", "lo", "hi"), F.lit(groups)).cast("int"))
     found = scratch.write(cells.groupBy("cell").applyInPandas(_products(percent), "a long, b long, links long"), "links")
     scratch.drop("members")
+    scratch.drop("incidence")
     roots = connected_components(found.select("a", "b"), scratch, "components")
     counts = found.groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
     linked = classes.select("cls", "least", "mult").join(roots.withColumnRenamed("id", "cls"), "cls", "left").join(counts, "cls", "left").withColumn("root", F.coalesce("root", "cls"))

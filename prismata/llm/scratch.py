@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_made: list[Scratch] = []
 BATCH_BYTES = 8 << 20
 BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -35,14 +38,25 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         small_batches(spark)
+        _made.append(self)
         self.spark, self.top = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.top}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.top}/{name}")
 
-    def drop(self, name: str) -> None:
-        """Delete a table that no later step reads."""
-        jvm, path = self.spark._jvm, f"{self.top}/{name}"
+    def drop(self, name: str = "") -> None:
+        """Delete a table that no later step reads, or all of the run."""
+        jvm, path = self.spark._jvm, f"{self.top}/{name}".rstrip("/")
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextlib.contextmanager
+def passing() -> Iterator[None]:
+    """Delete at the end what was written inside: for steps whose results have been written elsewhere by then."""
+    before = len(_made)
+    yield
+    for s in _made[before:]:
+        s.drop()
+    del _made[before:]

@@ -366,6 +366,25 @@ def _build(uri: str, rows: int, toxic: int, blank: float, near: int):
     return run
 
 
+class _Scored:
+    """Scores and evidence of a column of texts; equal vectors are scored once."""
+
+    def __init__(self, index: Index, near: int):
+        self.index, self.near = index, near
+        self.seen: dict[bytes, tuple[float, list[int]]] = {}
+
+    def __call__(self, texts: pa.Array) -> Iterator[tuple[int, int, list[tuple[float, list[int]]]]]:
+        """(first row, end row, score and evidence of each) of runs of rows."""
+        for a, b, data, offsets in text_slices(texts, SHORT_SLICE):
+            vectors = self.index.vectors(data, offsets)
+            keys = [hashlib.blake2b(v[0].tobytes() + v[1].tobytes(), digest_size=16).digest() for v in vectors]
+            if len(self.seen) > 50_000:
+                self.seen.clear()
+            new = {k: v for k, v in zip(keys, vectors, strict=True) if k not in self.seen}
+            self.seen.update(zip(new, self.index.scores(list(new.values()), self.near), strict=True))
+            yield a, b, [self.seen[k] for k in keys]
+
+
 def score_toxicity(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text", near: int = NEAR) -> DataFrame:
     """Returns per row: ``id_col``, score (0 to 1) and evidence (ids of the three nearest examples).
 
@@ -376,18 +395,25 @@ def score_toxicity(docs: DataFrame, index: Index, id_col: str = "doc_id", text_c
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, tuple[float, list[int]]] = {}
+        scored = _Scored(index, near)
         for batch in batches:
-            for a, b, data, offsets in text_slices(batch.column("text"), SHORT_SLICE):
-                vectors = index.vectors(data, offsets)
-                keys = [hashlib.blake2b(v[0].tobytes() + v[1].tobytes(), digest_size=16).digest() for v in vectors]
-                if len(seen) > 50_000:
-                    seen.clear()
-                new = {k: v for k, v in zip(keys, vectors, strict=True) if k not in seen}
-                seen.update(zip(new, index.scores(list(new.values()), near), strict=True))
-                out = [seen[k] for k in keys]
+            for a, b, out in scored(batch.column("text")):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.list_(pa.int64()))], names=["doc_id", "score", "evidence"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, score double, evidence array<long>").withColumnRenamed("doc_id", id_col)
+
+
+def drop_toxic(docs: DataFrame, index: Index, threshold: float = 0.3, text_col: str = "text", near: int = NEAR) -> DataFrame:
+    """The rows of ``docs``, whole, whose own text scores below ``threshold``; ids decide nothing. Null and empty texts score as in ``score_toxicity``."""
+    small_batches(docs.sparkSession)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scored = _Scored(index, near)
+        for batch in batches:
+            for a, b, out in scored(batch.column(place).cast(pa.string())):
+                yield batch.slice(a, b - a).filter(pa.array([x[0] < threshold for x in out], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
