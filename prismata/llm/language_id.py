@@ -13,7 +13,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from prismata.llm.kernels import mix, pack, powers, ragged, text_slices, unpack, word_bounds, word_hashes
+from prismata.llm.kernels import SHORT_SLICE, mix, pack, powers, ragged, text_slices, unpack, word_bounds, word_hashes
 from prismata.llm.scratch import small_batches
 
 START, STOP = 1, 2  # code points that mark a run's edges
@@ -135,7 +135,8 @@ class Model:
             self.grams.append(self._union([parts[x][k][:2] for x in langs], np.nan))
             self.backs.append(self._union([parts[x][k][2:] for x in langs], 0.0))
         self.sharpness = 10.0
-        self.usual: list[tuple[float, float]] = [(0.0, 1.0)] * len(langs)  # mean and spread of a language's own entropy
+        self.usual: list[tuple[float, float, float]] = [(0.0, 1.0, 1.0)] * len(langs)  # of a language's own texts: mean entropy, and its variance as a + b / symbols
+        self.limit = np.full(len(langs), np.inf)  # standard deviations above the mean from which on a text is rejected
 
     @staticmethod
     def _union(tables: list[tuple[np.ndarray, np.ndarray]], other: float) -> tuple[np.ndarray, np.ndarray]:
@@ -191,11 +192,42 @@ class Model:
                 continue
             best = int(np.argmin(e))
             sure = 1 / np.exp2(-self.sharpness * (e - e[best])).sum()
-            mean, spread = self.usual[best]
-            over = (e[best] - mean) / (spread * (1 + 8 / np.sqrt(n)))  # short texts scatter more
-            out.append((self.langs[best], float(sure / (1 + max(0.0, over - 6) / 6)), bool(over > 6), float(e[best])))
+            over = self.above(best, e[best], n) / self.limit[best]
+            out.append((self.langs[best], float(sure / max(1.0, over)), bool(over > 1), float(e[best])))
         return out
 
+    def above(self, lang: int, entropy: np.ndarray | float, length: np.ndarray | float) -> np.ndarray | float:
+        """How many standard deviations an entropy lies above the language's mean; short texts scatter more."""
+        mean, a, b = self.usual[lang]
+        return (entropy - mean) / np.sqrt(a + b / length)
+
+    def calibrate(self, own: np.ndarray, entropy: np.ndarray, length: np.ndarray, reject: float) -> None:
+        """Fit sharpness, usual entropies and limits to texts whose language is known and which were not counted.
+
+        Sharpness has the least cross-entropy towards labels that are smoothed by half a text, so that it stays
+        finite where all texts are told apart. A language's limit lets all but a share ``reject`` of its texts pass.
+        """
+        n, langs = len(own), len(self.langs)
+        gap = entropy - entropy.min(1, keepdims=True)
+        wrong = 0.5 / (n + 1) if langs > 1 else 0.0
+        mine = gap[np.arange(n), own]
+        others = (gap.sum(1) - mine) / max(langs - 1, 1)
+        pull = ((1 - wrong) * mine + wrong * others).sum()
+        grid = np.exp2(np.arange(-8, 33) / 2)
+        loss = [s * pull + np.log2(np.exp2(-s * gap).sum(1)).sum() for s in grid]
+        self.sharpness = float(grid[int(np.argmin(loss))])
+        for k in range(langs):
+            its = own == k
+            if not its.any():
+                continue
+            e, m = entropy[its, k], length[its].astype(float)
+            mean = float(np.average(e, weights=np.sqrt(m)))
+            square, short = (e - mean) ** 2, 1 / m
+            slope = max(0.0, float(np.cov(short, square)[0, 1] / short.var())) if len(e) > 2 and short.var() > 0 else 0.0
+            level = max(float(square.mean() - slope * short.mean()), 0.02**2)
+            self.usual[k] = (mean, level, slope)
+            self.limit[k] = max(float(np.quantile(self.above(k, e, m), 1 - reject)), 3.0)
+
 
 def _learn(order: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -208,54 +240,49 @@ def _learn(order: int):
     return run
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 5, per_language: int = 1500) -> Model:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 5, per_language: int = 1500, kept: float = 0.2, reject: float = 0.002) -> Model:
     """Learn from about ``per_language`` rows a language, drawn by a hash of the id: the bound of what is learnt from.
 
-    Rows without text or language are left out; a language all of whose drawn texts have no letter is not learnt.
+    A share ``kept`` of them is not counted and calibrates the model instead. Rows without text or language are left
+    out; a language all of whose drawn texts have no letter is not learnt.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
     counts = rows.groupBy("lang").count()
     share = F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("count"))
-    drawn = rows.join(F.broadcast(counts.select("lang", share.alias("share"))), "lang").where(F.pmod(F.xxhash64("id", F.lit(6)), F.lit(1 << 20)) < F.col("share") * (1 << 20))
-    drawn = drawn.where(F.col("text").rlike(r"\p{L}")).select("lang", "text").repartition("lang")
-    got = drawn.groupBy("lang").applyInPandas(_learn(order), "lang string, k int, g binary, p binary, c binary, b binary").collect()
+    place = F.pmod(F.xxhash64("id", F.lit(6)), F.lit(1 << 20))
+    drawn = rows.join(F.broadcast(counts.select("lang", share.alias("share"))), "lang").where(place < F.col("share") * (1 << 20))
+    aside = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 20)) < int(kept * (1 << 20))
+    drawn = drawn.where(F.col("text").rlike(r"\p{L}")).select("lang", "text", aside.alias("aside"))
+    got = drawn.where("not aside").groupBy("lang").applyInPandas(_learn(order), "lang string, k int, g binary, p binary, c binary, b binary").collect()
     parts: dict[str, list] = {}
     for r in sorted(got, key=lambda r: (r["lang"], r["k"])):
         parts.setdefault(r["lang"], []).append(tuple(unpack(r[x]) for x in "gpcb"))
     model = Model(sorted(parts), order, parts)
     if model.langs:
-        _calibrate(spark, model, drawn)
+        _calibrate(spark, model, drawn.where("aside").select("lang", "text"), reject)
     return model
 
 
-def _calibrate(spark, model: Model, drawn: DataFrame) -> None:
-    """Set sharpness and usual entropies from sums over the drawn texts."""
+def _calibrate(spark, model: Model, told: DataFrame, reject: float) -> None:
+    """Calibrate on the rows set aside: a share of ``per_language`` rows a language, of which the driver gets a number for each language."""
     shared = spark.sparkContext.broadcast(model)
-    grid = [2.0, 4.0, 8.0, 16.0, 32.0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        place = {x: k for k, x in enumerate(m.langs)}
         for batch in batches:
             langs = batch.column("lang").to_pylist()
-            for a, b, data, offsets in text_slices(batch.column("text")):
+            for a, b, data, offsets in text_slices(batch.column("text"), SHORT_SLICE):
                 e, n = m.entropies(data, offsets)
-                rows = []
-                for k in range(b - a):
-                    own = m.langs.index(langs[a + k]) if langs[a + k] in m.langs else -1
-                    if n[k] and own >= 0:
-                        gap = e[k] - e[k].min()
-                        loss = [float(s * gap[own] + np.log2(np.exp2(-s * gap).sum())) for s in grid]
-                        rows.append((own, float(e[k, own]), loss))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=["own", "e", "loss"])
-
-    told = drawn.mapInArrow(run, "own long, e double, loss array<double>")
-    sums = told.groupBy("own").agg(F.avg("e").alias("mean"), F.coalesce(F.stddev_pop("e"), F.lit(0.0)).alias("spread"), *[F.sum(F.col("loss")[k]).alias(f"l{k}") for k in range(len(grid))]).collect()
-    for r in sums:
-        model.usual[r["own"]] = (r["mean"], max(r["spread"], 0.02))
-    if sums:
-        model.sharpness = grid[int(np.argmin([sum(r[f"l{k}"] for r in sums) for k in range(len(grid))]))]
+                own = np.array([place.get(langs[k], -1) for k in range(a, b)])
+                ok = (own >= 0) & (n > 0)
+                yield pa.RecordBatch.from_arrays([pa.array(own[ok]), pa.array(n[ok]), pa.array(list(e[ok]), pa.list_(pa.float64()))], names=["own", "n", "e"])
+
+    rows = told.mapInArrow(run, "own long, n long, e array<double>").collect()
+    if rows:
+        order = sorted(range(len(rows)), key=lambda k: (rows[k]["own"], rows[k]["n"], rows[k]["e"]))  # sums don't depend on the order of tasks
+        model.calibrate(np.array([rows[k]["own"] for k in order]), np.array([rows[k]["e"] for k in order]), np.array([rows[k]["n"] for k in order]), reject)
     shared.unpersist()
 
 
@@ -263,7 +290,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """Returns per row: ``id_col``, lang_pred, score (0 to 1), rejected, bits (a symbol, of the best language).
 
     The language with the fewest bits a symbol wins, the first by name on a tie. ``rejected`` marks texts whose
-    bits lie far above what the language's own texts take; it lowers the score and leaves the language.
+    bits lie above the limit that the language's own texts, those set aside while learning, keep to; it lowers the
+    score and leaves the language.
     A text that is null or has no letter is ``und``, score 0. Null and repeated ids pass through; other columns are not read.
     """
     small_batches(docs.sparkSession)
@@ -272,7 +300,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for a, b, data, offsets in text_slices(batch.column("text")):
+            for a, b, data, offsets in text_slices(batch.column("text"), SHORT_SLICE):
                 said = m.decide(*m.entropies(data, offsets))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *[pa.array(x, t) for x, t in zip(zip(*said, strict=True), (pa.string(), pa.float64(), pa.bool_(), pa.float64()), strict=True)]], names=["doc_id", "lang_pred", "score", "rejected", "bits"])
 

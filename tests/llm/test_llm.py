@@ -225,6 +225,67 @@ def test_language_id(spark, sf, docs, odd):
     assert {r.lang_pred for r in language_id.identify(odd, none).collect()} == {"und"}
 
 
+def test_language_calibration(spark):
+    """Limits and sharpness come from rows that were not counted; texts of no learnt language are rejected, the languages' own are not."""
+    rng = np.random.default_rng(8)
+    shapes = {"aa": "abcdefgh", "bb": "hijklmno", "cc": "opqrstua"}
+    word = lambda letters: "".join(letters[int(k)] for k in np.minimum(rng.geometric(0.3, rng.integers(2, 9)), len(letters)) - 1)
+    rows = [(k, " ".join(word(shapes[x]) for _ in range(int(rng.integers(3, 60)))), x) for k, x in enumerate(list(shapes) * 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs.where("doc_id < 450"))
+    assert all(2.0**-4 < model.sharpness < 2.0**16 for _ in [0]) and np.isfinite(model.limit).all()
+    got = {r.doc_id: r for r in language_id.identify(docs.where("doc_id >= 450"), model).collect()}
+    assert sum(got[k].lang_pred == x for k, _, x in rows[450:]) == 150 and sum(r.rejected for r in got.values()) <= 6
+    strange = spark.createDataFrame([(k, " ".join(word("zyxwv") for _ in range(30))) for k in range(30)], "doc_id long, text string")
+    assert sum(r.rejected for r in language_id.identify(strange, model).collect()) >= 28
+    assert max(r.score for r in language_id.identify(strange, model).collect()) < min(sorted(r.score for r in got.values())[10:])
+
+
+def test_kneser_ney_against_definitions():
+    """Probabilities by recursion over dictionaries, for texts with seen, unseen and single-letter runs."""
+    rng = np.random.default_rng(9)
+    text, order = " ".join("".join(rng.choice(list("abcd"), rng.integers(1, 7))) for _ in range(300)), 4
+    made = collections.Counter(text.split())
+    runs = lambda w: [language_id.START, *map(ord, w), language_id.STOP]
+    count = [collections.Counter() for _ in range(order + 1)]
+    left = [collections.defaultdict(set) for _ in range(order + 1)]
+    for w, times in made.items():
+        x = runs(w)
+        for i in range(1, len(x)):
+            for k in range(1, order + 1):
+                if i >= k - 1:
+                    g = tuple(x[i - k + 1 : i + 1])
+                    if k == order or i == k - 1:
+                        count[k][g] += times
+                    else:
+                        left[k][g].add(x[i - k])
+    for k in range(1, order):
+        for g, before in left[k].items():
+            count[k][g] += len(before)
+    d = [0.0]
+    for k in range(1, order + 1):
+        ones, twos = (sum(v == n for v in count[k].values()) for n in (1, 2))
+        d.append(ones / (ones + 2 * twos) if ones and twos else 0.5)
+
+    def p(ctx, symbol):
+        k = len(ctx) + 1
+        lower = p(ctx[1:], symbol) if ctx else 1 / language_id.ALPHABET
+        its = {g: v for g, v in count[k].items() if g[:-1] == ctx}
+        if not its:
+            return lower
+        total = sum(its.values())
+        return max(its.get((*ctx, symbol), 0) - d[k], 0) / total + d[k] * len(its) / total * lower
+
+    (_, _, data, offsets), *_ = text_slices(pa.array([text]), 1 << 30)
+    model = language_id.Model(["x"], order, {"x": language_id.kneser_ney(language_id.Runs(data, offsets), order)})
+    asked = ["abcd", "a", "dddddd bca", "xyz ab", "é abz", text]
+    (_, _, data, offsets), *_ = text_slices(pa.array(asked), 1 << 30)
+    e, n = model.entropies(data, offsets)
+    for k, t in enumerate(asked):
+        bits = [-math.log2(p(tuple(x[max(0, i - order + 1) : i]), x[i])) for w in t.split() for x in [runs(w)] for i in range(1, len(x))]
+        assert n[k] == len(bits) and e[k, 0] == pytest.approx(sum(bits) / len(bits), rel=1e-5)
+
+
 def test_kneser_ney_sums_to_one():
     (_, _, data, offsets), *_ = text_slices(pa.array(["abab abba baab ab a bb " * 3]), 1 << 30)
     runs = language_id.Runs(data, offsets)
