@@ -161,3 +161,73 @@ def local_components(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         if (label == before).all():
             break
     return label
+
+
+HELD = 3_000_000  # keys that a task holds before it sends them out
+WIDE = 1024  # ranges that one task deals to; beyond that dealing takes two steps
+
+
+def hash_edges(ranges: int) -> np.ndarray:
+    """The lower ends of equal ranges of 64-bit hashes."""
+    return np.array([(b << 64) // ranges for b in range(ranges)], np.uint64)
+
+
+def merge_counts(k: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and the sum of the counts of each."""
+    order = np.argsort(k, kind="stable")
+    k, c = k[order], c[order]
+    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+    return k[first], np.add.reduceat(c, first) if len(k) else c
+
+
+class Tally:
+    """Sums counts of keys and deals them, sorted and packed, to ranges of keys."""
+
+    schema = "block int, k binary, c binary"
+
+    def __init__(self):
+        self.held: list[tuple[np.ndarray, np.ndarray | None]] = []
+        self.n = 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray | None = None) -> None:
+        """Without counts each key counts one."""
+        self.held.append((keys, counts))
+        self.n += len(keys)
+
+    def flush(self, edges: np.ndarray, first: int = 0) -> Iterator[pa.RecordBatch]:
+        if self.n:
+            if all(c is None for _, c in self.held):
+                k, c = np.unique(np.concatenate([k for k, _ in self.held]), return_counts=True)
+            else:
+                k, c = merge_counts(np.concatenate([k for k, _ in self.held]), np.concatenate([c if c is not None else np.ones(len(k), np.int64) for k, c in self.held]))
+            self.held, self.n = [], 0
+            cut = [*np.searchsorted(k, edges), len(k)]
+            kind = np.uint32 if c.max() < 2**32 else np.uint64
+            out = [(first + b, pack(k[x:y], delta=True), pack(c[x:y].astype(kind))) for b, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["block", "k", "c"])
+
+
+def dealt(make, ranges: int, edges: np.ndarray):
+    """Counts dealt to ``ranges`` by key, as rows of (block, k, c): ``make(edges)`` gives those of a map side that deals by the edges it is told.
+
+    Above ``WIDE`` ranges the map side deals to runs of neighbouring ranges only, and a second pass, in which a task
+    holds no more than the first, splits each run: rows grow with the square root of the ranges for each key sent,
+    not with their number.
+    """
+    if ranges <= WIDE:
+        return make(edges)
+    step = int(np.ceil(np.sqrt(ranges)))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tallies: dict[int, Tally] = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                t = tallies.setdefault(r["block"], Tally())
+                t.add(unpack(r["k"], delta=True), unpack(r["c"]).astype(np.int64))
+                if t.n > HELD:
+                    yield from t.flush(edges[r["block"] * step : (r["block"] + 1) * step], r["block"] * step)
+        for b in sorted(tallies):
+            yield from tallies[b].flush(edges[b * step : (b + 1) * step], b * step)
+
+    coarse = make(edges[::step])
+    return coarse.repartition(-(-ranges // step), "block").sortWithinPartitions("block").mapInArrow(split, Tally.schema)

@@ -1,12 +1,15 @@
 """N-gram Jaccard join: a blocked sparse product of the document-by-shingle incidence matrix.
 
-The product is never formed for all documents. A first pass multiplies a fixed part of the columns
-(shingles whose hash falls below ``sample``) only to learn which of them occur in several texts, and
-drops every row whose shared columns cannot reach the bound that its size sets. Rows that are left
-are gathered into families over their rarest columns; within a family the product is computed in
-row blocks of bounded size, overlaps are counted exactly, and pairs below the bound are discarded.
-
-Texts with equal shingle sets are one row of the matrix (a class), so copies never meet in pairs.
+The product is never formed for all documents. A first pass counts a fixed part of the columns (shingles
+whose hash falls below ``sample``) to learn which of them occur in several texts, and drops every row whose
+shared columns cannot reach the bound that its size sets. Counts are summed before they move and columns are
+looked up in memory-mapped tables, so a column that a third of all rows share is one entry of a block. Rows that
+are left are gathered into families over their rarest columns, again by one entry a task and column; within a
+family the product is computed in row blocks of bounded size, overlaps are counted exactly, and pairs below the
+bound are discarded.
+
+Texts with equal shingle sets are one row of the matrix (a class), so copies never meet in pairs. Shingles and
+classes are known by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -19,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from prismata.llm.components import connected_components
-from prismata.llm.kernels import SHORT_SLICE, local_components, mix, pack, ragged, shingle_sets, text_slices, unpack
+from prismata.llm.kernels import HELD, SHORT_SLICE, WIDE, Tally, dealt, local_components, merge_counts, mix, pack, ragged, shingle_sets, text_slices, unpack
 from prismata.llm.scratch import Scratch
+from prismata.llm.shared_files import map_arrays, write_arrays
 
 CHUNK = 2_000_000  # sampled shingles that a task holds before it sends them out
 CELL = 4_000_000  # shingles of one row block
-FEW = 0.2  # share of a row's columns that a linked row may miss, at a similarity of 0.8
+LINKS = 2_000_000  # links of a cell that are held at a time
 
 
 def set_class(shingles: np.ndarray) -> int:
@@ -42,12 +46,12 @@ def _misses(n: np.ndarray | int, percent: int) -> np.ndarray | int:
 
 
 class Incidence:
-    """Map side: the columns of each text, dealt to blocks by hash, and one row of sizes per text."""
+    """Map side: the columns of runs of texts, dealt to ranges of hashes, and one row of sizes per text."""
 
     schema = "block int, a binary, b binary, c binary, d binary"
 
-    def __init__(self, blocks: int, width: int, percent: int, sample: float):
-        self.blocks, self.width, self.percent = blocks, width, percent
+    def __init__(self, edges: np.ndarray, width: int, percent: int, sample: float):
+        self.edges, self.width, self.percent = edges, width, percent
         self.below = np.uint64(int(sample * 2**64))
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,9 +97,8 @@ class Incidence:
             order = np.argsort(h, kind="stable")
             h, owner = h[order], owner[order]
             names = np.array([c for c, _ in self.owners], np.int64)
-            cut = np.searchsorted(h, _edges(self.blocks, self.below))
-            for k in range(self.blocks):
-                x, y = int(cut[k]), int(cut[k + 1]) if k + 1 < self.blocks else len(h)
+            cut = [*np.searchsorted(h, self.edges), len(h)]
+            for k, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
                 if y > x:
                     who, local = np.unique(owner[x:y], return_inverse=True)
                     out.append((k, pack(h[x:y], delta=True), pack(local.astype(np.uint16 if len(who) < 65536 else np.uint32)), pack(names[who]), b""))
@@ -109,33 +112,107 @@ def _edges(blocks: int, below: np.uint64) -> np.ndarray:
     return (np.arange(blocks, dtype=np.float64) * (float(below) / blocks)).astype(np.uint64)
 
 
-def _shared_columns(buckets: int):
-    """Reduce side of a block of columns: what occurs in more than one class goes to the classes' buckets."""
+def _column_counts(edges: np.ndarray):
+    """Map side: in how many classes of a task each column occurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = Tally()
+        for batch in batches:
+            for x in batch.column("a").to_pylist():
+                tally.add(unpack(x, delta=True))
+                if tally.n > HELD:
+                    yield from tally.flush(edges)
+        yield from tally.flush(edges)
+
+    return run
+
+
+def _shared_columns(folder: str):
+    """Reduce side of a block of columns: a table of those that occur more than once, with their counts."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        h = np.concatenate([unpack(x, delta=True) for x in pdf["a"]])
-        c = np.concatenate([unpack(z)[unpack(y)] for y, z in zip(pdf["b"], pdf["c"], strict=True)])
-        order = np.lexsort((c, h))
-        h, c = h[order], c[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
-        h, c = h[new], c[new]
-        _, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
-        df = count[inverse]
-        many = df > 1
-        h, c, df = h[many], c[many], df[many].astype(np.uint32)
-        bucket = (mix(c.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-        out = []
-        for k in np.unique(bucket):
-            m = bucket == k
-            out.append((int(k), pack(h[m], delta=True), pack(c[m]), pack(df[m]), b""))
-        return pd.DataFrame(out, columns=["block", "a", "b", "c", "d"])
+        h, n = merge_counts(np.concatenate([unpack(x, delta=True) for x in pdf["k"]]), np.concatenate([unpack(x) for x in pdf["c"]]).astype(np.int64))
+        k = int(pdf["block"].iloc[0])
+        write_arrays(f"{folder}/columns-{k}", {"h": h[n > 1], "n": np.minimum(n[n > 1], 2**32 - 1).astype(np.uint32)})
+        return pd.DataFrame({"block": [k]})
+
+    return run
+
+
+class Shared:
+    """The columns of each class that other classes have too, with their counts, dealt to buckets of classes.
+
+    Each row of columns needs the tables of its own range only, so the rows of a range may be read in any number of tasks.
+    ``step`` neighbouring ranges, or buckets, go by one number where there are so many that a second pass splits them.
+    """
+
+    schema = "block int, a binary, b binary, c binary, d binary"
+
+    def __init__(self, folder: str, edges: np.ndarray, buckets: int, step: int):
+        self.folder, self.edges, self.buckets, self.step = folder, edges, buckets, step
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        last, tables = -1, {}
+        for batch in batches:
+            for r in batch.to_pylist():  # ordered by range, so that a table is opened once
+                if r["block"] != last:
+                    last, tables = r["block"], {}
+                h, cls = unpack(r["a"], delta=True), unpack(r["c"])[unpack(r["b"])]
+                first = r["block"] * self.step
+                cut = [*np.searchsorted(h, self.edges[first : first + self.step]), len(h)]
+                for k, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True), first):
+                    if y > x:
+                        table = tables[k] if k in tables else tables.setdefault(k, map_arrays(f"{self.folder}/columns-{k}"))
+                        if len(table["h"]):
+                            at = np.minimum(np.searchsorted(table["h"], h[x:y]), len(table["h"]) - 1)
+                            ok = table["h"][at] == h[x:y]
+                            parts.append((h[x:y][ok], cls[x:y][ok], table["n"][at[ok]]))
+                if sum(len(p[0]) for p in parts) > CHUNK:
+                    yield from self.flush(parts)
+                    parts = []
+        if parts:
+            yield from self.flush(parts)
+
+    def flush(self, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        h, c, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        yield from deal_classes(h, c, n, self.buckets, self.step)
+
+
+def deal_classes(h: np.ndarray, c: np.ndarray, n: np.ndarray, buckets: int, step: int) -> Iterator[pa.RecordBatch]:
+    """Columns, classes and counts, packed for each run of ``step`` buckets of classes."""
+    bucket = (mix(c.view(np.uint64)) % np.uint64(buckets)).astype(np.int64) // step
+    order = np.lexsort((h, bucket))
+    h, c, n, bucket = h[order], c[order], n[order], bucket[order]
+    cut = np.flatnonzero(np.concatenate([[True], np.diff(bucket) != 0, [True]])) if len(h) else [0]
+    out = [(int(bucket[x]), pack(h[x:y], delta=True), pack(c[x:y]), pack(n[x:y]), b"") for x, y in zip(cut[:-1], cut[1:], strict=True)]
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], names=["block", "a", "b", "c", "d"])
+
+
+def _split_classes(buckets: int):
+    """The second pass of dealing to buckets: a task holds no more than the first pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, ...]] = []
+        for batch in batches:
+            for r in batch.to_pylist():
+                parts.append((unpack(r["a"], delta=True), unpack(r["b"]), unpack(r["c"])))
+                if sum(len(p[0]) for p in parts) > CHUNK:
+                    yield from deal_classes(*(np.concatenate(x) for x in zip(*parts, strict=True)), buckets, 1)
+                    parts = []
+        if parts:
+            yield from deal_classes(*(np.concatenate(x) for x in zip(*parts, strict=True)), buckets, 1)
 
     return run
 
 
 def _survivors(blocks: int, below: np.uint64, percent: int):
-    """Reduce side of a bucket of classes: rows that the bound keeps send their rarest columns on."""
+    """Reduce side of a bucket of classes: of the rows that the bound keeps, their rarest columns.
+
+    Of the classes here that share such a column one goes on for it, to the column's block; the others are tied to
+    that one by edges, which are rows of block -1.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         sizes, posts = pdf[pdf["d"].str.len() > 0], pdf[pdf["d"].str.len() == 0]
@@ -149,6 +226,9 @@ def _survivors(blocks: int, below: np.uint64, percent: int):
         n, low = (np.concatenate([unpack(x).reshape(2, -1)[k] for x in sizes["d"]])[first].astype(np.int64) for k in (0, 1))
         order = np.lexsort((h, df, c))
         c, h, df = c[order], h[order], df[order]
+        new = np.ones(len(c), bool)  # copies in several tasks sent their columns several times
+        new[1:] = (c[1:] != c[:-1]) | (h[1:] != h[:-1])
+        c, h = c[new], h[new]
         at = np.searchsorted(keys, c)
         start = np.searchsorted(c, keys)
         rank = np.arange(len(c)) - start[at]
@@ -158,32 +238,41 @@ def _survivors(blocks: int, below: np.uint64, percent: int):
         full = low <= miss
         alone = np.where(full, n, low) - np.bincount(at, minlength=len(keys))  # columns that no other row has come first in the order
         keep = (full | (shared >= low - miss))[at] & (full[at] | (rank + alone[at] <= miss[at]))
-        c, h = c[keep], h[keep]
+        h, head, edges = _heads(h[keep], c[keep])
         block = np.minimum((h.astype(np.float64) * (blocks / float(below))).astype(np.int64), blocks - 1)
-        out = []
-        order = np.argsort(h, kind="stable")
-        c, h, block = c[order], h[order], block[order]
+        out = [(-1, pack(edges[0]), pack(edges[1]))] if len(edges[0]) else []
         for k in np.unique(block):
             m = block == k
-            out.append((int(k), pack(h[m], delta=True), pack(c[m])))
+            out.append((int(k), pack(h[m], delta=True), pack(head[m])))
         return pd.DataFrame(out, columns=["block", "a", "b"]) if out else none
 
     return run
 
 
-def _stars(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Reduce side of a block of rare columns: a spanning forest of the classes that share one."""
-    h = np.concatenate([unpack(x, delta=True) for x in pdf["a"]])
-    c = np.concatenate([unpack(x) for x in pdf["b"]])
+def _heads(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """The distinct columns in order, one class of each, and edges (class, other class) that tie those who share one."""
     names, c = np.unique(c, return_inverse=True)
     order = np.lexsort((c, h))
     h, c = h[order], c[order]
     new = np.ones(len(h), bool)
     new[1:] = h[1:] != h[:-1]
-    head = c[np.flatnonzero(new)][np.cumsum(new) - 1]
-    root = local_components(c, head, len(names))
+    head = c[np.flatnonzero(new)]
+    root = local_components(c, head[np.cumsum(new) - 1], len(names)) if len(c) else np.zeros(0, np.int64)
     tied = root != np.arange(len(names))
-    return pd.DataFrame({"a": names[tied], "b": names[root[tied]]})
+    return h[new], names[head], (names[tied], names[root[tied]])
+
+
+def _stars(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Reduce side of a block of rare columns: edges that tie the classes which go on for a column from several buckets."""
+    _, _, edges = _heads(np.concatenate([unpack(x, delta=True) for x in pdf["a"]]), np.concatenate([unpack(x) for x in pdf["b"]]))
+    return pd.DataFrame({"a": edges[0], "b": edges[1]})
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of packed rows."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array(unpack(r["a"])), pa.array(unpack(r["b"]))], names=["a", "b"])
 
 
 class Shingles:
@@ -219,29 +308,41 @@ def _cell(p: pd.DataFrame, percent: int, same: bool) -> list[tuple[int, int, int
     by = np.argsort(col, kind="stable")
     post, bounds = row[by], np.concatenate([[0], np.cumsum(np.bincount(col, minlength=len(count)))])
     at = np.searchsorted(row, np.arange(m + 1))
-    ea, eb, links = [], [], np.zeros(m, np.int64)
+    ea, eb, links, root, held = [], [], np.zeros(m, np.int64), np.arange(m), 0
     for i in range(m):
         cols = col[at[i] : at[i + 1]]
         if len(cols) < n[i] - _misses(n[i], percent):
             continue
         near = post[ragged(bounds[cols], bounds[cols + 1] - bounds[cols])]
-        overlap = np.bincount(near, minlength=m)
-        hit = (100 * overlap >= percent * (n + n[i] - overlap)) & (overlap > 0)
-        hit[i] = False
+        if len(near) * 4 < m:  # few of many rows are met
+            j, overlap = np.unique(near, return_counts=True)
+        else:
+            overlap = np.bincount(near, minlength=m)
+            j = np.flatnonzero(overlap)
+            overlap = overlap[j]
+        hit = (100 * overlap >= percent * (n[j] + n[i] - overlap)) & (j != i)
         if not same:
-            hit &= side != side[i]
-        j = np.flatnonzero(hit)
+            hit &= side[j] != side[i]
+        j = j[hit]
         if len(j):
             links[i] = mult[j].sum()
             ea.append(np.full(len(j), i))
             eb.append(j)
-    if not ea:
-        return []
-    root = local_components(np.concatenate(ea), np.concatenate(eb), m)
+            held += len(j)
+        if held > LINKS:  # of the links so far only what they connect is kept
+            root = _joined(root, ea, eb)
+            ea, eb, held = [], [], 0
+    root = _joined(root, ea, eb)
     cls = p["cls"].to_numpy()
     return [(int(cls[i]), int(cls[root[i]]), int(links[i])) for i in np.flatnonzero((links > 0) | (root != np.arange(m)))]
 
 
+def _joined(root: np.ndarray, ea: list[np.ndarray], eb: list[np.ndarray]) -> np.ndarray:
+    """Components of what was connected before and of new edges."""
+    every = np.arange(len(root))
+    return local_components(np.concatenate([every, *ea]), np.concatenate([root, *eb]), len(root))
+
+
 def _products(percent: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -253,12 +354,12 @@ def _products(percent: int):
     return run
 
 
-def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, sample: float = 0.4, block_bytes: int = 16 << 20, broadcast_rows: int = 1_000_000) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, sample: float = 0.4, block_bytes: int = 16 << 20, broadcast_bytes: int = 40 << 20) -> DataFrame:
     """Link documents whose ``width``-word shingle sets have a Jaccard similarity of ``percent`` / 100 or more.
 
     Returns per row of ``docs``: ``id_col``, n_shingles (set size), n_links (documents linked with it),
     component_id (smallest id reachable over links, itself included). The answer is exact; ``sample``,
-    ``block_bytes`` and ``broadcast_rows`` move work about and never change it.
+    ``block_bytes`` and ``broadcast_bytes`` move work about and never change it. Ids are cast to long.
 
     Words are runs of bytes other than ASCII white space, A-Z lower-cased. A text of fewer words is one
     shingle. Null, empty and blank texts have the empty set and are linked with nothing. A null id gives
@@ -271,20 +372,28 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(4, -(-total // block_bytes))
     below = np.uint64(int(sample * 2**64))
-    sent = scratch.write(docs.mapInArrow(Incidence(blocks, width, percent, sample), Incidence.schema), "incidence")
-    columns = sent.where("block >= 0").repartition(blocks, "block").groupBy("block").applyInPandas(_shared_columns(blocks), Incidence.schema)
+    edges = _edges(blocks, below)
+    step = 1 if blocks <= WIDE else int(np.ceil(np.sqrt(blocks)))
+    sent = scratch.write(docs.mapInArrow(Incidence(edges[::step], width, percent, sample), Incidence.schema), "incidence")
+    columns = sent.where("block >= 0")
+    counts = dealt(lambda e: columns.select("a").mapInArrow(_column_counts(e), Tally.schema), blocks, edges)
+    counts.groupBy("block").applyInPandas(_shared_columns(f"{scratch.top}/columns"), "block int").count()  # writes the tables
+    near = columns.hint("rebalance", "block").sortWithinPartitions("block")  # any cut of a large range will do
+    shared = near.mapInArrow(Shared(f"{scratch.top}/columns", edges, blocks, step), Shared.schema)
+    if step > 1:
+        shared = shared.repartition(-(-blocks // step), "block").mapInArrow(_split_classes(blocks), Shared.schema)
     table = scratch.write(sent.where("block = -1").mapInArrow(_table, "doc_id long, cls long, n int, low int"), "sizes")
     sizes = table.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("mult"), F.min("n").alias("n"), F.min("low").alias("low"))
     classes = scratch.write(sizes, "classes")
     bucketed = classes.mapInArrow(_Bucketed(blocks), Incidence.schema)
-    rare = columns.unionByName(bucketed).groupBy("block").applyInPandas(_survivors(blocks, below, percent), "block int, a binary, b binary")
-    stars = rare.groupBy("block").applyInPandas(_stars, "a long, b long")
+    rare = scratch.write(shared.unionByName(bucketed).groupBy("block").applyInPandas(_survivors(blocks, below, percent), "block int, a binary, b binary"), "rare")
+    stars = rare.where("block >= 0").groupBy("block").applyInPandas(_stars, "a long, b long").unionByName(rare.where("block = -1").mapInArrow(_unpacked, "a long, b long"))
     families = connected_components(stars, scratch, "families").select(F.col("id").alias("cls"), F.col("root").alias("fam"))
     members = scratch.write(families.join(classes, "cls").select("cls", "fam", "mult", "n", "least"), "members")
     wide = members.groupBy("fam").agg(F.ceil(F.sum("n") / CELL).cast("int").alias("k"))
     chosen = members.join(wide, "fam").select("fam", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int").alias("ci"), "k", "cls", "mult", "least")
     reps, weight = members.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    chosen = F.broadcast(chosen) if reps <= broadcast_rows else chosen
+    chosen = F.broadcast(chosen) if reps * 40 <= broadcast_bytes else chosen  # five numbers a row
     texts = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["least"])).select("fam", "ci", "k", "cls", "mult", "text")
     sets = texts.mapInArrow(Shingles(width), Shingles.schema)
     cells = sets.withColumn("cj", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
@@ -293,7 +402,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     cells = cells.withColumn("cell", F.pmod(F.xxhash64("fam", "lo", "hi"), F.lit(groups)).cast("int"))
     found = scratch.write(cells.groupBy("cell").applyInPandas(_products(percent), "a long, b long, links long"), "links")
     scratch.drop("members")
-    scratch.drop("incidence")
+    for name in ("incidence", "rare", "columns"):
+        scratch.drop(name)
     roots = connected_components(found.select("a", "b"), scratch, "components")
     counts = found.groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
     linked = classes.select("cls", "least", "mult").join(roots.withColumnRenamed("id", "cls"), "cls", "left").join(counts, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
