@@ -20,12 +20,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from prismata.llm.elias_fano import EliasFano
-from prismata.llm.kernels import mix, pack, text_slices, unpack, word_bounds, word_hashes
+from prismata.llm.kernels import HELD, WIDE, Tally, dealt, hash_edges, merge_counts, mix, pack, text_slices, unpack, word_bounds, word_hashes
 from prismata.llm.scratch import Scratch
 from prismata.llm.shared_files import map_arrays, write_arrays
 
 END = mix(np.array([0x454E44], np.uint64))[0]  # the hash of the end of a text
-HELD = 3_000_000  # tokens that a task counts before it sends the counts out
 SLICE = 8 << 20
 THIRD = 4  # shards of level three for each of level two
 
@@ -52,50 +51,19 @@ def quantise(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return code, (np.bincount(code, v, len(cuts) + 1) / np.maximum(n, 1)).astype(np.float32)
 
 
-class _Counted:
-    """Map side of counting: sums keys of a task's texts and sends them, sorted, to blocks of key ranges."""
-
-    schema = "block int, k binary, c binary"
-
-    def __init__(self):
-        self.held: list[np.ndarray] = []
-        self.n = 0
-
-    def add(self, keys: np.ndarray) -> None:
-        self.held.append(keys)
-        self.n += len(keys)
-
-    def flush(self, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if self.n:
-            k, c = np.unique(np.concatenate(self.held), return_counts=True)
-            self.held, self.n = [], 0
-            cut = [*np.searchsorted(k, edges), len(k)]
-            out = [(b, pack(k[x:y], delta=True), pack(c[x:y].astype(np.uint32))) for b, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
-            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["block", "k", "c"])
-
-
 def _merged(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    k = np.concatenate([unpack(x, delta=True) for x in pdf["k"]])
-    c = np.concatenate([unpack(x) for x in pdf["c"]]).astype(np.int64)
-    order = np.argsort(k, kind="stable")
-    k, c = k[order], c[order]
-    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-    return k[first], np.add.reduceat(c, first)
-
-
-def _hash_edges(blocks: int) -> np.ndarray:
-    return np.array([(b << 64) // blocks for b in range(blocks)], np.uint64)
+    return merge_counts(np.concatenate([unpack(x, delta=True) for x in pdf["k"]]), np.concatenate([unpack(x) for x in pdf["c"]]).astype(np.int64))
 
 
-def _count_words(blocks: int):
+def _count_words(edges: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counted = _Counted()
+        counted = Tally()
         for batch in batches:
             for _, _, data, offsets in text_slices(batch.column("text")):
                 counted.add(token_stream(data, offsets)[0])
                 if counted.n > HELD:
-                    yield from counted.flush(_hash_edges(blocks))
-        yield from counted.flush(_hash_edges(blocks))
+                    yield from counted.flush(edges)
+        yield from counted.flush(edges)
 
     return run
 
@@ -115,14 +83,20 @@ class Vocabulary:
 
     def __init__(self, folder: str, sizes: dict[int, int], blocks: int):
         self.folder, self.blocks = folder, blocks
-        self.starts = np.concatenate([[0], np.cumsum([sizes.get(b, 0) for b in range(blocks)])]).astype(np.int64)
-        self.size = int(self.starts[-1])
-        self.open: dict[int, dict[str, np.ndarray]] = {}
+        starts = np.concatenate([[0], np.cumsum([sizes.get(b, 0) for b in range(blocks)])]).astype(np.int64)
+        write_arrays(f"{folder}/words-index", {"starts": starts})
+        self.size = int(starts[-1])
+        self.open: dict[int | str, dict[str, np.ndarray]] = {}
+
+    @property
+    def starts(self) -> np.ndarray:
+        """The first id of each block, and the end; tasks map them too."""
+        return self._block("index")["starts"]
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"open": {}}
 
-    def _block(self, b: int) -> dict[str, np.ndarray]:
+    def _block(self, b: int | str) -> dict[str, np.ndarray]:
         if b not in self.open:
             self.open[b] = map_arrays(f"{self.folder}/words-{b}")
         return self.open[b]
@@ -130,13 +104,14 @@ class Vocabulary:
     def lookup(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(id or -1, count or 0) of each of the sorted hashes."""
         ids, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
-        cut = [*np.searchsorted(hashes, _hash_edges(self.blocks)), len(hashes)]
+        cut = [*np.searchsorted(hashes, hash_edges(self.blocks)), len(hashes)]
+        starts = self.starts
         for b, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
-            if y > x and self.starts[b + 1] > self.starts[b]:
+            if y > x and starts[b + 1] > starts[b]:
                 a = self._block(b)
                 at = np.minimum(np.searchsorted(a["k"], hashes[x:y]), len(a["k"]) - 1)
                 ok = a["k"][at] == hashes[x:y]
-                ids[x:y] = np.where(ok, at + self.starts[b], -1)
+                ids[x:y] = np.where(ok, at + starts[b], -1)
                 counts[x:y] = np.where(ok, a["c"][at], 0)
         return ids, counts
 
@@ -149,29 +124,30 @@ class Vocabulary:
         return out
 
 
-class _CountedTriples(_Counted):
-    """The same for (pair id, place of the word) of level three; keys are local to the shard, so that they fit 64 bits."""
+class _Triples:
+    """Sums counts of (pair id, place of the word) and deals them to ranges of pairs; keys are local to a range, so that they fit 64 bits."""
 
-    def __init__(self, edges: np.ndarray, size: int):
-        super().__init__()
-        self.edges, self.size, self.places = edges, size, []
+    def __init__(self, edges: np.ndarray, size: int, first: int = 0):
+        self.edges, self.size, self.first = edges, size, first
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.n = 0
 
-    def add_triples(self, pairs: np.ndarray, places: np.ndarray) -> None:
-        self.add(pairs)
-        self.places.append(places)
+    def add(self, pairs: np.ndarray, places: np.ndarray, counts: np.ndarray | None = None) -> None:
+        self.held.append((pairs, places, np.ones(len(pairs), np.int64) if counts is None else counts))
+        self.n += len(pairs)
 
-    def flush_triples(self) -> Iterator[pa.RecordBatch]:
+    def flush(self) -> Iterator[pa.RecordBatch]:
         if self.n:
-            x, place = np.concatenate(self.held), np.concatenate(self.places)
-            self.held, self.places, self.n = [], [], 0
+            x, place, n = (np.concatenate(v) for v in zip(*self.held, strict=True))
+            self.held, self.n = [], 0
             order = np.argsort(x, kind="stable")
-            x, place = x[order], place[order]
-            cut = np.searchsorted(x, self.edges)
+            x, place, n = x[order], place[order], n[order]
+            cut = [*np.searchsorted(x, self.edges), len(x)]
             out = []
             for s, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
                 if b > a:
-                    k, c = np.unique((x[a:b] - self.edges[s]) * (self.size + 1) + place[a:b], return_counts=True)
-                    out.append((s, pack(k.astype(np.uint64), delta=True), pack(c.astype(np.uint32))))
+                    k, c = merge_counts((x[a:b] - self.edges[s]) * (self.size + 1) + place[a:b], n[a:b])
+                    out.append((self.first + s, pack(k.astype(np.uint64), delta=True), pack(c.astype(np.uint32 if c.max() < 2**32 else np.uint64))))
             yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["block", "k", "c"])
 
 
@@ -189,10 +165,14 @@ def _shard_edges(shards: int, size: int) -> np.ndarray:
     return np.array([(size + 1) * s // shards for s in range(shards)], np.int64)
 
 
-def _count_pairs(words: Vocabulary, shards: int):
+def _shard_range(s: int, shards: int, size: int) -> tuple[int, int]:
+    """The contexts of a shard: its first, and the next shard's."""
+    return (size + 1) * s // shards, (size + 1) * (s + 1) // shards
+
+
+def _count_pairs(words: Vocabulary, edges: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counted = _Counted()
-        edges = _shard_edges(shards, words.size) * (words.size + 1)
+        counted = Tally()
         for batch in batches:
             for _, _, data, offsets in text_slices(batch.column("text")):
                 tokens, stop = token_stream(data, offsets)
@@ -277,10 +257,21 @@ class TrieModel:
 
     def __init__(self, folder: str, words: Vocabulary, shards: int, n_tokens: int, pairs: np.ndarray, third: int = 0):
         self.folder, self.words, self.shards, self.n_tokens, self.third = folder, words, shards, n_tokens, third
-        self.starts = np.concatenate([[0], np.cumsum(pairs)]).astype(np.int64)  # the first pair id of each shard
-        self.contexts = np.append(_shard_edges(shards, words.size), words.size + 1)
+        starts = np.concatenate([[0], np.cumsum(pairs)]).astype(np.int64)
+        write_arrays(f"{folder}/pairs-index", {"starts": starts})
+        self.n_pairs = int(starts[-1])
         self.open: dict[str, dict[str, np.ndarray]] = {}
 
+    @property
+    def starts(self) -> np.ndarray:
+        """The first pair id of each shard, and the end; tasks map them too."""
+        return self._file("pairs-index")["starts"]
+
+    @property
+    def contexts(self) -> np.ndarray:
+        """The first context of each shard, and the end."""
+        return np.append(_shard_edges(self.shards, self.words.size), self.words.size + 1)
+
     def __getstate__(self) -> dict:
         return self.__dict__ | {"open": {}}
 
@@ -291,7 +282,7 @@ class TrieModel:
 
     def pair_edges(self) -> np.ndarray:
         """The first pair id of each shard of level three, and the end."""
-        return np.array([int(self.starts[-1]) * s // max(self.third, 1) for s in range(self.third + 1)], np.int64)
+        return np.array([self.n_pairs * s // max(self.third, 1) for s in range(self.third + 1)], np.int64)
 
     def pairs(self, tokens: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For each token: training count, log10 p given the word before, pair id with it and place among its successors (-1: not stored)."""
@@ -373,19 +364,41 @@ def _pairs_before(pair: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return before
 
 
-def _count_triples(model: TrieModel):
+def _count_triples(model: TrieModel, step: int):
+    """Counts dealt to runs of ``step`` shards of level three."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counted = _CountedTriples(model.pair_edges(), model.words.size)
+        counted = _Triples(model.pair_edges()[:-1:step], model.words.size)
         for batch in batches:
             for _, _, data, offsets in text_slices(batch.column("text"), SLICE):
                 tokens, stop = token_stream(data, offsets)
                 _, _, pair, place = model.pairs(tokens, stop)
                 before = _pairs_before(pair, stop)
                 ok = before >= 0
-                counted.add_triples(before[ok], place[ok])
+                counted.add(before[ok], place[ok])
                 if counted.n > HELD:
-                    yield from counted.flush_triples()
-        yield from counted.flush_triples()
+                    yield from counted.flush()
+        yield from counted.flush()
+
+    return run
+
+
+def _split_triples(model: TrieModel, step: int):
+    """The second pass where there are many shards: a task holds no more than the first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges, size = model.pair_edges()[:-1], model.words.size + 1
+        counted: dict[int, _Triples] = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                low = r["block"] * step
+                t = counted.setdefault(low, _Triples(edges[low : low + step], model.words.size, low))
+                k = unpack(r["k"], delta=True).astype(np.int64)
+                t.add(k // size + edges[low], k % size, unpack(r["c"]).astype(np.int64))
+                if t.n > HELD:
+                    yield from t.flush()
+        for low in sorted(counted):
+            yield from counted[low].flush()
 
     return run
 
@@ -397,45 +410,49 @@ def train(docs: DataFrame, text_col: str = "text", block_bytes: int = 32 << 20,
     total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(4, -(-total // block_bytes))
     folder = f"{scratch.top}/model"
-    words = texts.mapInArrow(_count_words(blocks), _Counted.schema).groupBy("block").applyInPandas(_vocabulary_block(folder), "block int, n long, tokens long, bytes long")
+    words = dealt(lambda e: texts.mapInArrow(_count_words(e), Tally.schema), blocks, hash_edges(blocks)).groupBy("block").applyInPandas(_vocabulary_block(folder), "block int, n long, tokens long, bytes long")
     words = words.collect()  # one row of sizes a block
     vocabulary = Vocabulary(folder, {r["block"]: r["n"] for r in words}, blocks)
     n_tokens = sum(r["tokens"] for r in words)
     sizes = np.zeros(blocks, np.int64)
     if not vocabulary.size:
         return TrieModel(folder, vocabulary, blocks, n_tokens, sizes)
-    contexts = [*map(int, _shard_edges(blocks, vocabulary.size)), vocabulary.size + 1]
     none = np.zeros(0, np.int64)
 
     def shard(pdf: pd.DataFrame) -> pd.DataFrame:
         keys, counts = _merged(pdf)
         s = int(pdf["block"].iloc[0])
-        size = write_arrays(f"{folder}/pairs-{s}", build_shard(keys, counts, contexts[s], contexts[s + 1], vocabulary, n_tokens))
+        size = write_arrays(f"{folder}/pairs-{s}", build_shard(keys, counts, *_shard_range(s, blocks, vocabulary.size), vocabulary, n_tokens))
         return pd.DataFrame([(s, len(keys), size)], columns=["block", "n", "bytes"])
 
-    pairs = texts.mapInArrow(_count_pairs(vocabulary, blocks), _Counted.schema).groupBy("block").applyInPandas(shard, "block int, n long, bytes long")
+    firsts = _shard_edges(blocks, vocabulary.size) * (vocabulary.size + 1)
+    pairs = dealt(lambda e: texts.mapInArrow(_count_pairs(vocabulary, e), Tally.schema), blocks, firsts).groupBy("block").applyInPandas(shard, "block int, n long, bytes long")
     for r in pairs.collect():
         sizes[r["block"]] = r["n"]
     for s in np.flatnonzero(sizes == 0).tolist():  # contexts that nothing follows
-        write_arrays(f"{folder}/pairs-{s}", build_shard(none, none, contexts[s], contexts[s + 1], vocabulary, n_tokens))
+        write_arrays(f"{folder}/pairs-{s}", build_shard(none, none, *_shard_range(s, blocks, vocabulary.size), vocabulary, n_tokens))
     if order == 2:
         return TrieModel(folder, vocabulary, blocks, n_tokens, sizes)
     model = TrieModel(folder, vocabulary, blocks, n_tokens, sizes, blocks * THIRD)
-    edges = [int(e) for e in model.pair_edges()]
+    shards = model.third
 
     def third(pdf: pd.DataFrame) -> pd.DataFrame:
         keys, counts = _merged(pdf)
         s = int(pdf["block"].iloc[0])
         keys = keys.astype(np.int64)
         context, place = keys // (vocabulary.size + 1), keys % (vocabulary.size + 1)
-        lower = model.pair_probs(model.successors(edges[s], edges[s + 1])[context] + place)
-        size = write_arrays(f"{folder}/triples-{s}", build_level(context, place, counts, lower, edges[s], edges[s + 1]))
+        low, high = (model.n_pairs * x // shards for x in (s, s + 1))
+        lower = model.pair_probs(model.successors(low, high)[context] + place)
+        size = write_arrays(f"{folder}/triples-{s}", build_level(context, place, counts, lower, low, high))
         return pd.DataFrame([(s, len(keys), size)], columns=["block", "n", "bytes"])
 
-    triples = texts.mapInArrow(_count_triples(model), _Counted.schema).groupBy("block").applyInPandas(third, "block int, n long, bytes long")
-    made = {r["block"] for r in triples.collect()}
-    for s in set(range(model.third)) - made:
-        write_arrays(f"{folder}/triples-{s}", build_level(none, none, none, none, edges[s], edges[s + 1]))
+    step = 1 if shards <= WIDE else int(np.ceil(np.sqrt(shards)))
+    counted = texts.mapInArrow(_count_triples(model, step), Tally.schema)
+    if step > 1:
+        counted = counted.repartition(-(-shards // step), "block").sortWithinPartitions("block").mapInArrow(_split_triples(model, step), Tally.schema)
+    made = {r["block"] for r in counted.groupBy("block").applyInPandas(third, "block int, n long, bytes long").collect()}
+    for s in set(range(shards)) - made:
+        write_arrays(f"{folder}/triples-{s}", build_level(none, none, none, none, *(model.n_pairs * x // shards for x in (s, s + 1))))
     return model
 
 

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from prismata.llm import decontamination, exact_dedup, html_extraction, language_id, language_model, license_rules, license_scan, mixing, ngram_join, queries, sharding, toxicity
+from prismata.llm import decontamination, exact_dedup, html_extraction, kernels, language_id, language_model, license_rules, license_scan, mixing, ngram_join, queries, sharding, toxicity
 from prismata.llm.elias_fano import EliasFano
 from prismata.llm.kernels import pack, shingle_sets, text_slices, unpack
 
@@ -103,12 +103,28 @@ def test_jaccard_join_chains_and_chunks(spark, monkeypatch):
     texts = [(k, " ".join(base[k * 3 : 150 + k * 3] + [f"own{k}"])) for k in range(12)] + [(100 + k, " ".join(base[:40]) + f" tail{k}") for k in range(30)]
     want = brute_components(texts)
     df = spark.createDataFrame(texts, "doc_id long, text string")
-    for cell in (4_000_000, 400):
+    for cell, links in ((4_000_000, 2_000_000), (400, 5)):
         monkeypatch.setattr(ngram_join, "CELL", cell)
+        monkeypatch.setattr(ngram_join, "LINKS", links)
         got = {r.doc_id: (r.n_shingles, r.n_links, r.component_id) for r in ngram_join.ngram_jaccard_join(df).collect()}
         assert got == want
 
 
+def test_jaccard_join_many_blocks(spark, monkeypatch):
+    """Dealing in two steps, chunks of a few shingles, and copies and near copies that many tasks hold give the same links."""
+    rng = np.random.default_rng(6)
+    hot = [f"h{k}" for k in range(60)]
+    texts = [(k, " ".join([*hot[:30], f"x{k % 4}", *hot[30:]])) for k in range(60)] + [(100 + k, " ".join(str(w) for w in rng.integers(0, 40, rng.integers(0, 30)))) for k in range(60)]
+    texts += [(200 + k, texts[60 + k][1] + " more") for k in range(60)]
+    want = brute_components(texts)
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(8)
+    for name in ("WIDE", "CHUNK", "HELD"):
+        monkeypatch.setattr(ngram_join, name, {"WIDE": 4, "CHUNK": 300, "HELD": 200}[name])
+    monkeypatch.setattr(kernels, "WIDE", 4)
+    got = {r.doc_id: (r.n_shingles, r.n_links, r.component_id) for r in ngram_join.ngram_jaccard_join(df, block_bytes=1000).collect()}
+    assert got == want
+
+
 def test_jaccard_join_odd(odd):
     got = ngram_join.ngram_jaccard_join(odd).collect()
     assert len(got) == len(ODD)
@@ -215,6 +231,18 @@ def test_language_model(docs, odd, order):
     assert {r.score for r in language_model.score(odd, empty).collect()} == {0.0}
 
 
+def test_language_model_many_blocks(docs, monkeypatch):
+    """Counts dealt in two steps to many blocks and shards score as those of a few."""
+    few = language_model.train(docs)
+    for m in (kernels, language_model):
+        monkeypatch.setattr(m, "WIDE", 4)
+    many = language_model.train(docs, block_bytes=20_000)
+    assert many.words.blocks > 9 and (many.n_tokens, many.words.size, many.n_pairs) == (few.n_tokens, few.words.size, few.n_pairs)
+    a, b = ({(r.doc_id, r.n_tokens): r for r in language_model.score(docs, m).collect()} for m in (few, many))
+    assert a.keys() == b.keys() and all(a[k].base_score == pytest.approx(b[k].base_score) and a[k].score == pytest.approx(b[k].score, abs=0.05 * k[1] + 0.1) for k in a)
+    assert len(pickle.dumps(many)) < 2000
+
+
 def test_language_id(spark, sf, docs, odd):
     model = language_id.train(docs.where(~language_model.held_out(4)))
     got = language_id.identify(docs, model).join(docs.select("doc_id", "lang").where(language_model.held_out(4)), "doc_id").collect()
