@@ -11,6 +11,7 @@ import time
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from prismata.llm import decontamination, exact_dedup, html_extraction, kernels, language_id, language_model, license_rules, license_scan, mixing, ngram_join, queries, sharding, toxicity
 from prismata.llm.elias_fano import EliasFano
@@ -138,11 +139,11 @@ def test_exact_dedup(docs, odd):
     groups = collections.defaultdict(list)
     for i, t in texts.items():
         groups[t].append(i)
-    for r in exact_dedup.exact_dedup(docs).collect():
+    for r in [*exact_dedup.exact_dedup(docs).collect(), *exact_dedup.exact_dedup(docs, broadcast_bytes=0).collect()]:  # by broadcast and by shuffle
         own = groups[texts[r.doc_id]]
         assert (r.keep_id, r.group_size, r.kept, r.text_sha256) == (max(own), len(own), r.doc_id == max(own), hashlib.sha256(texts[r.doc_id].encode()).hexdigest())
     got = exact_dedup.exact_dedup(odd).collect()
-    assert len(got) == len(ODD)
+    assert len(got) == len(ODD) and sorted(map(str, got)) == sorted(map(str, exact_dedup.exact_dedup(odd, broadcast_bytes=0).collect()))
     assert [(r.keep_id, r.kept) for r in got if r.doc_id is None] == [(2, False)]
     assert {(r.doc_id, r.keep_id) for r in got if r.doc_id in (1, 3)} == {(1, 3), (3, 3)}  # null counts as empty
     assert exact_dedup.exact_dedup(odd.limit(0)).count() == 0
@@ -166,6 +167,7 @@ def test_mixing(spark, docs, odd):
             p *= mean / k
             c += p
         assert copies[r.doc_id] == k
+    assert collections.Counter(r.doc_id for r in mixing.mix_sources(docs, broadcast_bytes=0).select("doc_id").collect()) == copies
     for part in mixing.mix_sources(docs).select("shuffle_key").rdd.glom().collect():
         assert [r[0] for r in part] == sorted(r[0] for r in part)
     named = spark.createDataFrame([("a", 3.0), ("zzz", 1.0), (None, 1.0)], "name string, weight double")
@@ -595,6 +597,41 @@ def test_html_table(spark):
     assert sorted(map(str, html_extraction.extract_pages(df).collect())) == sorted(["Row(page_id=1, url='u', text='Hi, you.')", "Row(page_id=None, url=None, text='')"])
 
 
+SHAPES = {
+    "lm": lambda d, s: language_model.score(d, language_model.train(d)),
+    "mix": lambda d, s: mixing.mix_sources(d),
+    "shard": lambda d, s: sharding.assign_shards(d, queries.SHARDS),
+    "leaks": lambda d, s: decontamination.find_leaks(d, s.createDataFrame([(1, " ".join(f"w{k}" for k in range(500, 540)))], "item_id long, text string")),
+    "clean": lambda d, s: decontamination.drop_leaks(d, s.createDataFrame([(1, "never said by anyone at all in here, not once")], "item_id long, text string")),
+    "language": lambda d, s: language_id.identify(d, language_id.train(d.withColumn("lang", F.lit("xx")))),
+    "jaccard": lambda d, s: ngram_join.ngram_jaccard_join(d),
+    "toxic": lambda d, s: toxicity.score_toxicity(d, toxicity.train(d, s.createDataFrame([(1, 1), (2, 0), (5, 0), (None, 1)], "doc_id long, toxic int"))),
+    "not toxic": lambda d, s: toxicity.drop_toxic(d, toxicity.train(d.limit(0), s.createDataFrame([], "doc_id long, toxic int"))),
+    "license": lambda d, s: license_scan.scan_licenses(d),
+    "exact": lambda d, s: exact_dedup.exact_dedup(d),
+    "html": lambda d, s: html_extraction.extract_pages(d.withColumnRenamed("text", "html")),
+}
+
+
+@pytest.mark.parametrize("name", SHAPES)
+def test_odd_long_and_empty_tables(spark, odd, name):
+    """Every operator takes nulls, repeats, clashing columns, texts of megabytes and tables without rows, and answers for each row."""
+    run = SHAPES[name]
+    assert run(odd.limit(0), spark).count() == 0
+    got = run(odd, spark)
+    assert got.count() == {"leaks": 0}.get(name, len(ODD) if name != "mix" else got.count())
+    if name in ("clean", "not toxic", "shard", "mix"):
+        assert set(odd.columns) <= set(got.columns) and len(set(got.columns)) == len(got.columns)
+    text = " ".join(f"w{k * k % 7919}" if k % 3 else f"w{k % 2000}" for k in range(300_000))
+    long = spark.createDataFrame([(1, text, "a"), (2, text + " end", "a"), (2, text, "a"), (None, None, None), (5, "x" * 3_000_000, "b")], "doc_id long, text string, source string")
+    rows = run(long, spark).collect()
+    assert len(rows) >= (0 if name in ("leaks", "mix") else 5)
+    if name == "jaccard":
+        assert {(r.doc_id, r.n_links, r.component_id) for r in rows} == {(1, 2, 1), (2, 2, 1), (None, 0, None), (5, 0, 5)}
+    if name == "exact":
+        assert sorted((r.doc_id or 0, r.keep_id or 0, r.group_size) for r in rows) == [(0, 0, 1), (1, 2, 2), (2, 2, 1), (2, 2, 2), (5, 5, 1)]
+
+
 def test_queries_run(spark, sf):
     for name, f in queries.QUERIES.items():
         assert f(spark, sf).count() >= 0, name
@@ -613,6 +650,24 @@ def test_pipeline(spark, sf):
     assert {r.doc_id for r in out.select("doc_id").collect()} <= {r.doc_id for r in kept.select("doc_id").collect()}
 
 
+def test_pipeline_odd_tables(spark, tmp_path):
+    """Each stage on an empty table and on one of nulls, blanks, repeats and a column too many."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string"
+    rows = [(1, None, None, None, None, "x"), (None, "", "en", "a", 0, "x"), (None, " \t", "en", "a", 0, "x"), (2, "one two three four five six", "en", "a", 9, "x"), (2, "one two three four five six", "en", "a", 9, "x"), (3, "one two", None, "b", 1, "x")]
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for data, kept in ((rows, [6, 5, 6]), ([], [0, 0, 0])):
+        docs = spark.createDataFrame(data, schema)
+        for (_, stage), n in zip(corpus_pipeline.STAGES[:3], kept, strict=False):
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns == corpus_pipeline.COLUMNS and out.count() == n
+        for _, stage in corpus_pipeline.STAGES[3:]:
+            out = stage(spark, docs, str(tmp_path))
+            assert set(corpus_pipeline.COLUMNS) <= set(out.columns) and out.count() >= 0
+
+
 def test_pipeline_rows(spark, tmp_path):
     """Null and repeated ids by brute force: each row goes or stays by its own text."""
     import corpus_pipeline
