@@ -5,6 +5,7 @@ from __future__ import annotations
 import copy
 import functools
 import itertools
+import math
 from collections import deque
 from dataclasses import dataclass, field, replace
 
@@ -21,6 +22,7 @@ from prismata.sources import physical, read_table
 _ids = itertools.count()
 _MODIFIERS = {"ALL", "REMOVEFILTERS", "ALLEXCEPT", "ALLSELECTED", "USERELATIONSHIP", "CROSSFILTER"}
 FEW = 100_000  # rows that one task may number
+CROSSED = 10_000_000  # combinations of unrelated group columns that a query may have
 _ITERATORS = {"SUMX", "AVERAGEX", "MAXX", "MINX", "COUNTX", "COUNTAX"}
 
 
@@ -1277,7 +1279,7 @@ class Engine:
         if able:
             s = self.scan(max(able, key=degree), context)
             return Rows(None, out, [], env.rows, env.scope, s)
-        df = None
+        parts: list[DataFrame] = []
         left = list(tables)
         while left:
             best = max(left, key=lambda t: (len(set(left) & set(self.paths(t, context))), degree(t)))
@@ -1285,9 +1287,10 @@ class Engine:
             left = [t for t in left if t not in own]
             names = {o.name for o in out if o.col[0] in own}
             kept = replace(context, filters=tuple(f for f in context.filters if not (isinstance(f, Key) and f.name not in names)))
-            one = self.scan(best, kept).groups()
-            df = one if df is None else df.crossJoin(one)
-        return Rows(df, out, [], env.rows, env.scope)
+            parts.append(self.scan(best, kept).groups())
+        if len(parts) > 1 and math.prod(p.count() for p in parts) > CROSSED:  # a few numbers, asked for while the query is compiled
+            raise DaxError("nothing relates the group columns, and they have too many combinations")
+        return Rows(functools.reduce(DataFrame.crossJoin, parts), out, [], env.rows, env.scope)
 
     def _facts(self, exprs: list[Node]) -> list[str]:
         """Tables whose columns or rows the expressions name, measures looked into."""

@@ -3,12 +3,14 @@
 import datetime
 import glob
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 import duckdb
 import pytest
 
 from prismata.model import ColumnDef, Measure, Model, ModelError, Relationship, Table
 from prismata.operators.queries import CASES, ORACLES, QUERIES
+from prismata.plans import compiler
 from prismata.plans.compiler import Engine
 from prismata.plans.parser import DaxError
 from prismata.sources.demo import demo_model
@@ -123,6 +125,23 @@ def test_table_functions_keep_duplicates_and_nulls(small):
     assert rows(small, "EVALUATE DISTINCT(product[color])") == [("blue",), ("red",)]
 
 
+def test_unrelated_groups_are_crossed_up_to_a_bound(spark, sf, monkeypatch):
+    text = 'EVALUATE SUMMARIZECOLUMNS(events[event_type], part[p_type], "v", SUM(events[value]))'
+    e = Engine(spark, demo_model(), sf)
+    assert e.query(text)[0].count() == 30
+    monkeypatch.setattr(compiler, "CROSSED", 29)
+    with pytest.raises(DaxError):
+        e.query(text)
+
+
+def test_two_queries_keep_their_measures_apart(spark, sf):
+    """Queries compile in threads of their own, each with the measures that it defines."""
+    e = Engine(spark, demo_model(), sf)
+    ask = lambda k: e.query(f'DEFINE MEASURE region[M] = {k} EVALUATE ROW("m", [M])')[0].first()[0]
+    with ThreadPoolExecutor(8) as pool:
+        assert list(pool.map(ask, range(24))) == list(range(24))
+
+
 def test_one_rule_for_blanks_in_orders(small):
     """Blanks come first in both directions, in ORDER BY, TOPN, SAMPLE and places; START AT starts after them."""
     got = lambda text: [tuple(r) for r in small.query(text)[0].collect()]
