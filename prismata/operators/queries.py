@@ -5,14 +5,18 @@ An entry is the DAX text, the names given to its columns in order, and the SQL.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
 
+from prismata.model import Model
 from prismata.plans.compiler import Engine
 from prismata.plans.mdx import run_mdx
 from prismata.sources.demo import demo_model
 from prismata.sources.metadata import system_query
+from prismata.sources.results import evaluate_json, evaluate_rowsets
 
 _STAR = "lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
 _REV = "l_extendedprice * (1 - l_discount)"
@@ -189,6 +193,18 @@ CASES: dict[str, tuple[str, str, str]] = {
         "flag v w",
         "SELECT l_returnflag AS flag, sum(l_quantity) FILTER (l_quantity > 40) AS v, sum(l_quantity) FILTER (l_quantity <= 15) AS w FROM lineitem GROUP BY 1",
     ),
+    "keepfilters_table": (
+        """EVALUATE SUMMARIZECOLUMNS(region[r_name], "kept", CALCULATE([Orders], KEEPFILTERS(FILTER(ALL(region[r_name]), region[r_name] IN {"ASIA", "EUROPE"}))), "put", CALCULATE([Orders], FILTER(ALL(region[r_name]), region[r_name] IN {"ASIA", "EUROPE"})))""",
+        "region kept put",
+        "WITH o AS (SELECT r_name, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1) SELECT r_name AS region, CASE WHEN r_name IN ('ASIA', 'EUROPE') THEN n END AS kept, (SELECT sum(n) FROM o WHERE r_name IN ('ASIA', 'EUROPE'))::BIGINT AS put FROM region JOIN o USING (r_name)",
+    ),
+    "math_over_parts": (
+        """EVALUATE SELECTCOLUMNS(part, "k", part[p_partkey], "r", ROUND(part[p_retailprice] / 7, 3), "ru", ROUNDUP(part[p_retailprice] / 7, 1), "rd", ROUNDDOWN(part[p_retailprice] / 7, 1), "m", MOD(part[p_partkey], -7), "f", FACT(MOD(part[p_size], 20)), "ev", EVEN(part[p_retailprice] / 3), "od", ODD(part[p_retailprice] / 3), "mr", MROUND(part[p_partkey], 5),
+        "p", POWER(part[p_size], 2), "s", ROUND(SQRT(part[p_size]), 9), "l", ROUND(LN(part[p_size]), 9), "t", TRUNC(0 - part[p_retailprice] / 7), "i", INT(0 - part[p_retailprice] / 7), "d", DIVIDE(part[p_size], part[p_size] - 10, -1), "at", ROUND(ATAN2(part[p_size], part[p_partkey]), 9))""",
+        "k r ru rd m f ev od mr p s l t i d at",
+        """SELECT p_partkey AS k, floor(p_retailprice / 7 * 1000 + 0.5) / 1000 AS r, ceil(p_retailprice / 7 * 10) / 10 AS ru, floor(p_retailprice / 7 * 10) / 10 AS rd, p_partkey + 7 * floor(p_partkey / -7) AS m, factorial((p_size % 20)::INTEGER)::DOUBLE AS f, ceil(p_retailprice / 6) * 2 AS ev, ceil((p_retailprice / 3 - 1) / 2) * 2 + 1 AS od, round(p_partkey / 5) * 5 AS mr,
+        p_size * p_size AS p, round(sqrt(p_size), 9) AS s, round(ln(p_size), 9) AS l, -floor(p_retailprice / 7) AS t, floor(-p_retailprice / 7) AS i, CASE WHEN p_size = 10 THEN -1 ELSE p_size / (p_size - 10) END AS d, round(atan2(p_partkey, p_size), 9) AS at FROM part""",
+    ),
     "all_beside_filter": (
         """EVALUATE CALCULATETABLE(SUMMARIZECOLUMNS(lineitem[l_returnflag], "kept", [Quantity], "every", CALCULATE([Quantity], ALL(lineitem[l_linestatus]))), lineitem[l_linestatus] = "F")""",
         "flag kept every",
@@ -446,5 +462,51 @@ SYSTEM: dict[str, tuple[str, str]] = {
 
 QUERIES = {name: _run(text, names.split(), 0 if name in FIRST else -1) for name, (text, names, _) in CASES.items()}
 ORACLES = {name: sql for name, (_, _, sql) in CASES.items()}
+
+
+def _rows(spark: SparkSession, rows: list, schema: str) -> DataFrame:
+    return spark.createDataFrame([tuple(r) for r in rows], schema)
+
+
+_BY_REGION = 'EVALUATE SUMMARIZECOLUMNS(region[r_name], "quantity", [Quantity])'
+
+
+def _model_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Engine(spark, Model.from_json(demo_model().to_json()), sf_dir).query(_BY_REGION)[0].toDF("region", "quantity")
+
+
+def _commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    commands = [{"type": "RenameTable", "table": "region", "newName": "Big Area"}, {"type": "RenameColumn", "table": "Big Area", "column": "r_name", "newName": "Label"}, {"type": "RenameMeasure", "name": "Quantity", "newName": "Pieces"}, {"type": "UpdateMeasureExpression", "name": "Pieces", "expression": "SUM(lineitem[l_quantity]) * 2"}]
+    return Engine(spark, demo_model().apply(commands), sf_dir).query("EVALUATE SUMMARIZECOLUMNS('Big Area'[Label], \"pieces\", [Pieces])")[0].toDF("region", "pieces")
+
+
+def _refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = Engine(spark, demo_model(), sf_dir)
+    engine.query(_BY_REGION)
+    engine.refresh()
+    return engine.query(_BY_REGION)[0].toDF("region", "quantity")
+
+
+def _json_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first, second = json.loads(evaluate_json(Engine(spark, demo_model(), sf_dir), f"{_BY_REGION} EVALUATE ROW(\"x\", BLANK())"))
+    return _rows(spark, [*first["rows"], ["blank", *second["rows"][0]]], "region string, quantity double")
+
+
+def _rowset_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = ElementTree.fromstring(evaluate_rowsets(Engine(spark, demo_model(), sf_dir), _BY_REGION))
+    rows = [[c.text for c in r] for r in root if r.tag.endswith("}row")]
+    return _rows(spark, [(a, float(b)) for a, b in rows], "region string, quantity double")
+
+
+_SUMS = f"SELECT r_name AS region, sum(l_quantity) AS quantity FROM {_STAR} GROUP BY 1"
+OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
+    "model_json": (_model_json, _SUMS),
+    "schema_commands": (_commands, f"SELECT r_name AS region, sum(l_quantity) * 2 AS pieces FROM {_STAR} GROUP BY 1"),
+    "refresh_data": (_refresh, _SUMS),
+    "json_result": (_json_result, f"{_SUMS} UNION ALL SELECT 'blank', NULL"),
+    "rowset_result": (_rowset_result, _SUMS),
+}
+QUERIES |= {name: f for name, (f, _) in OTHERS.items()}
+ORACLES |= {name: sql for name, (_, sql) in OTHERS.items()}
 QUERIES |= {name: _mdx(text, names.split(), name in _TOTALS) for name, (text, names, _) in MDX.items()} | {name: _system(text) for name, (text, _) in SYSTEM.items()}
 ORACLES |= {name: sql for name, (_, _, sql) in MDX.items()} | {name: sql for name, (_, sql) in SYSTEM.items()}
