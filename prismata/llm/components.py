@@ -7,14 +7,14 @@ from pyspark.sql import DataFrame, functions as F
 from prismata.llm.scratch import Scratch
 
 
-HUBS = 1000  # a node at more than one in so many of the edges' ends is a hub; there are at most this many
+SALTS = 8
 
 
-def _with_low(edges: DataFrame, low: DataFrame, ends: int) -> DataFrame:
-    """Edges with the ``low`` of their ``a``. Hubs, of which ``HUBS`` is a bound, are broadcast, so no task gets all edges of one."""
-    hubs = F.broadcast(low.where(F.col("degree") * HUBS > ends).drop("degree"))
-    rest = low.where(F.col("degree") * HUBS <= ends).drop("degree")
-    return edges.join(hubs, "a").unionByName(edges.join(hubs, "a", "left_anti").join(rest, "a"))
+def _salted(edges: DataFrame, low: DataFrame) -> DataFrame:
+    """Edges with the ``low`` of their ``a``. Those of a hub meet it in ``SALTS`` partitions, which adaptive execution splits further."""
+    dealt = edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    copies = low.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return dealt.join(copies, ["a", "salt"]).drop("salt")
 
 
 def connected_components(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
@@ -24,21 +24,21 @@ def connected_components(edges: DataFrame, scratch: Scratch, label: str) -> Data
     neighbours and once for the smaller, and writes the edges to the shared folder. The number of
     rounds grows with the logarithm of the longest chain. No edges give no rows. Nulls are not nodes.
     """
+    spark = scratch.spark
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = scratch.write(edges, f"{label}-0")
-    n, state, step = edges.count(), None, 0
+    state, step = None, 0
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"), F.count("*").alias("degree"))
-        large = _with_low(both.where("b > a"), low, 2 * n).select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("degree"))
-        small = _with_low(large, low, n)
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
+        large = _salted(both.where("b > a"), low).select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("low"))
+        small = _salted(large, low)
         small = small.select("a", F.col("low").alias("b")).unionByName(small.select(F.col("b").alias("a"), F.col("low").alias("b")))
         step += 1
         edges = scratch.write(small.where("a <> b").distinct(), f"{label}-{step}")
         scratch.drop(f"{label}-{step - 1}")
         row = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.count_distinct("a")).first()
-        n = row[0]
         if tuple(row) == state and row[0] == row[2]:
             break
         state = tuple(row)

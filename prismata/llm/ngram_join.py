@@ -108,8 +108,9 @@ class Incidence:
 
 
 def _edges(blocks: int, below: np.uint64) -> np.ndarray:
-    """Lower ends of the hash ranges: even below the sampling bound, and what lies above it folded in by the last."""
-    return (np.arange(blocks, dtype=np.float64) * (float(below) / blocks)).astype(np.uint64)
+    """Lower ends of the hash ranges: ``blocks`` below the sampling bound, where most columns are, and as many above it."""
+    part = np.arange(blocks, dtype=np.float64) / blocks
+    return np.concatenate([(part * float(below)).astype(np.uint64), below + (part * (2.0**64 - float(below))).astype(np.uint64)])
 
 
 def _column_counts(edges: np.ndarray):
@@ -207,7 +208,7 @@ def _split_classes(buckets: int):
     return run
 
 
-def _survivors(blocks: int, below: np.uint64, percent: int):
+def _survivors(edges: np.ndarray, below: np.uint64, percent: int):
     """Reduce side of a bucket of classes: of the rows that the bound keeps, their rarest columns.
 
     Of the classes here that share such a column one goes on for it, to the column's block; the others are tied to
@@ -238,9 +239,9 @@ def _survivors(blocks: int, below: np.uint64, percent: int):
         full = low <= miss
         alone = np.where(full, n, low) - np.bincount(at, minlength=len(keys))  # columns that no other row has come first in the order
         keep = (full | (shared >= low - miss))[at] & (full[at] | (rank + alone[at] <= miss[at]))
-        h, head, edges = _heads(h[keep], c[keep])
-        block = np.minimum((h.astype(np.float64) * (blocks / float(below))).astype(np.int64), blocks - 1)
-        out = [(-1, pack(edges[0]), pack(edges[1]))] if len(edges[0]) else []
+        h, head, ties = _heads(h[keep], c[keep])
+        block = np.searchsorted(edges, h, "right") - 1
+        out = [(-1, pack(ties[0]), pack(ties[1]))] if len(ties[0]) else []
         for k in np.unique(block):
             m = block == k
             out.append((int(k), pack(h[m], delta=True), pack(head[m])))
@@ -373,10 +374,10 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     blocks = max(4, -(-total // block_bytes))
     below = np.uint64(int(sample * 2**64))
     edges = _edges(blocks, below)
-    step = 1 if blocks <= WIDE else int(np.ceil(np.sqrt(blocks)))
+    step = 1 if len(edges) <= WIDE else int(np.ceil(np.sqrt(len(edges))))
     sent = scratch.write(docs.mapInArrow(Incidence(edges[::step], width, percent, sample), Incidence.schema), "incidence")
     columns = sent.where("block >= 0")
-    counts = dealt(lambda e: columns.select("a").mapInArrow(_column_counts(e), Tally.schema), blocks, edges)
+    counts = dealt(lambda e: columns.select("a").mapInArrow(_column_counts(e), Tally.schema), len(edges), edges)
     counts.groupBy("block").applyInPandas(_shared_columns(f"{scratch.top}/columns"), "block int").count()  # writes the tables
     near = columns.hint("rebalance", "block").sortWithinPartitions("block")  # any cut of a large range will do
     shared = near.mapInArrow(Shared(f"{scratch.top}/columns", edges, blocks, step), Shared.schema)
@@ -386,7 +387,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sizes = table.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("mult"), F.min("n").alias("n"), F.min("low").alias("low"))
     classes = scratch.write(sizes, "classes")
     bucketed = classes.mapInArrow(_Bucketed(blocks), Incidence.schema)
-    rare = scratch.write(shared.unionByName(bucketed).groupBy("block").applyInPandas(_survivors(blocks, below, percent), "block int, a binary, b binary"), "rare")
+    rare = scratch.write(shared.unionByName(bucketed).groupBy("block").applyInPandas(_survivors(edges, below, percent), "block int, a binary, b binary"), "rare")
     stars = rare.where("block >= 0").groupBy("block").applyInPandas(_stars, "a long, b long").unionByName(rare.where("block = -1").mapInArrow(_unpacked, "a long, b long"))
     families = connected_components(stars, scratch, "families").select(F.col("id").alias("cls"), F.col("root").alias("fam"))
     members = scratch.write(families.join(classes, "cls").select("cls", "fam", "mult", "n", "least"), "members")
