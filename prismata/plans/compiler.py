@@ -6,6 +6,7 @@ import copy
 import functools
 import itertools
 import math
+import re
 from collections import deque
 from dataclasses import dataclass, field, replace
 
@@ -81,6 +82,7 @@ class Engine:
         self.scalars = SCALARS | zoned(time_zone)
         self.measures = {m.name.lower(): parse_expression(m.expression) for m in model.measures.values()}
         self.held: list[DataFrame] = []
+        self._blanks: dict[tuple[str, ...], bool] = {}  # whether expressions are blank where all they sum is
         self._frames: dict[str, DataFrame] = {}
         self._paths: dict[tuple, dict[str, list[Relationship]]] = {}
 
@@ -1141,13 +1143,18 @@ class Engine:
         tested = [v for v, t in vs if t]
         if not asked or not tested or any(v.kind == "bool" for v in tested):
             return False
-        try:  # a table of one row given in the query is folded by the optimizer: no job runs
-            df = self.spark.sql(f"SELECT * FROM VALUES ({', '.join(['NULL'] * len(asked))}) t({', '.join(r.name for r in asked)})")
-            for name, col in rows.made:
-                df = df.withColumn(name, col)
-            return all(x is None for x in df.select(*[v.col for v in tested]).first())
-        except AnalysisException:
-            return False
+        names = {r.name: f"r{k}" for k, r in enumerate(asked)} | {n: f"v{k}" for k, (n, _) in enumerate(rows.made)}
+        plain = re.compile("|".join(rf"\b{n}\b" for n in names))
+        same = tuple(plain.sub(lambda m: names[m[0]], str(c)) for c in [*(c for _, c in rows.made), *(v.col for v in tested)])
+        if same not in self._blanks:
+            try:  # a table of one row given in the query is folded by the optimizer: no job runs
+                df = self.spark.sql(f"SELECT * FROM VALUES ({', '.join(['NULL'] * len(asked))}) t({', '.join(r.name for r in asked)})")
+                for name, col in rows.made:
+                    df = df.withColumn(name, col)
+                self._blanks[same] = all(x is None for x in df.select(*[v.col for v in tested]).first())
+            except AnalysisException:
+                self._blanks[same] = False
+        return self._blanks[same]
 
     def _join_sets(self, df: DataFrame, level: str, number: dict[int, int], asked: dict[int, frozenset[str]], requests: list[Request], keys: dict[str, Col]) -> tuple[DataFrame, dict[str, str]]:
         """Join aggregates that the sets ``asked`` for under keys of their own, made in one pass for all of them."""
