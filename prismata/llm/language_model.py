@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from prismata.llm.elias_fano import EliasFano
 from prismata.llm.kernels import HELD, WIDE, Tally, dealt, hash_edges, merge_counts, mix, pack, text_slices, unpack, word_bounds, word_hashes
 from prismata.llm.scratch import Scratch
-from prismata.llm.shared_files import map_arrays, write_arrays
+from prismata.llm.shared_files import kept_arrays, write_arrays
 
 END = mix(np.array([0x454E44], np.uint64))[0]  # the hash of the end of a text
 SLICE = 8 << 20
@@ -86,20 +86,14 @@ class Vocabulary:
         starts = np.concatenate([[0], np.cumsum([sizes.get(b, 0) for b in range(blocks)])]).astype(np.int64)
         write_arrays(f"{folder}/words-index", {"starts": starts})
         self.size = int(starts[-1])
-        self.open: dict[int | str, dict[str, np.ndarray]] = {}
 
     @property
     def starts(self) -> np.ndarray:
         """The first id of each block, and the end; tasks map them too."""
         return self._block("index")["starts"]
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"open": {}}
-
     def _block(self, b: int | str) -> dict[str, np.ndarray]:
-        if b not in self.open:
-            self.open[b] = map_arrays(f"{self.folder}/words-{b}")
-        return self.open[b]
+        return kept_arrays(f"{self.folder}/words-{b}")
 
     def lookup(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(id or -1, count or 0) of each of the sorted hashes."""
@@ -260,7 +254,6 @@ class TrieModel:
         starts = np.concatenate([[0], np.cumsum(pairs)]).astype(np.int64)
         write_arrays(f"{folder}/pairs-index", {"starts": starts})
         self.n_pairs = int(starts[-1])
-        self.open: dict[str, dict[str, np.ndarray]] = {}
 
     @property
     def starts(self) -> np.ndarray:
@@ -272,13 +265,8 @@ class TrieModel:
         """The first context of each shard, and the end."""
         return np.append(_shard_edges(self.shards, self.words.size), self.words.size + 1)
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"open": {}}
-
     def _file(self, name: str) -> dict[str, np.ndarray]:
-        if name not in self.open:
-            self.open[name] = map_arrays(f"{self.folder}/{name}")
-        return self.open[name]
+        return kept_arrays(f"{self.folder}/{name}")
 
     def pair_edges(self) -> np.ndarray:
         """The first pair id of each shard of level three, and the end."""

@@ -5,8 +5,8 @@ from __future__ import annotations
 import json
 import mmap
 import os
-import tempfile
 import uuid
+from collections import OrderedDict
 
 import numpy as np
 
@@ -53,7 +53,7 @@ def write_arrays(uri: str, arrays: dict[str, np.ndarray]) -> int:
 
 
 def map_arrays(uri: str) -> dict[str, np.ndarray]:
-    """The arrays of a file, memory-mapped; from other stores through an unnamed local file that goes with the task."""
+    """The arrays of a file: memory-mapped from a folder, read into memory from other stores."""
     path = local_path(uri)
     if path:
         with open(path, "rb") as f:
@@ -62,11 +62,24 @@ def map_arrays(uri: str) -> dict[str, np.ndarray]:
         from pyarrow import fs
 
         store, where = fs.FileSystem.from_uri(uri)
-        with tempfile.TemporaryFile() as f, store.open_input_stream(where) as source:
-            while piece := source.read(1 << 20):
-                f.write(piece)
-            f.flush()
-            raw = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+        with store.open_input_file(where) as source:
+            raw = source.read()
     size = int.from_bytes(raw[:8], "little")
     start = -(-(8 + size) // 64) * 64
     return {name: np.frombuffer(raw, np.dtype(kind), n, start + at) for name, (at, kind, n) in json.loads(raw[8 : 8 + size]).items()}
+
+
+KEPT_FILES, KEPT_BYTES = 4096, 256 << 20
+_kept: OrderedDict[str, tuple[dict[str, np.ndarray], int]] = OrderedDict()
+
+
+def kept_arrays(uri: str) -> dict[str, np.ndarray]:
+    """The same, kept open for the next that asks: up to ``KEPT_FILES`` files, and ``KEPT_BYTES`` of what was read into memory."""
+    if uri in _kept:
+        _kept.move_to_end(uri)
+    else:
+        arrays = map_arrays(uri)
+        _kept[uri] = (arrays, 0 if local_path(uri) else sum(a.nbytes for a in arrays.values()))
+        while len(_kept) > 1 and (len(_kept) > KEPT_FILES or sum(n for _, n in _kept.values()) > KEPT_BYTES):
+            _kept.popitem(last=False)
+    return _kept[uri][0]

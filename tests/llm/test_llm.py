@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from prismata.llm import decontamination, exact_dedup, html_extraction, kernels, language_id, language_model, license_rules, license_scan, mixing, ngram_join, queries, sharding, toxicity
+from prismata.llm import decontamination, exact_dedup, html_extraction, kernels, language_id, language_model, license_rules, license_scan, mixing, ngram_join, queries, sharding, shared_files, toxicity
 from prismata.llm.elias_fano import EliasFano
 from prismata.llm.kernels import pack, shingle_sets, text_slices, unpack
 
@@ -51,6 +51,23 @@ def test_pack_round_trip():
         assert (unpack(pack(np.sort(a), delta=True), delta=True) == np.sort(a)).all()
 
 
+def test_shared_files(tmp_path, monkeypatch):
+    """From a folder and from another store, kept up to the bounds."""
+    a = {"x": np.arange(100), "y": np.zeros(0, np.uint8), "z": np.linspace(0, 1, 7, dtype=np.float32)}
+    shared_files.write_arrays(f"file://{tmp_path}/one", a)
+    monkeypatch.setattr(shared_files, "KEPT_FILES", 2)
+    for k in range(4):
+        shared_files.write_arrays(f"{tmp_path}/f{k}", {"k": np.array([k])})
+        assert shared_files.kept_arrays(f"{tmp_path}/f{k}")["k"][0] == k and len(shared_files._kept) <= 2
+    monkeypatch.setattr(shared_files, "local_path", lambda uri: None)  # as another store, by its own reader and writer
+    shared_files.write_arrays(f"file://{tmp_path}/two", a)
+    for name in ("one", "two"):
+        got = shared_files.map_arrays(f"file://{tmp_path}/{name}")
+        assert list(got) == list(a) and all((got[k] == a[k]).all() and got[k].dtype == a[k].dtype for k in a)
+    monkeypatch.setattr(shared_files, "KEPT_BYTES", 1)
+    assert len(shared_files.kept_arrays(f"file://{tmp_path}/one")["x"]) == 100 and len(shared_files._kept) == 1
+
+
 def test_elias_fano():
     rng = np.random.default_rng(2)
     for n, top in ((0, 1), (1, 10), (5, 6), (3000, 2**40), (5000, 5001)):
