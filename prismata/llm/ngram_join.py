@@ -156,8 +156,8 @@ class Shared:
         parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         last, tables = -1, {}
         for batch in batches:
-            for r in batch.to_pylist():  # ordered by range, so that a table is opened once
-                if r["block"] != last:
+            for r in batch.to_pylist():
+                if self.step > 1 and r["block"] != last:  # ordered by range, so that a table is opened once
                     last, tables = r["block"], {}
                 h, cls = unpack(r["a"], delta=True), unpack(r["c"])[unpack(r["b"])]
                 first = r["block"] * self.step
@@ -379,7 +379,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     columns = sent.where("block >= 0")
     counts = dealt(lambda e: columns.select("a").mapInArrow(_column_counts(e), Tally.schema), len(edges), edges)
     counts.groupBy("block").applyInPandas(_shared_columns(f"{scratch.top}/columns"), "block int").count()  # writes the tables
-    near = columns.hint("rebalance", "block").sortWithinPartitions("block")  # any cut of a large range will do
+    # up to ``WIDE`` tables a task opens all; beyond that it gets rows of few ranges, and any cut of a large range will do
+    near = columns.hint("rebalance", "block").sortWithinPartitions("block") if step > 1 else columns
     shared = near.mapInArrow(Shared(f"{scratch.top}/columns", edges, blocks, step), Shared.schema)
     if step > 1:
         shared = shared.repartition(-(-blocks // step), "block").mapInArrow(_split_classes(blocks), Shared.schema)
