@@ -27,7 +27,7 @@ from prismata.llm.scratch import Scratch
 from prismata.llm.shared_files import map_arrays, write_arrays
 
 CHUNK = 2_000_000  # sampled shingles that a task holds before it sends them out
-CELL = 4_000_000  # shingles of one row block
+CELL = 1_000_000  # shingles of one row block
 LINKS = 2_000_000  # links of a cell that are held at a time
 
 

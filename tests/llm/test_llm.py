@@ -121,7 +121,7 @@ def test_jaccard_join_chains_and_chunks(spark, monkeypatch):
     texts = [(k, " ".join(base[k * 3 : 150 + k * 3] + [f"own{k}"])) for k in range(12)] + [(100 + k, " ".join(base[:40]) + f" tail{k}") for k in range(30)]
     want = brute_components(texts)
     df = spark.createDataFrame(texts, "doc_id long, text string")
-    for cell, links in ((4_000_000, 2_000_000), (400, 5)):
+    for cell, links in ((1_000_000, 2_000_000), (400, 5)):
         monkeypatch.setattr(ngram_join, "CELL", cell)
         monkeypatch.setattr(ngram_join, "LINKS", links)
         got = {r.doc_id: (r.n_shingles, r.n_links, r.component_id) for r in ngram_join.ngram_jaccard_join(df).collect()}
