@@ -174,7 +174,7 @@ def hash_edges(ranges: int) -> np.ndarray:
 
 def merge_counts(k: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct keys in order, and the sum of the counts of each."""
-    order = np.argsort(k, kind="stable")
+    order = np.argsort(k)
     k, c = k[order], c[order]
     first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
     return k[first], np.add.reduceat(c, first) if len(k) else c

@@ -134,7 +134,7 @@ class _Triples:
         if self.n:
             x, place, n = (np.concatenate(v) for v in zip(*self.held, strict=True))
             self.held, self.n = [], 0
-            order = np.argsort(x, kind="stable")
+            order = np.argsort(x)
             x, place, n = x[order], place[order], n[order]
             cut = [*np.searchsorted(x, self.edges), len(x)]
             out = []
@@ -209,10 +209,12 @@ def build_shard(keys: np.ndarray, counts: np.ndarray, low: int, high: int, words
 
 
 def find_children(a: dict[str, np.ndarray], context: np.ndarray, child: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place in the shard, place among the context's children) of each child, -1 where it isn't stored."""
+    """(place in the shard, place among the context's children) of each child, -1 where it isn't stored; contexts are in order."""
     pointer, children = EliasFano.of(a, "pointer"), EliasFano.of(a, "child")
-    u, inverse = np.unique(context - a["range"][0], return_inverse=True)
-    start, end = pointer.access(u), pointer.access(u + 1)
+    new = np.ones(len(context), bool)
+    new[1:] = context[1:] != context[:-1]
+    u, inverse = context[new] - a["range"][0], np.cumsum(new) - 1
+    start, end = pointer.access_both(u)
     base = np.zeros(len(u), np.int64)
     later = np.flatnonzero((start > 0) & (end > start))
     base[later] = children.access(start[later] - 1) + 1
@@ -307,7 +309,7 @@ class TrieModel:
             return counts, p
         before = _pairs_before(pair, stop)
         ask = np.flatnonzero(before >= 0)
-        order = ask[np.argsort(before[ask], kind="stable")]
+        order = ask[np.argsort(before[ask])]
         x, place = before[order], place[order]
         out = p[order]
         edges, size = self.pair_edges(), self.words.size + 1

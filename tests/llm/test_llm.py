@@ -79,6 +79,13 @@ def test_elias_fano():
         asked = np.concatenate([v, v + 1, [top * 3]]).astype(np.int64)
         place = {int(x): k for k, x in enumerate(v)}
         assert ef.find(asked).tolist() == [place.get(int(x), -1) for x in asked]
+        if len(v) > 1:
+            k = rng.permutation(len(v) - 1)
+            assert [x.tolist() for x in ef.access_both(k)] == [v[k].tolist(), v[k + 1].tolist()]
+    steps = np.sort(np.concatenate([np.zeros(700, np.int64), np.arange(50), np.full(300, 51), [10**6, 10**6 + 1]]))  # long runs of set and of clear bits
+    ef = EliasFano.build(steps)
+    assert (ef.access(np.arange(len(steps))) == steps).all() and [x.tolist() for x in ef.access_both(np.arange(len(steps) - 1))] == [steps[:-1].tolist(), steps[1:].tolist()]
+    assert ((ef.find(np.arange(60)) >= 0) == np.isin(np.arange(60), steps)).all() and ef.find(np.array([10**6 + 1]))[0] == len(steps) - 1
 
 
 def test_shingles_of_slices():
