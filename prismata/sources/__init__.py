@@ -6,7 +6,9 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from prismata.model import TYPES, Model, ModelError, Table
+from prismata.model import TYPES, Model, ModelError, Relationship, Table
+
+CATALOG = "table:"  # a source that begins so is a table of the session's catalog, not a file
 
 
 def physical(table: str, column: str) -> str:
@@ -15,12 +17,12 @@ def physical(table: str, column: str) -> str:
 
 
 def read_table(spark: SparkSession, folder: str, table: Table) -> DataFrame:
-    """The declared columns of a table's Parquet file, cast to their model types and renamed.
+    """The declared columns of a table's Parquet file or catalog table, cast to their model types and renamed.
 
     A folder is any URI that Spark reads. A declared column that the file lacks is an error; columns
     that are not declared are not read. Projection and filters reach the scan.
     """
-    df = spark.read.parquet(f"{folder}/{table.source}")
+    df = spark.table(table.source.removeprefix(CATALOG)) if table.source.startswith(CATALOG) else spark.read.parquet(f"{folder}/{table.source}")
     have = {c.lower(): c for c in df.columns}
     missing = [c.name for c in table.columns if (c.source or c.name).lower() not in have]
     if missing:
@@ -37,3 +39,18 @@ def read_table(spark: SparkSession, folder: str, table: Table) -> DataFrame:
 def read_model(spark: SparkSession, path: str) -> Model:
     """A model from a JSON file at any URI that Spark reads."""
     return Model.from_json("\n".join(r.value for r in spark.read.text(path, wholetext=True).collect()))
+
+
+def co_locate(spark: SparkSession, model: Model, folder: str, relationship: Relationship, target: str, buckets: int) -> Model:
+    """Write both tables of a relationship in buckets of its key below ``target``, and the model that reads them there.
+
+    Joins over the relationship then move neither table, which pays where the one side is too large to broadcast.
+    Columns are written in their model types, since a cast key has no buckets.
+    """
+    for name, key in ((relationship.from_table, relationship.from_column), (relationship.to_table, relationship.to_column)):
+        t = model.table(name)
+        df = read_table(spark, folder, t).toDF(*[c.name for c in t.columns])
+        named = f"co_located_{re.sub(r'[^a-z0-9]', '_', name.lower())}"
+        df.write.bucketBy(buckets, key).sortBy(key).option("path", f"{target}/{named}").mode("overwrite").saveAsTable(named)
+        model = model.apply([{"command": "setTableSource", "name": t.name, "source": CATALOG + named}])
+    return model

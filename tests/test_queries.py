@@ -13,6 +13,7 @@ from prismata.operators.queries import CASES, ORACLES, QUERIES
 from prismata.plans import compiler
 from prismata.plans.compiler import Engine
 from prismata.plans.parser import DaxError
+from prismata.sources import co_locate
 from prismata.sources.demo import demo_model
 
 
@@ -142,6 +143,23 @@ def test_two_queries_keep_their_measures_apart(spark, sf):
         assert list(pool.map(ask, range(24))) == list(range(24))
 
 
+def test_co_located_tables_are_not_shuffled(spark, sf, tmp_path):
+    m = demo_model()
+    r = m.find_relationship(("lineitem", "l_orderkey"), ("orders", "o_orderkey"))
+    near = co_locate(spark, m, sf, r, f"file://{tmp_path}", 4)
+    text = 'EVALUATE SUMMARIZECOLUMNS(orders[o_orderpriority], "q", [Quantity])'
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans = {}
+        for name, model in (("far", m), ("near", near)):
+            df = Engine(spark, model, sf).query(text)[0]
+            plans[name] = (sorted(map(tuple, df.collect())), df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("hashpartitioning(orders__o_orderkey") + df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("hashpartitioning(lineitem__l_orderkey"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plans["near"][0] == plans["far"][0] and plans["near"][1] == 0 < plans["far"][1]
+
+
 def test_one_rule_for_blanks_in_orders(small):
     """Blanks come first in both directions, in ORDER BY, TOPN, SAMPLE and places; START AT starts after them."""
     got = lambda text: [tuple(r) for r in small.query(text)[0].collect()]
