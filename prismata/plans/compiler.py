@@ -10,7 +10,7 @@ import re
 from collections import deque
 from dataclasses import dataclass, field, replace
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from prismata.functions.scalar import SCALARS, Val, arithmetic, common, compare, concat, flag, kind_of, literal, num, zoned
@@ -1152,7 +1152,7 @@ class Engine:
                 for name, col in rows.made:
                     df = df.withColumn(name, col)
                 self._blanks[same] = all(x is None for x in df.select(*[v.col for v in tested]).first())
-            except AnalysisException:
+            except PySparkException:  # of another type than the blanks tried, or an error of the measure itself
                 self._blanks[same] = False
         return self._blanks[same]
 

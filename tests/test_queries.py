@@ -107,6 +107,7 @@ def test_rollups_on_odd_tables(small):
     assert rows(small, 'EVALUATE SUMMARIZECOLUMNS(ROLLUPADDISSUBTOTAL(none[id], "all"), "t", SUM(none[amount]))') == []
     assert rows(small, 'EVALUATE SUMMARIZECOLUMNS(ROLLUPADDISSUBTOTAL(none[id], "all"), "t", COUNTROWS(none) + 0)') == [(None, True, 0)]
     assert rows(small, 'EVALUATE SUMMARIZE(none, ROLLUP(none[id]), "t", SUM(none[amount]))') == [(None, None)]
+    assert rows(small, 'EVALUATE SUMMARIZECOLUMNS(ROLLUPADDISSUBTOTAL(sales[id], "all"), "t", IF(ISBLANK([Total]), ERROR("no sales"), [Total]))')[-1] == (None, True, 31.0)
     assert rows(small, 'EVALUATE SUMMARIZE(sales, ROLLUP(sales[product]), "t", [Total], "v", VAR x = [Total] RETURN x * 2)') == [(10, 3.0, 6.0), (20, 4.0, 8.0), (99, 8.0, 16.0), (None, 31.0, 62.0)]
 
 
