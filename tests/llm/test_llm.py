@@ -469,6 +469,37 @@ def test_decontamination(spark, odd):
     assert decontamination.drop_leaks(odd, tests).count() == len(ODD)
 
 
+def test_decontamination_against_all_pairs(spark):
+    """Edited copies among words that items share: what seeds and windows find is what aligning every item with every whole text finds."""
+    rng = np.random.default_rng(11)
+    vocabulary = [f"{x}{k}" for k in range(60) for x in ("run", "runs", "red")]
+    draw = lambda n: [str(w) for w in rng.choice(vocabulary, n)]
+    items = [(k, draw(int(rng.integers(8, 40)))) for k in range(25)]
+    rows = []
+    for k in range(120):
+        w = draw(int(rng.integers(0, 120)))
+        for _ in range(int(rng.integers(0, 3))):
+            own = list(items[int(rng.integers(25))][1])
+            rate = float(rng.choice([0.0, 0.1, 0.25, 0.4]))
+            edited = [x for y in own for x in ([y] if rng.random() > rate else [[], draw(1), [y, *draw(1)]][int(rng.integers(3))])]
+            at = int(rng.integers(0, len(w) + 1))
+            w[at:at] = edited
+        rows.append((k, w))
+    hashes = lambda w: tuple(kernels.word_hashes(np.frombuffer("".join(x[:n] for x in w).encode(), np.uint8), np.cumsum([0, *[len(x[:n]) for x in w]])[:-1], np.cumsum([len(x[:n]) for x in w])) for n in (99, decontamination.STEM))
+    want = {}
+    for i, w in rows:
+        for j, x in items:
+            seeded = w and {tuple(w[k : k + 3]) for k in range(len(w) - 2)} & {tuple(x[k : k + 3]) for k in range(len(x) - 2)}
+            if seeded:
+                a, b = hashes(w), hashes(x)
+                score, _ = decontamination.smith_waterman(a[0], a[1], b[0], b[1])
+                if score >= len(x):  # half the score of a copy
+                    want[i, j] = score / (2 * len(x))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontamination.find_leaks(df, spark.createDataFrame([(j, " ".join(x)) for j, x in items], "item_id long, text string")).collect()}
+    assert len(want) > 60 and got == pytest.approx(want)
+
+
 def test_decontamination_short_and_common(spark):
     """Short items, scripts without spaces, and an edited copy of which only n-grams that many documents hold are unbroken."""
     asked = [f"q{k}" for k in range(24)]
