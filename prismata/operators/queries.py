@@ -5,6 +5,7 @@ An entry is the DAX text, the names given to its columns in order, and the SQL.
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Callable
 from xml.etree import ElementTree
@@ -365,16 +366,22 @@ CASES: dict[str, tuple[str, str, str]] = {
     ),
 }
 
+@functools.lru_cache(4)
+def _engine(spark: SparkSession, sf_dir: str) -> Engine:
+    """One engine a session and folder, which reads the files' schemas once."""
+    return Engine(spark, demo_model(), sf_dir)
+
+
 def _run(text: str, names: list[str], which: int) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return Engine(spark, demo_model(), sf_dir).query(text)[which].toDF(*names)
+        return _engine(spark, sf_dir).query(text)[which].toDF(*names)
 
     return run
 
 
 def _mdx(text: str, names: list[str], total: bool) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        _, cells, grand = run_mdx(Engine(spark, demo_model(), sf_dir), text)
+        _, cells, grand = run_mdx(_engine(spark, sf_dir), text)
         return (grand if total else cells).toDF(*names)
 
     return run
