@@ -27,7 +27,8 @@ from prismata.llm.scratch import Scratch
 from prismata.llm.shared_files import map_arrays, write_arrays
 
 CHUNK = 2_000_000  # sampled shingles that a task holds before it sends them out
-CELL = 1_000_000  # shingles of one row block
+CELL = 1_000_000  # shingles of one row block at most
+SPREAD = 256  # row blocks into which all rows are cut at least, if these are not below a twentieth of CELL
 LINKS = 2_000_000  # links of a cell that are held at a time
 
 
@@ -392,15 +393,16 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     stars = rare.where("block >= 0").groupBy("block").applyInPandas(_stars, "a long, b long").unionByName(rare.where("block = -1").mapInArrow(_unpacked, "a long, b long"))
     families = connected_components(stars, scratch, "families").select(F.col("id").alias("cls"), F.col("root").alias("fam"))
     members = scratch.write(families.join(classes, "cls").select("cls", "fam", "mult", "n", "least"), "members")
-    wide = members.groupBy("fam").agg(F.ceil(F.sum("n") / CELL).cast("int").alias("k"))
-    chosen = members.join(wide, "fam").select("fam", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int").alias("ci"), "k", "cls", "mult", "least")
     reps, weight = members.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    cell = max(CELL // 20, min(CELL, weight // SPREAD))  # smaller where there is little, so that a hot family is still in many tasks
+    wide = members.groupBy("fam").agg(F.ceil(F.sum("n") / cell).cast("int").alias("k"))
+    chosen = members.join(wide, "fam").select("fam", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int").alias("ci"), "k", "cls", "mult", "least")
     chosen = F.broadcast(chosen) if reps * 40 <= broadcast_bytes else chosen  # five numbers a row
     texts = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["least"])).select("fam", "ci", "k", "cls", "mult", "text")
     sets = texts.mapInArrow(Shingles(width), Shingles.schema)
     cells = sets.withColumn("cj", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     cells = cells.select("fam", "ci", "cls", "mult", "s", F.least("ci", "cj").alias("lo"), F.greatest("ci", "cj").alias("hi"))
-    groups = max(4, -(-2 * weight // CELL))
+    groups = max(4, -(-2 * weight // cell))
     cells = cells.withColumn("cell", F.pmod(F.xxhash64("fam", "lo", "hi"), F.lit(groups)).cast("int"))
     found = scratch.write(cells.groupBy("cell").applyInPandas(_products(percent), "a long, b long, links long"), "links")
     scratch.drop("members")
