@@ -29,6 +29,7 @@ from prismata.llm.shared_files import map_arrays, write_arrays
 CHUNK = 2_000_000  # sampled shingles that a task holds before it sends them out
 CELL = 1_000_000  # shingles of one row block at most
 SPREAD = 256  # row blocks into which all rows are cut at least, if these are not below a twentieth of CELL
+TABLE = 250_000  # rows of a table of those that represent a class, about
 LINKS = 2_000_000  # links of a cell that are held at a time
 
 
@@ -277,23 +278,49 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(unpack(r["a"])), pa.array(unpack(r["b"]))], names=["a", "b"])
 
 
+ROW = ("fam", "ci", "k", "cls", "mult")
+
+
+def _represented(folder: str):
+    """Reduce side of a range of ids: a table of the classes whose smallest id is in it, by id and class."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        k, pdf = int(pdf["at"].iloc[0]), pdf.sort_values(["least", "cls"])
+        write_arrays(f"{folder}-{k}", {name: pdf[name].to_numpy() for name in ("least", *ROW)})
+        return pd.DataFrame({"at": [k]})
+
+    return run
+
+
 class Shingles:
-    """Map side of the exact product: whole shingle sets of the rows that represent a class."""
+    """Map side of the exact product: whole shingle sets of the rows that represent a class.
+
+    They are found in memory-mapped tables, so that neither do texts move nor does the driver hold what every task needs.
+    """
 
     schema = "fam long, ci int, k int, cls long, mult long, n int, s binary"
 
-    def __init__(self, width: int):
-        self.width = width
+    def __init__(self, width: int, folder: str, written: set[int]):
+        self.width, self.folder, self.written = width, folder, written
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = {k: map_arrays(f"{self.folder}-{k}") for k in self.written}
         for batch in batches:
-            rest = batch.select(["fam", "ci", "k", "cls", "mult"])
-            cls = np.asarray(batch.column("cls"))
-            for a, b, data, offsets in text_slices(batch.column("text"), SHORT_SLICE):
-                sets = shingle_sets(data, offsets, self.width)
-                own = [k for k, s in enumerate(sets, a) if set_class(s) == cls[k]]  # a repeated doc_id brings other texts too
-                got = rest.take(pa.array(own, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*got.columns, pa.array([len(sets[k - a]) for k in own], pa.int32()), pa.array([pack(sets[k - a], delta=True) for k in own], pa.binary())], names=["fam", "ci", "k", "cls", "mult", "n", "s"])
+            at, ids = np.asarray(batch.column("at")), np.asarray(batch.column("doc_id").fill_null(0))
+            lo, hi = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+            for k in self.written.intersection(at.tolist()):
+                m = at == k
+                lo[m], hi[m] = (np.searchsorted(tables[k]["least"], ids[m], side) for side in ("left", "right"))
+            rows = np.flatnonzero(lo < hi)
+            for a, b, data, offsets in text_slices(batch.column("text").take(pa.array(rows)), SHORT_SLICE):
+                out = []
+                for r, s in zip(rows[a:b].tolist(), shingle_sets(data, offsets, self.width), strict=True):
+                    table, cls = tables[at[r]], set_class(s)
+                    x = lo[r] + np.searchsorted(table["cls"][lo[r] : hi[r]], cls)
+                    if x < hi[r] and table["cls"][x] == cls:  # a repeated doc_id brings other texts too
+                        out.append((*[table[name][x] for name in ROW], len(s), pack(s, delta=True)))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=[*ROW, "n", "s"])
 
 
 def _cell(p: pd.DataFrame, percent: int, same: bool) -> list[tuple[int, int, int]]:
@@ -356,12 +383,12 @@ def _products(percent: int):
     return run
 
 
-def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, sample: float = 0.4, block_bytes: int = 16 << 20, broadcast_bytes: int = 40 << 20) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, sample: float = 0.4, block_bytes: int = 16 << 20) -> DataFrame:
     """Link documents whose ``width``-word shingle sets have a Jaccard similarity of ``percent`` / 100 or more.
 
     Returns per row of ``docs``: ``id_col``, n_shingles (set size), n_links (documents linked with it),
-    component_id (smallest id reachable over links, itself included). The answer is exact; ``sample``,
-    ``block_bytes`` and ``broadcast_bytes`` move work about and never change it. Ids are cast to long.
+    component_id (smallest id reachable over links, itself included). The answer is exact; ``sample`` and
+    ``block_bytes`` move work about and never change it. Ids are cast to long.
 
     Words are runs of bytes other than ASCII white space, A-Z lower-cased. A text of fewer words is one
     shingle. Null, empty and blank texts have the empty set and are linked with nothing. A null id gives
@@ -397,9 +424,10 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     cell = max(CELL // 20, min(CELL, weight // SPREAD))  # smaller where there is little, so that a hot family is still in many tasks
     wide = members.groupBy("fam").agg(F.ceil(F.sum("n") / cell).cast("int").alias("k"))
     chosen = members.join(wide, "fam").select("fam", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int").alias("ci"), "k", "cls", "mult", "least")
-    chosen = F.broadcast(chosen) if reps * 40 <= broadcast_bytes else chosen  # five numbers a row
-    texts = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["least"])).select("fam", "ci", "k", "cls", "mult", "text")
-    sets = texts.mapInArrow(Shingles(width), Shingles.schema)
+    at = lambda x: F.when(F.col(x).isNull(), -1).otherwise(F.pmod(F.xxhash64(x), F.lit(-(-reps // TABLE) or 1))).cast("int").alias("at")
+    chosen = chosen.select(at("least"), F.coalesce("least", F.lit(0)).alias("least"), *ROW)
+    written = {r["at"] for r in chosen.groupBy("at").applyInPandas(_represented(f"{scratch.top}/columns/rows"), "at int").collect()}
+    sets = docs.select(at("doc_id"), "doc_id", "text").mapInArrow(Shingles(width, f"{scratch.top}/columns/rows", written), Shingles.schema)
     cells = sets.withColumn("cj", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     cells = cells.select("fam", "ci", "cls", "mult", "s", F.least("ci", "cj").alias("lo"), F.greatest("ci", "cj").alias("hi"))
     groups = max(4, -(-2 * weight // cell))

@@ -13,9 +13,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from prismata.llm import decontamination, exact_dedup, html_extraction, kernels, language_id, language_model, license_rules, license_scan, mixing, ngram_join, queries, sharding, shared_files, toxicity
+from prismata.llm import components, decontamination, exact_dedup, html_extraction, kernels, language_id, language_model, license_rules, license_scan, mixing, ngram_join, queries, sharding, shared_files, toxicity
 from prismata.llm.elias_fano import EliasFano
 from prismata.llm.kernels import pack, shingle_sets, text_slices, unpack
+from prismata.llm.scratch import Scratch
 
 ODD = [(1, None, "a"), (None, "the same text stands here twice over", "a"), (2, "the same text stands here twice over", None), (2, "the same text stands here twice over", None), (3, "", "b"), (4, " \t\n", "b"), (5, "é" * 5000 + " " + "wörd " * 3000, "b"), (6, "x", "b"), (7, "x", "b")]
 SCHEMA = "doc_id long, text string, source string, slot string, score string, n string, t string, id string, kept string"
@@ -150,6 +151,31 @@ def test_jaccard_join_many_blocks(spark, monkeypatch):
     assert got == want
 
 
+def test_jaccard_join_spares_the_driver(spark, monkeypatch):
+    """Chains, null and repeated ids give the same in one task and by rounds; nothing is broadcast, and few edges take no rounds."""
+    base = [f"w{k}" for k in range(200)]
+    texts = [" ".join(base[k * 3 : 150 + k * 3] + [f"own{k}"]) for k in range(12)] + [" ".join(base[:40]) + f" tail{k}" for k in range(9)]
+    ids = [*range(50, 62), None, None, None, 7, 7, 7, 0, 1, 2]
+    want = brute_components(list(enumerate(texts)))
+    lowest = {c: min(ids[k] for k in want if want[k][2] == c and ids[k] is not None) for c in {w[2] for w in want.values()}}
+    want = sorted(str((ids[k], *w[:2], lowest[w[2]])) for k, w in want.items())
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    wrote, write = [], Scratch.write
+    monkeypatch.setattr(Scratch, "write", lambda self, table, name: [wrote.append((name, table._jdf.queryExecution().executedPlan().toString())), write(self, table, name)][1])
+    monkeypatch.setattr(ngram_join, "TABLE", 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for alone in (components.ALONE, 0):
+            monkeypatch.setattr(components, "ALONE", alone)
+            wrote.clear()
+            got = ngram_join.ngram_jaccard_join(df)
+            assert sorted(str((r.doc_id, r.n_shingles, r.n_links, r.component_id)) for r in got.collect()) == want
+            assert len(wrote) > 5 and not [name for name, plan in wrote if "Broadcast" in plan]
+            assert any(name == "components-1" for name, _ in wrote) == (alone == 0)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_jaccard_join_odd(odd):
     got = ngram_join.ngram_jaccard_join(odd).collect()
     assert len(got) == len(ODD)
